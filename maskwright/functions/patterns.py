@@ -30,9 +30,6 @@ DIGIT_START = rf"(?=\p{{Nd}}){WORD_START}"
 BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 
-NON_ASCII_DIGIT = r"[\x{660}-\x{10ffff}&&\p{Nd}]"
-
-
 def _expand(pattern: str) -> str:
     """Spell ``\\s`` and ``\\d`` as Unicode classes, inside and outside brackets."""
     out, in_class, i = [], False, 0

@@ -8,7 +8,9 @@ inside one narrow stage, in batch and in streams.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed_values as fv
 
@@ -100,6 +102,16 @@ def occurrences(text: Column, literal: Column) -> Column:
     )
 
 
+def unnest(df: DataFrame, keys: Sequence[str], array: str | Column, name: str) -> DataFrame:
+    """One row per array element.
+
+    A plain ``explode`` makes the optimizer filter its input on ``size(array) > 0`` and
+    push that below the projection that computes the array, which would then run
+    several times.  The outer form with a test of its output does not.
+    """
+    return df.select(*keys, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def before_window(text: Column, start: Column, width: int) -> Column:
     """Up to ``width`` characters directly before an offset."""
     return F.substring(text, F.greatest(start - width, F.lit(0)) + 1, F.least(start, F.lit(width)))
@@ -132,7 +144,7 @@ def resolve(spans: Column) -> Column:
             s.alias("span"),
         ),
     )
-    swept = F.aggregate(
+    return F.aggregate(
         F.array_sort(keyed),
         F.struct(F.lit(-1).alias("end"), no_spans().alias("kept")),
         lambda acc, k: F.when(
@@ -144,7 +156,6 @@ def resolve(spans: Column) -> Column:
         ).otherwise(acc),
         lambda acc: acc["kept"],
     )
-    return F.when(F.size(spans) > 1, swept).otherwise(spans)
 
 
 def splice(text: Column, spans: Column, replacement) -> Column:

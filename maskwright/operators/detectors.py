@@ -302,8 +302,7 @@ def _staged(df: DataFrame, text: str) -> DataFrame:
             "_scan": sp.markable(body),
             "_lower": F.lower(body),
             "_odd": _any(F.contains(body, F.lit(c)) for c in "ſıİ"),
-            "_digit": _any(F.contains(body, F.lit(c)) for c in "0123456789")
-            | F.rlike(body, F.lit(p.NON_ASCII_DIGIT)),
+            "_digit": F.rlike(body, F.lit(r"\p{Nd}")),
         }
     )
 
@@ -367,7 +366,7 @@ def detect(
 
 def explode_spans(df: DataFrame, keys: Sequence[str], spans: str = "spans") -> DataFrame:
     """One row per span: keys, pii_type, rule, start, end, value."""
-    return df.select(*keys, F.explode(spans).alias("s")).select(
+    return sp.unnest(df, keys, spans, "s").select(
         *keys,
         F.col("s.pii_type").alias("pii_type"),
         F.col("s.rule").alias("rule"),

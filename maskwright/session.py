@@ -42,13 +42,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, enough: DataFrame | None = None) -> DataFrame:
     """Give a small, single-file input one partition per core.
 
     Text rules are CPU-bound, and a file with one row group is read by one task.
-    Inputs that already fill the cores, as large tables do, are left as they are.
+    Inputs with well more partitions than cores, as large tables have, are left as they
+    are; ``enough`` is the part of the input to judge by, if not all of it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming or (df if enough is None else enough).rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(cores, *keys)
