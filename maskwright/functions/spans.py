@@ -42,11 +42,11 @@ def markable(text: Column) -> Column:
 
 def scan(
     text: Column,
-    pattern: str,
+    pattern: str | Column,
     groups: tuple[int, ...] = (0,),
     hit: int = 0,
 ) -> Column:
-    """Leftmost non-overlapping matches of a JVM pattern, with offsets.
+    """Leftmost non-overlapping matches of a JVM pattern, with offsets, one after the other.
 
     ``groups`` are the regex groups to cut each match into and ``hit`` is the
     index of the one to report.  The groups must add up to the match, except that
@@ -54,7 +54,7 @@ def scan(
     """
     tail = groups == (0, 1)
     marked = F.regexp_replace(
-        text, F.lit(pattern), F.lit(MARK + "".join(f"${g}{MARK}" for g in groups))
+        text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(MARK + "".join(f"${g}{MARK}" for g in groups))
     )
     width = len(groups) + 1
     hit_slot = hit + 1

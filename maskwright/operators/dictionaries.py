@@ -1,8 +1,8 @@
 """Detection with dictionaries of known names and companies of any size.
 
-A short dictionary is matched inside the row.  A long one is joined: texts are cut
-into word sequences of the lengths that occur in the dictionary, and those are joined
-to the entries on equality, so the work does not grow with texts times entries.
+A short dictionary is matched inside the row.  For a long one, the word sequences of
+each text are joined to the entries on equality first, so a text is only searched for
+entries whose words it holds; the work does not grow with texts times entries.
 """
 
 from __future__ import annotations
@@ -18,124 +18,106 @@ WORD_CHARS = r"\p{L}\p{N}_"
 WORD_RUN = rf"[{WORD_CHARS}]+"
 # Broadcast entries only below this many bytes of text; otherwise the join shuffles.
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
-RULE_OF_KIND = {"name": "name_known", "company": "company_known"}
+RULE_OF_KIND = {"company": "company_known", "name": "name_known"}
 
 
-def _fold(text: Column) -> Column:
-    """Case folding that keeps the length."""
-    return F.lower(F.translate(text, "ſıİ", "sii"))
+def _folded_words(text: Column) -> Column:
+    """The words of a text with case folded."""
+    folded = F.lower(F.translate(text, "ſıİ", "sii"))
+    return F.regexp_extract_all(folded, F.lit(WORD_RUN), F.lit(0))
 
 
-def _entries(dictionary: DataFrame) -> DataFrame:
-    """Entries with their first-to-last-word core and what stands around it."""
-    core = F.regexp_extract("term", rf"(?s)[{WORD_CHARS}](?:.*[{WORD_CHARS}])?", 0)
-    lead = F.regexp_extract("term", rf"\A[^{WORD_CHARS}]*", 0)
-    return (
-        dictionary.select("kind", "term")
-        .distinct()
-        .withColumns({"core": core, "lead": lead})
-        .withColumn(
-            "trail",
-            F.substring("term", F.length("lead") + F.length("core") + 1, F.length("term")),
-        )
-        .withColumns(
-            {
-                "gram": _fold(F.col("core")),
-                "n_words": F.size(F.regexp_extract_all("core", F.lit(WORD_RUN), F.lit(0))),
-            }
-        )
-    )
+def _sequences(words: str, n: int) -> Column:
+    """Every run of n consecutive words, as one string."""
+    firsts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    return F.transform(firsts, lambda w, i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
 
 
-def _is_word(char: Column) -> Column:
-    return F.rlike(char, F.lit(rf"\A[{WORD_CHARS}]\z"))
+def _entry_pattern(term: Column) -> Column:
+    """The whole-word, any-case pattern of an entry."""
+    escaped = F.regexp_replace(term, rf"([^{WORD_CHARS}\s])", r"\\$1")
+    inside, outside = rf"[{WORD_CHARS}]", rf"[^{WORD_CHARS}]"
+    left = F.when(F.rlike(term, F.lit(rf"\A{outside}")), rf"(?<={inside})").otherwise(rf"(?<!{inside})")
+    right = F.when(F.rlike(term, F.lit(rf"{outside}\z")), rf"(?={inside})").otherwise(rf"(?!{inside})")
+    return F.concat(F.lit("(?iu)"), left, escaped, right)
 
 
-def known_hits(blocks: DataFrame, keys: Sequence[str], dictionary: DataFrame, text: str = "text") -> DataFrame:
-    """Occurrences of entries (kind, term) as whole words, ignoring case.
+def known_terms(blocks: DataFrame, keys: Sequence[str], dictionary: DataFrame, text: str = "text") -> DataFrame:
+    """Per block the entries (kind, term) whose words it holds: keys, terms.
 
-    ``keys`` identify a block.  Result: keys, rule, term, start, end, value.
+    ``terms`` is array<struct<rule, term, pattern>>, bounded by the length of the block.
     """
-    entries = _entries(dictionary)
+    entries = (
+        dictionary.select("kind", "term")
+        .distinct()
+        .withColumn("_words", _folded_words(F.col("term")))
+        .select(
+            "kind",
+            "term",
+            F.array_join("_words", " ").alias("gram"),
+            F.size("_words").alias("n_words"),
+        )
+    )
     shape = entries.agg(
         F.sort_array(F.collect_set("n_words")).alias("sizes"),
-        F.max(F.length("lead")).alias("lead"),
-        F.max(F.length("trail")).alias("trail"),
         F.sum(F.octet_length("term")).alias("bytes"),
-        F.count(F.when(F.col("core") == "", 1)).alias("wordless"),
     ).first()
-    if shape.wordless:
+    if 0 in shape.sizes:
         raise ValueError("dictionary entries need at least one letter or digit")
-    if shape.bytes is None:
-        shape_sizes, reach_left, reach_right = [], 1, 1
-    else:
-        shape_sizes, reach_left, reach_right = shape.sizes, shape.lead + 1, shape.trail + 1
-        if shape.bytes <= MAX_BROADCAST_BYTES:
-            entries = F.broadcast(entries)
-
-    staged = blocks.select(*keys, F.col(text).alias("_text")).withColumn(
-        "_words", sp.scan(sp.markable(F.col("_text")), WORD_RUN)
-    )
-    first_and_last = F.flatten(
-        F.array(
-            *[
-                F.zip_with(
-                    F.slice("_words", F.lit(1), F.greatest(F.size("_words") - (k - 1), F.lit(0))),
-                    F.slice("_words", F.lit(k), F.greatest(F.size("_words") - (k - 1), F.lit(0))),
-                    lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")),
-                )
-                for k in shape_sizes
-            ]
-        )
-        if shape_sizes
-        else F.array().cast("array<array<struct<start:int,end:int>>>")
-    )
-    grams = F.transform(
-        first_and_last,
-        lambda g: F.struct(
-            g["start"].alias("start"),
-            g["end"].alias("end"),
-            F.substring("_text", g["start"] + 1, g["end"] - g["start"]).alias("words"),
-            sp.before_window(F.col("_text"), g["start"], reach_left).alias("left"),
-            F.substring("_text", g["end"] + 1, F.lit(reach_right)).alias("right"),
-        ),
-    )
-    cut = sp.unnest(staged, keys, grams, "g").select(
-        *keys, "g.*", _fold(F.col("g.words")).alias("gram")
-    )
-    lead, trail = F.length("lead"), F.length("trail")
-    outside_left = F.substring(F.col("left"), F.length("left") - lead, F.lit(1))
-    outside_right = F.substring(F.col("right"), trail + 1, F.lit(1))
-    left_text = F.when(lead == 0, F.lit("")).otherwise(F.substring(F.col("left"), -lead, lead))
-    fits = (
-        (_fold(left_text) == _fold(F.col("lead")))
-        & (_fold(F.substring(F.col("right"), F.lit(1), trail)) == _fold(F.col("trail")))
-        & ((lead == 0) | ((F.length("left") > lead) & _is_word(outside_left)))
-        & ((trail == 0) | _is_word(outside_right))
-    )
+    if (shape.bytes or 0) <= MAX_BROADCAST_BYTES:
+        entries = F.broadcast(entries)
+
+    worded = blocks.select(*keys, _folded_words(F.col(text)).alias("_words"))
+    sequences = [_sequences("_words", n) for n in shape.sizes] or [F.array().cast("array<string>")]
+    grams = sp.unnest(worded, keys, F.array_distinct(F.concat(*sequences)), "gram")
     rule = F.when(F.col("kind") == "name", RULE_OF_KIND["name"]).otherwise(RULE_OF_KIND["company"])
-    return cut.join(entries, "gram").where(fits).select(
-        *keys,
-        rule.alias("rule"),
-        "term",
-        (F.col("start") - lead).alias("start"),
-        (F.col("end") + trail).alias("end"),
-        F.concat(left_text, F.col("words"), F.substring(F.col("right"), F.lit(1), trail)).alias("value"),
+    return (
+        grams.join(entries, "gram")
+        .select(*keys, F.struct(rule.alias("rule"), "term", _entry_pattern(F.col("term")).alias("pattern")).alias("t"))
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_set("t")).alias("terms"))
     )
 
 
-def _without_self_overlaps(hits: Column) -> Column:
-    """Of overlapping occurrences of one entry, the leftmost."""
-    return F.aggregate(
-        F.array_sort(hits),
-        F.array().cast("array<struct<rule:string,term:string,start:int,end:int,value:string>>"),
-        lambda kept, h: F.when(
-            (F.size(kept) > 0)
-            & (F.get(kept, F.size(kept) - 1)["rule"] == h["rule"])
-            & (F.get(kept, F.size(kept) - 1)["term"] == h["term"])
-            & (F.get(kept, F.size(kept) - 1)["end"] > h["start"]),
-            kept,
-        ).otherwise(F.concat(kept, F.array(h))),
+def _term_spans(scan: Column, terms: Column) -> Column:
+    """Spans of every entry, found as each one's own scan of the text."""
+    def spans(t: Column) -> Column:
+        name = t["rule"] == RULE_OF_KIND["name"]
+        return F.transform(
+            sp.scan(scan, t["pattern"]),
+            lambda h: F.struct(
+                F.when(name, sp.RULE_TYPE["name_known"]).otherwise(sp.RULE_TYPE["company_known"]).alias("pii_type"),
+                t["rule"].alias("rule"),
+                F.when(name, sp.RULE_ORDER["name_known"]).otherwise(sp.RULE_ORDER["company_known"]).alias("ord"),
+                h["start"].alias("start"),
+                h["end"].alias("end"),
+                h["value"].alias("value"),
+            ),
+        )
+
+    return F.coalesce(F.flatten(F.transform(terms, spans)), sp.no_spans())
+
+
+def joined_candidates(
+    blocks: DataFrame,
+    keys: Sequence[str],
+    dictionary: DataFrame,
+    text: str = "text",
+    rules: Sequence[str] | None = None,
+    output: str = "candidates",
+) -> DataFrame:
+    """All spans of the chosen rules and of the dictionary, overlaps included.
+
+    ``keys`` identify a block.  Only keys and entries found are shuffled before the
+    join back; with few blocks concerned that join broadcasts them.
+    """
+    terms = known_terms(blocks, keys, dictionary, text)
+    found = detectors.candidates(blocks.join(terms, list(keys), "left"), text, rules, output="_text_spans")
+    chosen = F.col("terms") if rules is None else F.filter("terms", lambda t: t["rule"].isin(*rules))
+    return (
+        found.withColumn("_scan", sp.markable(F.col(text)))
+        .withColumn(output, F.concat("_text_spans", _term_spans(F.col("_scan"), chosen)))
+        .drop("_text_spans", "_scan", "terms")
     )
 
 
@@ -159,31 +141,8 @@ def detect_with_known(
             known_companies=[r.term for r in head if r.kind == "company"],
             output=output,
         )
-    hits = known_hits(blocks, keys, dictionary, text)
-    if rules is not None:
-        hits = hits.where(F.col("rule").isin(*rules))
-    # one array per block, bounded by the block's own length
-    per_block = hits.groupBy(*keys).agg(
-        F.collect_list(F.struct("rule", "term", "start", "end", "value")).alias("_known")
-    )
-    spans = F.transform(
-        _without_self_overlaps(F.coalesce("_known", F.array().cast(
-            "array<struct<rule:string,term:string,start:int,end:int,value:string>>"))),
-        lambda h: F.struct(
-            F.when(h["rule"] == "name_known", "FULL_NAME").otherwise("COMPANY").alias("pii_type"),
-            h["rule"].alias("rule"),
-            F.when(h["rule"] == "name_known", sp.RULE_ORDER["name_known"])
-            .otherwise(sp.RULE_ORDER["company_known"])
-            .alias("ord"),
-            h["start"].alias("start"),
-            h["end"].alias("end"),
-            h["value"].alias("value"),
-        ),
-    )
-    found = detectors.candidates(blocks, text, rules, output="_candidates")
     return (
-        found.join(per_block, list(keys), "left")
-        .withColumn("_all", F.concat("_candidates", spans))
-        .withColumn(output, sp.resolve(F.col("_all")))
-        .drop("_all", "_candidates", "_known")
+        joined_candidates(blocks, keys, dictionary, text, rules, "_candidates")
+        .withColumn(output, sp.resolve(F.col("_candidates")))
+        .drop("_candidates")
     )

@@ -319,7 +319,7 @@ from (select tp, fp, fn, mp, mr, mf, case when tp + fp > 0 then tp::double / (tp
         f"select 'cases' as tier, {_ROUNDED} from ({_CASE_METRICS}) union all "
         f"select 'passages', {_ROUNDED} from ({_PASSAGE_METRICS})",
     ),
-    "stream_redact": CHECKS["redact_documents"].replace("select doc_id, text, n_redactions from redacted", "select doc_id, text, n_redactions from redacted"),
+    "stream_redact": CHECKS["redact_documents"],
     "stream_counts": recursive(
         resolved_ctes(
             "select 'events' as source, event_id::bigint as doc_id, 0::bigint as block_id, "

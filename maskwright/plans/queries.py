@@ -136,10 +136,8 @@ def detect_known_joined(spark, folder):
         [("name", n) for n in fx.KNOWN_NAMES] + [("company", c) for c in fx.KNOWN_COMPANIES],
         "kind string, term string",
     )
-    hits = dc.known_hits(corpus(spark, folder), KEYS, dictionary)
-    return hits.select(
-        *KEYS, "rule", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "value"
-    )
+    found = dc.joined_candidates(corpus(spark, folder), KEYS, dictionary, rules=["name_known", "company_known"])
+    return dt.explode_spans(found, KEYS, "candidates").drop("pii_type")
 
 
 def detect_distinct_blocks(spark, folder):
@@ -503,7 +501,7 @@ def stream_counts(spark, folder):
     schema = rs.table(spark, folder, "events").schema
     stream = st.read_stream(spark, folder, schema, "events.parquet")
     texts = stream.select(
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.concat(
             F.lit("host 10."), (F.col("event_id") % 300).cast("string"), F.lit(".0."),
             (F.col("user_id") % 256).cast("string"), F.lit(" mail u"), F.col("user_id").cast("string"),
@@ -513,7 +511,9 @@ def stream_counts(spark, folder):
     place = shared_folder(spark, "stream-counts")
     counted = st.counts_stream(texts, "ts", rules=["email", "ipv4"])
     st.run_available(counted, place + "/out", place + "/state")
-    return spark.read.parquet(place + "/out")
+    return spark.read.parquet(place + "/out").withColumn(
+        "window_start", F.col("window_start").cast("timestamp_ntz")
+    )
 
 
 QUERIES = {
