@@ -117,6 +117,10 @@ def before_window(text: Column, start: Column, width: int) -> Column:
     return F.substring(text, F.greatest(start - width, F.lit(0)) + 1, F.least(start, F.lit(width)))
 
 
+def value_at(text: Column, hit: Column) -> Column:
+    return F.substring(text, hit["start"] + 1, hit["end"] - hit["start"])
+
+
 def tag(hits: Column, rule: str) -> Column:
     """Give hits their category and rule."""
     return F.transform(

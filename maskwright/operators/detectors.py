@@ -128,7 +128,10 @@ def phone_standalone(t: View) -> Column:
 
 def address_context(t: View) -> Column:
     hits = sp.scan(t.scan, p.ADDRESS_CONTEXT, (0, 1), 1)
-    trimmed = F.transform(hits, lambda h: _moved(h, v.strip_trailing_punctuation(h["value"])))
+    # the only rule whose values can hold the mark character: take them from the text
+    trimmed = F.transform(
+        hits, lambda h: _moved(h, v.strip_trailing_punctuation(sp.value_at(t.text, h)))
+    )
     long_enough = F.filter(
         trimmed, lambda h: F.length(h["value"]) >= fv.ADDRESS_CONTEXT_MIN_LENGTH
     )
