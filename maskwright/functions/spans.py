@@ -112,6 +112,15 @@ def unnest(df: DataFrame, keys: Sequence[str], array: str | Column, name: str) -
     return df.select(*keys, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
+def with_each(array: str | Column, value: str | Column, function) -> Column:
+    """``function(element, value)`` for every element of an array column.
+
+    A column that is only read inside a lambda may be merged into it by the optimizer
+    and then computed for every element; handed over like this it is computed once.
+    """
+    return F.zip_with(array, F.array_repeat(value, F.size(array)), function)
+
+
 def before_window(text: Column, start: Column, width: int) -> Column:
     """Up to ``width`` characters directly before an offset."""
     return F.substring(text, F.greatest(start - width, F.lit(0)) + 1, F.least(start, F.lit(width)))

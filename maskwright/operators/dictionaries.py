@@ -16,6 +16,8 @@ from . import detectors
 
 WORD_CHARS = r"\p{L}\p{N}_"
 WORD_RUN = rf"[{WORD_CHARS}]+"
+# Up to this many different first words are tested inside the row before the join.
+MAX_FIRST_WORDS = 1000
 # Broadcast entries only below this many bytes of text; otherwise the join shuffles.
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 RULE_OF_KIND = {"company": "company_known", "name": "name_known"}
@@ -27,10 +29,15 @@ def _folded_words(text: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(WORD_RUN), F.lit(0))
 
 
-def _sequences(words: str, n: int) -> Column:
-    """Every run of n consecutive words, as one string."""
+def _sequences(words: str, n: int, first_words: Sequence[str] | None) -> Column:
+    """Every run of n consecutive words that starts with one of the first words."""
     firsts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
-    return F.transform(firsts, lambda w, i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
+
+    def run(w: Column, i: Column) -> Column:
+        joined = F.array_join(F.slice(words, i + 1, F.lit(n)), " ")
+        return joined if first_words is None else F.when(w.isin(*first_words), joined)
+
+    return F.filter(F.transform(firsts, run), lambda g: g.isNotNull())
 
 
 def _entry_pattern(term: Column) -> Column:
@@ -56,6 +63,7 @@ def known_terms(blocks: DataFrame, keys: Sequence[str], dictionary: DataFrame, t
             "term",
             F.array_join("_words", " ").alias("gram"),
             F.size("_words").alias("n_words"),
+            F.get("_words", F.lit(0)).alias("first_word"),
         )
     )
     shape = entries.agg(
@@ -64,11 +72,14 @@ def known_terms(blocks: DataFrame, keys: Sequence[str], dictionary: DataFrame, t
     ).first()
     if 0 in shape.sizes:
         raise ValueError("dictionary entries need at least one letter or digit")
+    head = [r[0] for r in entries.select("first_word").distinct().limit(MAX_FIRST_WORDS + 1).collect()]
+    first_words = head if len(head) <= MAX_FIRST_WORDS else None
+    entries = entries.drop("first_word")
     if (shape.bytes or 0) <= MAX_BROADCAST_BYTES:
         entries = F.broadcast(entries)
 
     worded = blocks.select(*keys, _folded_words(F.col(text)).alias("_words"))
-    sequences = [_sequences("_words", n) for n in shape.sizes] or [F.array().cast("array<string>")]
+    sequences = [_sequences("_words", n, first_words) for n in shape.sizes] or [F.array().cast("array<string>")]
     grams = sp.unnest(worded, keys, F.array_distinct(F.concat(*sequences)), "gram")
     rule = F.when(F.col("kind") == "name", RULE_OF_KIND["name"]).otherwise(RULE_OF_KIND["company"])
     return (

@@ -98,11 +98,12 @@ def match_passages(df: DataFrame, spans: str = "spans", truth: str = "truth") ->
             ),
         }
     )
-    options = F.transform(
+    options = sp.with_each(
         "_pred",
-        lambda p: F.transform(
+        "_true",
+        lambda p, labels: F.transform(
             F.filter(
-                "_true",
+                labels,
                 lambda t: (t["pii_type"] == p["pii_type"]) & _forms_match(p["form"], t["form"]),
             ),
             lambda t: t["idx"],
@@ -119,28 +120,23 @@ def match_passages(df: DataFrame, spans: str = "spans", truth: str = "truth") ->
 
 
 def passage_outcomes(df: DataFrame, spans: str = "spans", truth: str = "truth") -> DataFrame:
-    """One row per prediction or missed truth: keys of ``df`` kept out, (pii_type, outcome)."""
-    hit = F.transform(
+    """One row (passage_id, pii_type, outcome) per prediction and per missed truth."""
+    outcome = "array<struct<pii_type:string,outcome:string>>"
+    hit = F.zip_with(
         spans,
-        lambda s, i: F.struct(
-            s["pii_type"].alias("pii_type"),
-            F.when(F.element_at("matched", i + 1) >= 0, "tp").otherwise("fp").alias("outcome"),
+        "matched",
+        lambda s, m: F.struct(
+            s["pii_type"].alias("pii_type"), F.when(m >= 0, "tp").otherwise("fp").alias("outcome")
         ),
     )
+    free = F.array_except(F.transform(truth, lambda t, i: i), "matched")
     missed = F.transform(
-        F.filter(
-            F.transform(
-                truth,
-                lambda t, i: F.struct(
-                    t["type"].alias("pii_type"),
-                    F.when(F.array_contains("matched", i), "tp").otherwise("fn").alias("outcome"),
-                ),
-            ),
-            lambda t: t["outcome"] == "fn",
+        free,
+        lambda i: F.struct(
+            F.get(F.col(truth), i)["type"].alias("pii_type"), F.lit("fn").alias("outcome")
         ),
-        lambda t: t,
     )
-    both = F.concat(hit, F.coalesce(missed, F.array().cast("array<struct<pii_type:string,outcome:string>>")))
+    both = F.concat(hit, F.coalesce(missed, F.array().cast(outcome)))
     return sp.unnest(df, ["passage_id"], both, "o").select("passage_id", "o.*")
 
 

@@ -100,10 +100,13 @@ def run_summary(df: DataFrame, entities: str = "entities") -> DataFrame:
 
 def residual(df: DataFrame, original_entities: str, redacted: str, keys: Sequence[str]) -> DataFrame:
     """Originals that still stand somewhere in the redacted text of their row."""
-    left = F.filter(F.col(original_entities), lambda e: F.contains(F.col(redacted), e["value"]))
-    leaks = F.array_distinct(
-        F.transform(
-            left, lambda e: F.struct(e["pii_type"].alias("pii_type"), e["value"].alias("value"))
-        )
+    checked = sp.with_each(
+        original_entities,
+        redacted,
+        lambda e, after: F.when(
+            F.contains(after, e["value"]),
+            F.struct(e["pii_type"].alias("pii_type"), e["value"].alias("value")),
+        ),
     )
+    leaks = F.array_distinct(F.filter(checked, lambda leak: leak.isNotNull()))
     return sp.unnest(df, keys, leaks, "leak").select(*keys, "leak.*")

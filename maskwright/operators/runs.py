@@ -75,11 +75,12 @@ def redact_runs(df: DataFrame, runs: str = "runs", entities: str = "entities") -
     placed = df.withColumn("_placed", run_offsets(F.col(runs)))
     return placed.withColumn(
         runs,
-        F.transform(
-            F.col("_placed"),
-            lambda r: F.struct(
+        sp.with_each(
+            "_placed",
+            entities,
+            lambda r, found: F.struct(
                 r["run_id"].alias("run_id"),
-                _run_text(r, F.col(entities)).alias("text"),
+                _run_text(r, found).alias("text"),
                 r["bold"].alias("bold"),
                 r["italic"].alias("italic"),
             ),

@@ -150,8 +150,11 @@ def detect_distinct_blocks(spark, folder):
     return lines.join(spans, "text").drop("text").withColumn("block_id", F.col("block_id").cast("long"))
 
 
-def _hits(spark, folder, pattern, groups=(0,), hit=0, sources=None):
-    texts = corpus(spark, folder) if sources is None else fixture_texts(spark, folder, *sources)
+def _hits(spark, folder, pattern, groups=(0,), hit=0, gate=None):
+    """Bare matches of a pattern; ``gate`` is a cheaper pattern that every match contains."""
+    texts = corpus(spark, folder)
+    if gate is not None:
+        texts = texts.where(F.rlike("text", F.lit(gate)))
     staged = texts.withColumn("_scan", sp.markable(F.col("text")))
     hits = sp.scan(F.col("_scan"), pattern, groups, hit)
     return sp.unnest(staged, [*KEYS, "text"], hits, "h").select(
@@ -214,7 +217,7 @@ def trim_spans(spark, folder):
 
 
 def _company_hits(spark, folder):
-    return _hits(spark, folder, p.COMPANY_SUFFIX).withColumn("value", v.strip(F.col("value"))).select(
+    return _hits(spark, folder, p.COMPANY_SUFFIX, gate=p.COMPANY_SUFFIX_HIT).withColumn("value", v.strip(F.col("value"))).select(
         *KEYS, F.col("end").cast("long").alias("end"), "value"
     )
 
