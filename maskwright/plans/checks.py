@@ -307,7 +307,7 @@ when {kind} = 'PHONE' then case
 when {kind} = 'COMPANY' then {choose(su.COMPANY_WORDS, num(0))} || ' Enterprises ' || case {suffix} else '{fv.COMPANY_DEFAULT_FORM}' end
 when {kind} = 'ADDRESS' then ({num(0)} % 999 + 1) || ' ' || {choose(su.STREETS, num(1))} || ', ' || {cities[0]} || ', ' || {cities[1]} || ' – ' || {cities[2]} || lpad(({num(3)} % 1000)::varchar, 3, '0') || ', India'
 when {kind} = 'SSN' then lpad(({area} + case when {area} >= 666 then 1 else 0 end)::varchar, 3, '0') || '-' || lpad(({num(1)} % 99 + 1)::varchar, 2, '0') || '-' || lpad(({num(2)} % 9999 + 1)::varchar, 4, '0')
-when {kind} = 'CREDIT_CARD' then {choose(fv.TEST_CARDS, num(0))}
+when {kind} = 'CREDIT_CARD' then case when {digits(k)} = {digits(choose(fv.TEST_CARDS, num(0)))} then {choose(fv.TEST_CARDS, num(0) + ' + 1')} else {choose(fv.TEST_CARDS, num(0))} end
 when {kind} = 'DOB' then case when contains({k}, '/') then strftime({born}, '%d/%m/%Y') when contains({k}, '-') then strftime({born}, '%d-%m-%Y') else strftime({born}, '%d %B %Y') end
 when {kind} = 'IP_ADDRESS' then case {num(0)} % 3 when 0 then '10.' || ({num(1)} % 256) when 1 then '172.' || ({num(1)} % 16 + 16) else '192.168' end || '.' || ({num(2)} % 256) || '.' || ({num(3)} % 256)
 else '{fv.FALLBACK_REPLACEMENT}' end"""

@@ -55,6 +55,8 @@ def test_replacement_formats(spark):
         assert re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", x)
     assert all(brute.luhn(x) for x in made(spark, "CREDIT_CARD", many))
     assert set(made(spark, "CREDIT_CARD", many)) == set(fv.TEST_CARDS)
+    own = [c.replace(" ", sep) for c in fv.TEST_CARDS for sep in (" ", "-", "")]
+    assert not [a for a, b in zip(own, made(spark, "CREDIT_CARD", own)) if a.replace("-", "").replace(" ", "") == b.replace(" ", "")]
     for x in made(spark, "IP_ADDRESS", many):
         assert re.fullmatch(r"10\.\d+\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+|192\.168\.\d+\.\d+", x)
         assert all(int(o) < 256 for o in x.split("."))
