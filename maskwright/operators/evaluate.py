@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv, normalise as n, spans as sp, validators as v
+from . import detectors
 from .redact import categories
 
 STATS = ("pii_type", "tp", "fp", "fn")
@@ -234,6 +235,37 @@ def binary_accuracy(case_stats: DataFrame, negatives: DataFrame, cases: DataFram
     return parts.agg(F.round(F.sum("good") / F.sum("all"), 4).alias("accuracy"))
 
 
+def case_stats(cases: DataFrame, negatives: DataFrame, spans: str = "spans") -> DataFrame:
+    """tp, fp, fn per category over labelled cases, with the detections in negative texts."""
+    zero = F.lit(0).cast("long")
+    wrong = sp.unnest(negatives, (), spans, "s").select(
+        F.col("s.pii_type").alias("pii_type"), zero.alias("tp"), F.lit(1).cast("long").alias("fp"), zero.alias("fn")
+    )
+    return (
+        score_cases(cases, spans).drop("case_id").unionByName(wrong)
+        .groupBy("pii_type").agg(*[F.sum(c).alias(c) for c in STATS[1:]])
+    )
+
+
+def passage_metrics(passages: DataFrame) -> DataFrame:
+    """Unrounded metrics over labelled passages that carry ``spans`` and ``truth``."""
+    matched = match_passages(passages)
+    return per_type(passage_stats(passage_outcomes(matched)), observed_types(matched))
+
+
+def run(cases: DataFrame, negatives: DataFrame, passages: DataFrame, **detection) -> DataFrame:
+    """Both tiers: detect and score cases with negatives, and labelled passages.
+
+    No passages at all give a second tier of zero counts, none of them observed.
+    """
+    def found(df: DataFrame) -> DataFrame:
+        return detectors.detect(df, **detection)
+
+    first = rounded(per_type(case_stats(found(cases), found(negatives))))
+    second = rounded(passage_metrics(found(passages)))
+    return first.withColumn("tier", F.lit("cases")).unionByName(second.withColumn("tier", F.lit("passages")))
+
+
 def report(metrics: DataFrame) -> DataFrame:
     """Metrics as printed: categories that were not observed show nulls."""
     shown = rounded(metrics)

@@ -436,22 +436,7 @@ def eval_passages(spark, folder):
 
 
 def _passage_metrics(spark, folder):
-    matched = _matched(spark, folder)
-    stats = ev.passage_stats(ev.passage_outcomes(matched))
-    return ev.per_type(stats, ev.observed_types(matched))
-
-
-def _case_stats(spark, folder):
-    cases = ev.score_cases(_cases(spark, folder))
-    wrong = sp.unnest(_negatives(spark, folder), (), "spans", "s").select(
-        F.col("s.pii_type").alias("pii_type"),
-        F.lit(0).cast("long").alias("tp"),
-        F.lit(1).cast("long").alias("fp"),
-        F.lit(0).cast("long").alias("fn"),
-    )
-    return cases.drop("case_id").unionByName(wrong).groupBy("pii_type").agg(
-        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
-    )
+    return ev.passage_metrics(dt.detect(_passages(spark, folder)))
 
 
 def metrics_per_type(spark, folder):
@@ -477,14 +462,8 @@ def eval_report(spark, folder):
 
 def evaluation_run(spark, folder):
     """Both tiers: labelled cases with negatives, and labelled passages."""
-    cases = ev.per_type(_case_stats(spark, folder))
-    passages = _passage_metrics(spark, folder)
-    tiers = [("cases", cases), ("passages", passages)]
-    out = None
-    for name, metrics in tiers:
-        part = ev.rounded(metrics).withColumn("tier", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    cases = fx.run_sql(spark, folder, fx.CASES).withColumn("expected", F.array("expected"))
+    return ev.run(cases, fx.run_sql(spark, folder, fx.NEGATIVES), _passages(spark, folder))
 
 
 # --- streams -------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TRUTH_SCHEMA = (
@@ -46,16 +47,26 @@ def text_blocks(
     return out
 
 
-def passages(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Labelled passages from JSON files: (file, passage_id, text, truth).
+def truth_files(spark: SparkSession, path: str | Sequence[str], optional: bool = True) -> DataFrame:
+    """Label files: (file, metadata, passages), one object per file.
 
-    One file holds one object with ``metadata`` and ``passages``; point it at a folder
-    of many files to spread the reading.
+    Point it at a folder of many files to spread the reading.  An optional path that
+    does not exist gives no rows.
     """
+    try:
+        raw = spark.read.schema(TRUTH_SCHEMA).json(path, multiLine=True)
+    except AnalysisException as error:
+        if not optional or error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "file string, " + TRUTH_SCHEMA)
+    return raw.select(F.col("_metadata.file_path").alias("file"), "metadata", "passages")
+
+
+def passages(spark: SparkSession, path: str | Sequence[str], optional: bool = True) -> DataFrame:
+    """Labelled passages of label files: (file, passage_id, text, truth)."""
     return (
-        spark.read.schema(TRUTH_SCHEMA)
-        .json(path, multiLine=True)
-        .select(F.col("_metadata.file_path").alias("file"), F.posexplode("passages").alias("passage_id", "p"))
+        truth_files(spark, path, optional)
+        .select("file", F.posexplode("passages").alias("passage_id", "p"))
         .select("file", "passage_id", "p.text", F.col("p.ground_truth_pii").alias("truth"))
     )
 

@@ -46,6 +46,15 @@ def test_metrics(spark):
     assert report["SSN"] is None and report["EMAIL"] == 0.8571
 
 
+def test_run_without_labels(spark):
+    cases = spark.createDataFrame([(0, "EMAIL", "mail a@b.org", ["a@b.org"])], "case_id int, pii_type string, text string, expected array<string>")
+    negatives = spark.createDataFrame([(0, "mail x@y.org")], "case_id int, text string")
+    none = spark.createDataFrame([], f"passage_id int, text string, truth {TRUTH}")
+    rows = {(r.tier, r.pii_type): (r.tp, r.fp, r.fn, r.observed) for r in ev.run(cases, negatives, none).collect()}
+    assert rows["cases", "EMAIL"] == (1, 1, 0, True) and len(rows) == 18
+    assert {v for (tier, _), v in rows.items() if tier == "passages"} == {(0, 0, 0, False)}
+
+
 def test_cases_and_negatives(spark):
     """One case of every category and texts that hold nothing: all decided rightly."""
     cases = [

@@ -133,6 +133,17 @@ def test_truth_files(spark, tmp_path):
     assert [(r.passage_id, r.truth_idx, r.pii_type, r.value) for r in rows] == [(0, 0, "EMAIL", "a@b.org"), (1, None, None, None)]
 
 
+def test_missing_files(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    assert rs.passages(spark, str(tmp_path / "none.json")).count() == 0
+    with pytest.raises(AnalysisException):
+        rs.passages(spark, str(tmp_path / "none.json"), optional=False)
+    with pytest.raises(AnalysisException):
+        rs.table(spark, str(tmp_path), "documents")
+
+
 def test_sweep_example(spark):
     from maskwright.functions import spans as sp
 
