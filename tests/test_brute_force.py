@@ -15,7 +15,7 @@ PIECES = [
     "being", "son of", "namely", "made", "Risk Factors", "OUR PROMOTERS:", "and", "Promoter", "+91", "9876543210", "020", "22881234",
     "(20)", "6729 5100", "₹", "Rs.", "$", "shares", "Mob No", "Fax", "a.b", "mail@x.org", "%x", "example.com", "123-45-6789",
     "000-12-3456", "4111 1111 1111 1111", "4111111111111111", "5105-1051-0510-5100", "10.0.0.1", "192.168.1.256", "v", "server",
-    "1.2.3.4", "01.2.3.4", "DOB", "Born", "14/08/1998", "14th Aug 98", "August 14, 1998", "Date of Birth", "٣", "hegde", "\x01", "ſ",
+    "1.2.3.4", "01.2.3.4", "DOB", "Born", "14/08/1998", "14th Aug 98", "August 14, 1998", "Date of Birth", "٣", "quint", "\x01", "ſ",
 ]
 
 
