@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,17 +27,13 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder in the place the cluster names in ``spark.checkpoint.dir``.
+    """A fresh folder that driver and executors share.
 
-    A local session without that setting gets a temporary folder; a cluster
-    session without it is refused, since executors could not reach such a folder.
+    It lies in ``spark.checkpoint.dir``; where that is unset, below the warehouse folder,
+    which a cluster shares as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="maskwright-")
-    return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame, *keys: str, enough: DataFrame | None = None) -> DataFrame:

@@ -9,8 +9,9 @@ from maskwright.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(cores=8, memory="6g")
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    session = local_session(cores=8, memory="6g", **{"spark.checkpoint.dir": f"file://{shared}"})
     yield session
     session.stop()
 
