@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import sharding, simhash
+from . import packing, records, sharding, simhash
+from ..session import shared_folder
 from .common import table
 
 SHARDS = 24
@@ -15,6 +16,17 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op6_record_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Writes the record files and their index, and reads the files back."""
+    path = shared_folder(spark, "records")
+    records.write(table(spark, folder, "documents"), "doc_id", "text", path)
+    return records.read(spark, path)
+
+
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def op10_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.placed(table(spark, folder, "documents"), "doc_id", "text", SHARDS)
     return placed.select(
@@ -22,5 +34,5 @@ def op10_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op10_jump_sharding)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op6_record_files, op8_best_fit_packing, op10_jump_sharding)}
 CHECKS: dict[str, str] = {}
