@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, records, sharding, simhash
+from . import packing, records, sharding, simhash, topk
 from ..session import shared_folder
 from .common import table
 
@@ -16,6 +16,10 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op3_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", every=20, k=20)
+
+
 def op6_record_files(spark: SparkSession, folder: str) -> DataFrame:
     """Writes the record files and their index, and reads the files back."""
     path = shared_folder(spark, "records")
@@ -34,5 +38,24 @@ def op10_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op6_record_files, op8_best_fit_packing, op10_jump_sharding)}
-CHECKS: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_topk, op6_record_files, op8_best_fit_packing, op10_jump_sharding)}
+CHECKS: dict[str, str] = {
+    "op3_exact_topk": """
+        with v as (
+            select distinct vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v
+            from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ),
+        scored as (
+            select q.vec_id as query_id, c.vec_id as vec_id,
+                   list_inner_product(q.v::double[], c.v::double[])::bigint as score
+            from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)
+            where q.vec_id % 20 = 0
+        )
+        select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank,
+               vec_id, score
+        from scored
+        qualify rank <= 20
+    """,
+}
