@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, records, sharding, simhash, topk
+from . import packing, quality, records, sharding, simhash, topk
 from ..session import shared_folder
 from .common import table
 
@@ -31,6 +31,10 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.placed(table(spark, folder, "documents"), "doc_id", "text", SHARDS)
     return placed.select(
@@ -38,7 +42,7 @@ def op10_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_topk, op6_record_files, op8_best_fit_packing, op10_jump_sharding)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_topk, op6_record_files, op8_best_fit_packing, op9_quality, op10_jump_sharding)}
 CHECKS: dict[str, str] = {
     "op3_exact_topk": """
         with v as (
