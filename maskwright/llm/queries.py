@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, quality, records, sharding, simhash, topk
+from . import decontaminate, packing, quality, records, sharding, simhash, topk
 from ..session import shared_folder
 from .common import table
 
@@ -20,6 +20,10 @@ def op3_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", every=20, k=20)
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_record_files(spark: SparkSession, folder: str) -> DataFrame:
     """Writes the record files and their index, and reads the files back."""
     path = shared_folder(spark, "records")
@@ -42,7 +46,7 @@ def op10_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_topk, op6_record_files, op8_best_fit_packing, op9_quality, op10_jump_sharding)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_topk, op4_decontamination, op6_record_files, op8_best_fit_packing, op9_quality, op10_jump_sharding)}
 CHECKS: dict[str, str] = {
     "op3_exact_topk": """
         with v as (
