@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, quality, records, sharding, simhash, topk
+from . import decontaminate, lm_score, packing, quality, records, sharding, simhash, topk
 from ..session import shared_folder
 from .common import table
 
 SHARDS = 24
 
 
+def op1_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.scores(table(spark, folder, "documents"))
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.groups(table(spark, folder, "documents"), "doc_id", "text", words=3, distance=2)
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
@@ -46,7 +50,7 @@ def op10_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_exact_topk, op4_decontamination, op6_record_files, op8_best_fit_packing, op9_quality, op10_jump_sharding)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_exact_topk, op4_decontamination, op6_record_files, op8_best_fit_packing, op9_quality, op10_jump_sharding)}
 CHECKS: dict[str, str] = {
     "op3_exact_topk": """
         with v as (
