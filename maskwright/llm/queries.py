@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, lm_score, packing, quality, records, sharding, simhash, topk
+from . import decontaminate, lm_score, packing, quality, records, sharding, simhash, token_counts, topk
 from ..session import shared_folder
 from .common import table
 
@@ -35,6 +35,11 @@ def op6_record_files(spark: SparkSession, folder: str) -> DataFrame:
     return records.read(spark, path)
 
 
+def op7_token_attribution(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every line of every document, from one encoding of the whole text."""
+    return token_counts.counts(table(spark, folder, "documents"), rule="first")
+
+
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -50,7 +55,7 @@ def op10_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_exact_topk, op4_decontamination, op6_record_files, op8_best_fit_packing, op9_quality, op10_jump_sharding)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_exact_topk, op4_decontamination, op6_record_files, op7_token_attribution, op8_best_fit_packing, op9_quality, op10_jump_sharding)}
 CHECKS: dict[str, str] = {
     "op3_exact_topk": """
         with v as (
