@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, lm_score, packing, quality, records, sharding, simhash, token_counts, topk
+from . import decontaminate, lm_score, packing, quality, records, sharding, simhash, token_counts, topk, warc
 from ..session import shared_folder
 from .common import table
 
@@ -28,6 +29,23 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def _rehearsed_fault(page: int | None, data: bytes) -> bytes:
+    """Every 101st page's record gets one byte changed in the copy."""
+    if page is None or page % 101 != 7:
+        return data
+    at = len(data) // 2
+    return data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :]
+
+
+def op5_warc_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as WARC volumes, a replica with rehearsed faults, and the audit that finds them."""
+    first, second = shared_folder(spark, "warc"), shared_folder(spark, "warc-copy")
+    index = warc.write(table(spark, folder, "pages"), first)
+    warc.replicate(index, first, second, _rehearsed_fault)
+    found = warc.audit(warc.leaves(index, first), warc.leaves(index, second))
+    return found.select("page_id", "fault")
+
+
 def op6_record_files(spark: SparkSession, folder: str) -> DataFrame:
     """Writes the record files and their index, and reads the files back."""
     path = shared_folder(spark, "records")
@@ -55,8 +73,13 @@ def op10_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_exact_topk, op4_decontamination, op6_record_files, op7_token_attribution, op8_best_fit_packing, op9_quality, op10_jump_sharding)}
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_exact_topk, op4_decontamination, op5_warc_audit, op6_record_files, op7_token_attribution, op8_best_fit_packing, op9_quality, op10_jump_sharding, pipeline)}
 CHECKS: dict[str, str] = {
+    "op5_warc_audit": "select page_id, 'changed' as fault from pages where page_id % 101 = 7",
     "op3_exact_topk": """
         with v as (
             select distinct vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v
@@ -76,3 +99,5 @@ CHECKS: dict[str, str] = {
         qualify rank <= 20
     """,
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
