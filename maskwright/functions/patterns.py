@@ -75,11 +75,14 @@ def is_word(char: str) -> bool:
 
 
 # --- JVM forms --------------------------------------------------------------------------
-# A local part may start with one of .%+- only right after a word character.
+# A run of local characters is walked once: it is entered at its start (or where the match
+# before ended), skips to its first possible start of a local part, and stays with that one,
+# since all starts of a run share its end.  Group 1 is what was skipped, group 2 the hit.  A local part may start with one of .%+- only right
+# after a word character.
+_LOCAL, _DOMAIN = fv.EMAIL.split("+@")
 EMAIL = java(
-    rf"(?:{WORD_START}[A-Za-z0-9_]|(?<={_WORD})[.%+-])"
-    + fv.EMAIL.replace("]+@", "]*+@", 1)
-    + WORD_END
+    rf"(?:\G|(?<!{_LOCAL}))((?>{_LOCAL}*?(?={WORD_START}[A-Za-z0-9_]|(?<={_WORD})[.%+-])))"
+    rf"({_LOCAL}++@{_DOMAIN}{WORD_END})"
 )
 SSN = java(DIGIT_START + fv.SSN + WORD_END)
 CARD = java(rf"{DIGIT_START}(?:{fv.CARD_GROUPED}|{fv.CARD_PLAIN}){WORD_END}")
@@ -91,16 +94,29 @@ PHONE_STANDALONE = java(
     rf"|{fv.PHONE_INTERNATIONAL}{BOUNDARY}"
     rf"|{DIGIT_START}{fv.PHONE_LANDLINE}{WORD_END}"
 )
-ADDRESS_CONTEXT = java(starting("ABCMOR", fv.ADDRESS_CONTEXT), ignore_case=True)
+# If the text behind a header holds no place up to the end of its clause, no header further
+# on in the clause can do better, unless its own blanks or point leave the clause.  So a
+# header without a place takes what follows with it, up to such a header; group 1 is empty then.
+_HEADER, _PLACE = fv.ADDRESS_CONTEXT.split(r"[\s:]+", 1)
+_HEADER_INSIDE = _HEADER.replace(r"|Regd\.\s+Office", "").replace(r"\s+", r"(?:(?!\n)\s)+")
+_HEADER_LEAVING = rf"(?=[ABCMOR])(?={_HEADER}[\s:])(?!{_HEADER_INSIDE}(?:(?!\n)[\s:])++[^\n])"
+ADDRESS_CONTEXT = java(
+    starting("ABCMOR", rf"{_HEADER}(?:[\s:]+{_PLACE}|[\s:]+(?:(?!{_HEADER_LEAVING})[^\n;.])*+)"),
+    ignore_case=True,
+)
 PIN = java(
     rf"{DIGIT_START}(?:{fv.ADDRESS_PIN_SOLID}|{fv.ADDRESS_PIN_SPLIT}){WORD_END}"
 )
 # Blanks and token characters exclude each other, so possessive quantifiers find
-# the same spans and keep a failing attempt linear.
+# the same spans, and one attempt for each run of token characters is enough: from its first
+# word boundary, since what follows the run is the same for all of them.  Group 1 is what comes
+# before that boundary, group 2 the hit.
 COMPANY_SUFFIX_HIT = java(rf"\s{fv.COMPANY_SUFFIX}{BOUNDARY}")
+_TOKEN = fv.COMPANY_TOKEN.removesuffix("*")
 COMPANY_SUFFIX = java(
-    rf"{BOUNDARY}{fv.COMPANY_TOKEN}+(?:\s++{fv.COMPANY_TOKEN}+){{0,{fv.COMPANY_EXTRA_TOKENS}}}"
-    rf"\s+{fv.COMPANY_SUFFIX}{BOUNDARY}"
+    rf"(?:\G|(?<!{_TOKEN}))((?>{_TOKEN}*?(?={BOUNDARY})))({fv.COMPANY_TOKEN}+"
+    rf"(?:\s++{fv.COMPANY_TOKEN}+){{0,{fv.COMPANY_EXTRA_TOKENS}}}"
+    rf"\s+{fv.COMPANY_SUFFIX}{BOUNDARY})"
 )
 NAME_SALUTATION = java(
     starting("DMPS", WORD_START + fv.NAME_SALUTATION + fv.NAME_WORDS + WORD_END)

@@ -40,6 +40,44 @@ def markable(text: Column) -> Column:
     ).otherwise(text)
 
 
+CHUNK = 256
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def chunks(array: Column) -> Column:
+    """The array cut into arrays of CHUNK elements; none if it is empty."""
+    n = F.ceil(F.size(array) / CHUNK).cast("int")
+    return F.transform(
+        F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1))), F.lit(1), n),
+        lambda i: F.slice(array, i * CHUNK + 1, F.lit(CHUNK)),
+    )
+
+
+def sums_before(sizes: Column) -> Column:
+    """For each number the sum of those before it.
+
+    An array cannot grow in place, so the sums are gathered chunk by chunk: the copying
+    stays near the length of the array, where one long fold would square it.
+    """
+
+    def running(array: Column) -> Column:
+        return F.aggregate(
+            array,
+            F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("before")),
+            lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["before"], F.array(s["sum"])).alias("before")),
+        )
+
+    def joined(inner: Column) -> Column:
+        outer = running(F.transform(inner, lambda c: c["sum"]))["before"]
+        return F.flatten(F.zip_with(inner, outer, lambda c, at: F.transform(c["before"], lambda x: x + at)))
+
+    return let(sizes, lambda xs: let(F.transform(chunks(xs), running), joined))
+
+
 def scan(
     text: Column,
     pattern: str | Column,
@@ -50,56 +88,51 @@ def scan(
 
     ``groups`` are the regex groups to cut each match into and ``hit`` is the
     index of the one to report.  The groups must add up to the match, except that
-    ``(0, 1)`` reports group 1 of patterns whose match ends with group 1.
+    ``(0, 1)`` reports group 1 of patterns whose match ends with group 1.  ``before`` is the part
+    in front of the hit; for ``(0,)`` the match before and the gap between.
     """
     tail = groups == (0, 1)
     marked = F.regexp_replace(
         text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(MARK + "".join(f"${g}{MARK}" for g in groups))
     )
     width = len(groups) + 1
-    hit_slot = hit + 1
-
-    def step(state: Column, part: Column) -> Column:
-        pos, slot, size = state["pos"], state["slot"], F.length(part)
-        start = pos - size if tail else pos
-        end = pos if tail else pos + size
-        found = F.struct(
-            start.alias("start"), end.alias("end"), part.alias("value"), state["before"].alias("before")
-        )
-        is_hit = (slot == hit_slot) & (size > 0)
-        moved = pos + F.when(slot == 2, 0).otherwise(size) if tail else pos + size
-        return F.struct(
-            moved.alias("pos"),
-            ((slot + 1) % width).cast("int").alias("slot"),
-            part.alias("before"),
-            F.when(is_hit, F.concat(state["hits"], F.array(found)))
-            .otherwise(state["hits"])
-            .alias("hits"),
-        )
+    slot = hit + 1
 
-    start_state = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(0).alias("slot"),
-        F.lit("").alias("before"),
-        no_hits().alias("hits"),
-    )
-    return F.aggregate(F.split(marked, MARK, -1), start_state, step, lambda s: s["hits"])
+    def sizes(parts: Column) -> Column:
+        if tail:  # group 1 lies inside the match
+            return F.transform(parts, lambda x, i: F.when(i % width == 2, 0).otherwise(F.length(x)))
+        return F.transform(parts, F.length)
+
+    def hits(parts: Column) -> Column:
+        n = F.floor((F.size(parts) - 1) / width).cast("int")
+        matches = F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1))), F.lit(1), n)
+
+        def found(i: Column, starts: Column) -> Column:
+            at = i * width + slot
+            value = parts[at]
+            start = starts[at] - F.length(value) if tail else starts[at]
+            before = parts[at - 1]
+            if width == 2:
+                before = F.concat(F.when(i > 0, parts[F.greatest(at - 2, F.lit(0))]).otherwise(F.lit("")), before)
+            return F.struct(
+                start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), before.alias("before")
+            )
+
+        listed = let(sums_before(sizes(parts)), lambda starts: F.transform(matches, lambda i: found(i, starts)))
+        return F.when(F.size(parts) > 1, F.filter(listed, lambda h: F.length(h["value"]) > 0)).otherwise(no_hits())
+
+    return let(F.split(marked, MARK, -1), hits)
 
 
 def occurrences(text: Column, literal: Column) -> Column:
     """Start offsets of every non-overlapping, case-sensitive occurrence of a literal."""
-    gaps = F.split(text, F.concat(F.lit("\\Q"), literal, F.lit("\\E")), F.lit(-1))
     size = F.length(literal)
-    state = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts"))
-    return F.aggregate(
-        F.slice(gaps, F.lit(1), F.size(gaps) - 1),
-        state,
-        lambda s, gap: F.struct(
-            (s["pos"] + F.length(gap) + size).alias("pos"),
-            F.concat(s["starts"], F.array(s["pos"] + F.length(gap))).alias("starts"),
-        ),
-        lambda s: s["starts"],
-    )
+
+    def starts(gaps: Column) -> Column:
+        whole = sums_before(F.transform(gaps, lambda g: F.length(g) + size))
+        return F.transform(F.slice(whole, F.lit(2), F.size(gaps) - 1), lambda at: at - size)
+
+    return let(F.split(text, F.concat(F.lit("\\Q"), literal, F.lit("\\E")), F.lit(-1)), starts)
 
 
 def unnest(df: DataFrame, keys: Sequence[str], array: str | Column, name: str) -> DataFrame:
@@ -126,8 +159,16 @@ def before_window(text: Column, start: Column, width: int) -> Column:
     return F.substring(text, F.greatest(start - width, F.lit(0)) + 1, F.least(start, F.lit(width)))
 
 
+def last(text: Column, width: int) -> Column:
+    """The last ``width`` characters, or all there are."""
+    return F.when(F.length(text) > width, F.substring(text, F.lit(-width), F.lit(width))).otherwise(text)
+
+
 def value_at(text: Column, hit: Column) -> Column:
-    return F.substring(text, hit["start"] + 1, hit["end"] - hit["start"])
+    """The value as the text has it: other than scanned if it holds the mark character."""
+    return F.when(
+        F.contains(hit["value"], F.lit(MARK_STAND_IN)), F.substring(text, hit["start"] + 1, hit["end"] - hit["start"])
+    ).otherwise(hit["value"])
 
 
 def tag(hits: Column, rule: str) -> Column:
@@ -157,32 +198,51 @@ def resolve(spans: Column) -> Column:
             s.alias("span"),
         ),
     )
-    return F.aggregate(
-        F.array_sort(keyed),
-        F.struct(F.lit(-1).alias("end"), no_spans().alias("kept")),
-        lambda acc, k: F.when(
+    def step(acc: Column, k: Column) -> Column:
+        return F.when(
             k["start"] >= acc["end"],
             F.struct(
                 k["span"]["end"].alias("end"),
                 F.concat(acc["kept"], F.array(k["span"])).alias("kept"),
             ),
-        ).otherwise(acc),
-        lambda acc: acc["kept"],
+        ).otherwise(acc)
+
+    def sweep(acc: Column, chunk: Column) -> Column:
+        swept = F.aggregate(chunk, F.struct(acc["end"].alias("end"), no_spans().alias("kept")), step)
+        return let(
+            swept,
+            lambda s: F.struct(s["end"].alias("end"), F.concat(acc["kept"], F.array(s["kept"])).alias("kept")),
+        )
+
+    return let(
+        F.array_sort(keyed),
+        lambda ordered: F.aggregate(
+            chunks(ordered),
+            F.struct(F.lit(-1).alias("end"), F.array().cast(f"array<{SPANS}>").alias("kept")),
+            sweep,
+            lambda acc: F.flatten(acc["kept"]),
+        ),
     )
 
 
 def splice(text: Column, spans: Column, replacement) -> Column:
     """The text with every span replaced; ``replacement`` maps a span to a column.
 
-    ``spans`` should be a plain column: it is read several times.
+    ``spans`` should be a plain column: it is read several times.  Pieces are cut from the text
+    at four bytes a character, where a place is found at once instead of by counting.
     """
-    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
-    pieces = F.zip_with(
-        spans,
-        F.slice(ends, F.lit(1), F.size(spans)),
-        lambda s, done: F.concat(
-            F.substring(text, done + 1, s["start"] - done), replacement(s)
-        ),
-    )
-    rest = F.substring(text, F.element_at(ends, -1) + 1, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
+
+    def piece(wide: Column, start: Column, size: Column) -> Column:
+        return F.decode(F.substring(wide, start * 4 + 1, size * 4), "UTF-32")
+
+    def joined(wide: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+        pieces = F.zip_with(
+            spans,
+            F.slice(ends, F.lit(1), F.size(spans)),
+            lambda s, done: F.concat(piece(wide, done, s["start"] - done), replacement(s)),
+        )
+        done = F.element_at(ends, -1)
+        return F.concat(F.array_join(pieces, ""), piece(wide, done, F.length(text) - done))
+
+    return F.when(F.size(spans) > 0, let(F.encode(text, "UTF-32"), joined)).otherwise(text)

@@ -70,7 +70,7 @@ def _stripped(h: Column) -> Column:
 
 
 def email(t: View) -> Column:
-    return _when(t.has("@"), sp.scan(t.scan, p.EMAIL))
+    return _when(t.has("@"), sp.scan(t.scan, p.EMAIL, (1, 2), 1))
 
 
 def ssn(t: View) -> Column:
@@ -91,7 +91,7 @@ def ipv4(t: View) -> Column:
         t.digit & F.rlike(t.text, F.lit(r"[0-9]\.[0-9]{1,3}\.")),
         F.filter(
             hits,
-            lambda h: ~v.version_before(sp.before_window(t.text, h["start"], fv.VERSION_WINDOW))
+            lambda h: ~v.version_before(sp.last(h["before"], fv.VERSION_WINDOW))
             & v.ipv4_valid(h["value"]),
         ),
     )
@@ -120,7 +120,7 @@ def phone_standalone(t: View) -> Column:
     kept = F.filter(
         hits,
         lambda h: F.length(v.digits_only(h["value"])).between(*fv.PHONE_STANDALONE_DIGITS)
-        & ~v.currency_before(sp.before_window(t.text, h["start"], fv.CURRENCY_WINDOW)),
+        & ~v.currency_before(sp.last(h["before"], fv.CURRENCY_WINDOW)),
     )
     gate = t.digit & (t.has("+91") | F.rlike(t.text, F.lit(r"\p{Nd}{6}")))
     return _when(gate, F.transform(kept, _stripped))
@@ -206,7 +206,7 @@ def _clean_address(h: Column) -> Column:
 
 
 def company_suffix(t: View) -> Column:
-    hits = F.transform(sp.scan(t.scan, p.COMPANY_SUFFIX), _stripped)
+    hits = F.transform(sp.scan(t.scan, p.COMPANY_SUFFIX, (1, 2), 1), _stripped)
     gate = t.has("Limited", "LIMITED", "Ltd", "LTD", "LLP", "Inc", "INC", "Corp", "CORP")
     return _when(
         gate & F.rlike(t.text, F.lit(p.COMPANY_SUFFIX_HIT)),

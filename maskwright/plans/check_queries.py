@@ -50,9 +50,9 @@ CHECKS = {
     "blocks_line": f"select doc_id, block_id, text from ({_DOC_LINES})",
     "blocks_table_cells": """
 select s_suppkey::bigint as doc_id, path, text from supplier, lateral (values
-  ('0/0/0', 'Header'), ('0/1/0', 'Email'), ('1/0/0', 'Manager'), ('1/0/1', s_name),
-  ('1/1/0', 'm' || s_suppkey || '@mail.example.org'), ('1/1/0/0/0', 'inner'),
-  ('1/1/0/1/0', 'mail s' || s_suppkey || '@mail.example.org')) t(path, text)""",
+  ('0/0/0', 'Crate'), ('0/1/0', 'Contents'), ('1/0/0', 'Keeper'), ('1/0/1', s_name),
+  ('1/1/0', 'm' || s_suppkey || '@mail.example.org'), ('1/1/0/0/0', 'label'),
+  ('1/1/0/1/0', 'ask s' || s_suppkey || '@mail.example.org')) t(path, text)""",
     "blocks_sections": """
 select c_custkey::bigint as doc_id, 'body' as section, 0::bigint as block_id, c_name as text from customer
 union all select c_custkey, 'body', 1, 'segment ' || c_mktsegment from customer

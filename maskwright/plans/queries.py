@@ -70,13 +70,13 @@ def _tables(spark, folder):
     plain = "array<struct<cells:array<string>>>"
     cell = lambda text, nested: F.struct(text.alias("text"), nested.cast(plain).alias("nested"))
     inner = F.array(
-        F.struct(F.array(F.lit("inner"), F.concat(F.lit("mail s"), key, F.lit("@mail.example.org"))).alias("cells"))
+        F.struct(F.array(F.lit("label"), F.concat(F.lit("ask s"), key, F.lit("@mail.example.org"))).alias("cells"))
     )
     rows = F.array(
-        F.struct(F.array(cell(F.lit("Header"), F.array()), cell(F.lit("Email"), F.array())).alias("cells")),
+        F.struct(F.array(cell(F.lit("Crate"), F.array()), cell(F.lit("Contents"), F.array())).alias("cells")),
         F.struct(
             F.array(
-                cell(F.concat(F.lit("Manager\n"), name), F.array()),
+                cell(F.concat(F.lit("Keeper\n"), name), F.array()),
                 cell(F.concat(F.lit("m"), key, F.lit("@mail.example.org")), inner),
             ).alias("cells")
         ),
@@ -217,7 +217,7 @@ def trim_spans(spark, folder):
 
 
 def _company_hits(spark, folder):
-    return _hits(spark, folder, p.COMPANY_SUFFIX, gate=p.COMPANY_SUFFIX_HIT).withColumn("value", v.strip(F.col("value"))).select(
+    return _hits(spark, folder, p.COMPANY_SUFFIX, (1, 2), 1, gate=p.COMPANY_SUFFIX_HIT).withColumn("value", v.strip(F.col("value"))).select(
         *KEYS, F.col("end").cast("long").alias("end"), "value"
     )
 

@@ -54,7 +54,7 @@ def _by(expr: str, *texts: str) -> str:
 _K, _S, _E = "c_custkey", "s_suppkey", "event_id"
 
 IDS = f"""select {_K} as doc_id, {_text(
-    "'Employee SSN '", pad(_K + " * 7 % 1000", 3), "'-'", pad(_K + " % 100", 2), "'-'",
+    "'Payroll SSN '", pad(_K + " * 7 % 1000", 3), "'-'", pad(_K + " % 100", 2), "'-'",
     pad(_K + " * 13 % 10000", 4), "'. '",
     _by(_K,
         _text("'DOB: '", pad(_K + " % 28 + 1", 2), "'/'", pad(_K + " % 12 + 1", 2), "'/'",
@@ -66,8 +66,8 @@ IDS = f"""select {_K} as doc_id, {_text(
         _text("'D.O.B.: August '", f"cast({_K} % 28 + 1 as string)", "', '",
               f"cast(1950 + {_K} % 50 as string)"),
         _text("'Meeting on '", pad(_K + " % 28 + 1", 2), "'/04/2021'")),
-    "'; card 4111 1111 1111 111'", f"cast({_K} % 10 as string)",
-    "' or 5105-1051-0510-51'", pad(_K + " % 100", 2), "'.'")} as text from {{customer}}"""
+    "'; card 4012 8888 8888 188'", f"cast({_K} % 10 as string)",
+    "' or 5555-5555-5555-44'", pad(_K + " % 100", 2), "'.'")} as text from {{customer}}"""
 
 CONTACTS = f"""select {_K} as doc_id, {_by(
     _K,
@@ -88,25 +88,25 @@ CONTACTS = f"""select {_K} as doc_id, {_by(
           _last(_K + " + 4"), "', 022-'", pad(_K + " % 10000000", 7), "' Contact No: 98'",
           pad(_K + " % 100000000", 8), "' for '", pick(_K, _WORD), "' Limited '", pick(_K + " + 1", _WORD),
           "' Corporation'"),
-    _text("'Call +91 98765 43210 now or +91-20-4505-'", pad(_K + " % 10000", 4), "' or 9'",
+    _text("'Ring +91 80123 45670 at noon or +91-80-2218-'", pad(_K + " % 10000", 4), "' or 9'",
           pad(_K + " % 1000000000", 9), "' or 020 '", pad(_K + " % 1000000", 6), "' today'"))
 } as text from {{customer}}"""
 
 ADDRESSES = f"""select {_S} as doc_id, {_by(
     _S,
-    _text("'Registered Office: '", f"cast({_S} % 90 + 1 as string)", "' Lake Road, Sector '",
-          f"cast({_S} % 30 + 1 as string)", "', '", pick(_S, _CITY), "' 411'", pad(_S + " % 1000", 3),
+    _text("'Registered Office: '", f"cast({_S} % 90 + 1 as string)", "' Fern Lane, Plot '",
+          f"cast({_S} % 30 + 1 as string)", "', '", pick(_S, _CITY), "' 395'", pad(_S + " % 1000", 3),
           "', India; end'"),
-    _text("'At 11/3, 11/'", f"cast({_S} % 9 + 1 as string)", "' and 11/5, Village Khed, Taluka-Khed '",
-          pick(_S, _CITY), "' – 410 '", pad(_S + " % 1000", 3), "' Maharashtra, India Tel: 020'"),
-    _text("'Wing A, Building No. '", f"cast({_S} % 9 + 1 as string)", "' Inspire Park G Block, Hill Street, '",
-          pick(_S, _CITY), "' 400 '", pad(_S + " % 1000", 3), "' Telephone'"),
+    _text("'Stores 7/2, 7/'", f"cast({_S} % 9 + 1 as string)", "', 9/4 Old Mill Marg near Salt Depot '",
+          pick(_S, _CITY), "' – 302 '", pad(_S + " % 1000", 3), "' Rajasthan, India Phone: 0141'"),
+    _text("'Block C, Building No. '", f"cast({_S} % 9 + 1 as string)", "' Tamarind Court, Quay Street, '",
+          pick(_S, _CITY), "' 395 '", pad(_S + " % 1000", 3), "' Telephone'"),
     _text("'Mailing Address: Flat "
           "', "f"cast({_S} % 99 as string)", "', Banyan Lane, '", pick(_S, _CITY), "' and more; Road to 12'"),
-    _text("'The board met on December 11, 2024 in Sector '", f"cast({_S} % 30 as string)",
-          "' of the plan and approved 400051 units.'"),
-    _text("'Office Address: '", f"cast({_S} % 500 as string)", "', Phase II, MIDC (North), '",
-          pick(_S, _CITY), "' 411 '", pad(_S + " % 1000", 3), "' (India) Contact'"))
+    _text("'A choir sang on March 3, 2019 near Sector '", f"cast({_S} % 30 as string)",
+          "' before 250 guests who bought 395006 tickets.'"),
+    _text("'Office Address: '", f"cast({_S} % 500 as string)", "', Unit 6, Weaver Yard (East), '",
+          pick(_S, _CITY), "' 395 '", pad(_S + " % 1000", 3), "' (India) Contact'"))
 } as text from {{supplier}}"""
 
 HOSTS = f"""select {_E} as doc_id, {_by(
@@ -195,38 +195,38 @@ CASES = f"""select {_K} as case_id, {pick(_K, ("FULL_NAME", "EMAIL", "PHONE", "C
     _K,
     _text(f"case when {_K} % 4 = 0 then 'Yesterday ' else 'Chairman: ' end", _first(_K), "' '", _last(_K)),
     _text("'Write to '", f"lower({_last(_K)})", "'@mail.example.org.'"),
-    _text("'Telephone: +91 20 4505 '", pad(_K + " % 10000", 4)),
-    _text(pick(_K, _WORD), "' Metals Private Limited is our supplier.'"),
-    _text("'Registered Office: '", f"cast({_K} % 90 + 1 as string)", "' Lake Road, Pune 411'", pad(_K + " % 1000", 3)),
-    _text("'SSN '", pad(_K + " * 7 % 1000", 3), "'-12-3456'"),
-    _text("'Card 4111 1111 1111 111'", f"cast({_K} % 2 as string)"),
-    _text("'DOB: 14/08/'", f"cast(1950 + {_K} % 50 as string)"),
-    _text("'Address 192.168.1.'", f"cast({_K} % 300 as string)"))} as text,
+    _text("'Telephone: +91 80 2218 '", pad(_K + " % 10000", 4)),
+    _text(pick(_K, _WORD), "' Metals Private Limited mends the bells.'"),
+    _text("'Registered Office: '", f"cast({_K} % 90 + 1 as string)", "' Fern Lane, Pune 395'", pad(_K + " % 1000", 3)),
+    _text("'SSN '", pad(_K + " * 7 % 1000", 3), "'-41-7782'"),
+    _text("'Card 4012 8888 8888 188'", f"cast({_K} % 2 as string)"),
+    _text("'DOB: 09/11/'", f"cast(1950 + {_K} % 50 as string)"),
+    _text("'Lamp at 172.20.4.'", f"cast({_K} % 300 as string)"))} as text,
  {_by(
     _K,
     _text(_first(_K), "' '", _last(_K)),
     _text(f"lower({_last(_K)})", "'@mail.example.org'"),
-    _text("'+91 20 4505 '", pad(_K + " % 10000", 4)),
+    _text("'+91 80 2218 '", pad(_K + " % 10000", 4)),
     _text(pick(_K, _WORD), "' Metals Private Limited'"),
-    _text(f"cast({_K} % 90 + 1 as string)", "' Lake Road, Pune 411'", pad(_K + " % 1000", 3)),
-    _text(pad(_K + " * 7 % 1000", 3), "'-12-3456'"),
-    _text("'4111 1111 1111 111'", f"cast({_K} % 2 as string)"),
-    _text("'14/08/'", f"cast(1950 + {_K} % 50 as string)"),
-    _text("'192.168.1.'", f"cast({_K} % 300 as string)"))} as expected
+    _text(f"cast({_K} % 90 + 1 as string)", "' Fern Lane, Pune 395'", pad(_K + " % 1000", 3)),
+    _text(pad(_K + " * 7 % 1000", 3), "'-41-7782'"),
+    _text("'4012 8888 8888 188'", f"cast({_K} % 2 as string)"),
+    _text("'09/11/'", f"cast(1950 + {_K} % 50 as string)"),
+    _text("'172.20.4.'", f"cast({_K} % 300 as string)"))} as expected
 from {{customer}}"""
 
 NEGATIVES = f"""select {_K} as case_id, {_by(
     _K,
-    _text("'Ticket '", pad(_K + " % 1000000", 6), "' has been closed successfully.'"),
-    _text("'Order '", pad(_K + " % 1000000", 6), "' processed for delivery.'"),
-    "'Please read section 32 of the statute, 2013.'",
-    _text("'Offer amount ₹7,'", pad(_K + " % 1000", 3), "'.00 million with cap price 500.'"),
-    "'Fiscal Year ended March 31, 2024 results declared.'",
-    _text("'Total '", f"cast({_K} as string)", "' equity shares offered at face value ₹10.'"),
-    "'Invalid SSN area prefix: 000-12-3456 or 666-12-3456.'",
-    _text("'Invalid card: 4111 1111 1111 111'", f"cast({_K} % 10 as string)", "' fails.'"),
-    _text("'Software release v1.2.3.'", f"cast({_K} % 10 as string)", "' was deployed.'"),
-    _text("'Order number 98'", pad(_K + " % 100000000", 8), "' was sent.'"))} as text
+    _text("'Locker '", pad(_K + " % 1000000", 6), "' stays empty until noon.'"),
+    _text("'Parcel code '", pad(_K + " % 1000000", 6), "' left the depot.'"),
+    "'See clause 9 of the lending rules, 1987.'",
+    _text("'The roof cost ₹3,'", pad(_K + " % 1000", 3), "'.50 lakh, the limit was 900.'"),
+    "'A season that closed on 30 September 2016 broke records.'",
+    _text(f"cast({_K} as string)", "' saplings were planted at ₹25 apiece.'"),
+    "'Nobody holds 000-41-7782 or 666-90-1123.'",
+    _text("'Misprinted 6011 0009 9013 942'", f"cast({_K} % 10 as string)", "' was refused.'"),
+    _text("'Firmware v2.7.1.'", f"cast({_K} % 10 as string)", "' runs on the lamp.'"),
+    _text("'Crate number 98'", pad(_K + " % 100000000", 8), "' waits outside.'"))} as text
 from {{customer}}"""
 
 # Labelled passages: the contact texts with their true values, some of them written

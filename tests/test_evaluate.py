@@ -9,7 +9,7 @@ SPAN = "array<struct<pii_type:string,value:string>>"
 
 
 def test_fuzzy_match(spark):
-    pairs = [("Asha Rao", "asha rao", True), ("42 Lake Rd, Pune", "lake rd pune", True), ("a b", "b c", True),
+    pairs = [("Asha Rao", "asha rao", True), ("6 Fern Ln, Surat", "fern ln surat", True), ("a b", "b c", True),
              ("a b c", "c d e", False), ("", "x", False), ("...", "x", False), ("Rao", "Asha-Rao", True)]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string, want boolean")
     assert df.where(ev.values_match(F.col("a"), F.col("b")) != F.col("want")).count() == 0
@@ -58,18 +58,18 @@ def test_run_without_labels(spark):
 def test_cases_and_negatives(spark):
     """One case of every category and texts that hold nothing: all decided rightly."""
     cases = [
-        ("FULL_NAME", "Contact Person: Rashi Quint, Compliance Officer", "Rashi Quint"),
-        ("EMAIL", "Please reach out to rashi.quint@example.com for queries.", "rashi.quint@example.com"),
-        ("PHONE", "Contact Mobile: +91 9876543210 for emergency.", "+91 9876543210"),
-        ("COMPANY", "Silver Oak Technologies Private Limited is our supplier.", "Silver Oak Technologies Private Limited"),
-        ("ADDRESS", "Registered Office: 42 Lake Road, Sector 17, Jaipur – 302001, India", "42 Lake Road, Sector 17, Jaipur – 302001, India"),
-        ("SSN", "Employee SSN is 123-45-6789 on the form.", "123-45-6789"),
-        ("CREDIT_CARD", "Payment card: 4111 1111 1111 1111 provided.", "4111 1111 1111 1111"),
-        ("DOB", "Date of Birth: 14 August 1998 on certificate.", "14 August 1998"),
-        ("IP_ADDRESS", "Host IP address 192.168.1.25 accessed logs.", "192.168.1.25"),
+        ("FULL_NAME", "Chairman: Mona Takeda, three seats to the left", "Mona Takeda"),
+        ("EMAIL", "Seeds are kept by mona.takeda@example.org in the shed.", "mona.takeda@example.org"),
+        ("PHONE", "At night use Phone: +91 8012345670 and wait.", "+91 8012345670"),
+        ("COMPANY", "Blue Mesa Pottery Private Limited mends the bells.", "Blue Mesa Pottery Private Limited"),
+        ("ADDRESS", "Registered Office: 6 Fern Lane, Plot 3, Surat – 395006, India", "6 Fern Lane, Plot 3, Surat – 395006, India"),
+        ("SSN", "The payroll lists 219-09-9999 twice.", "219-09-9999"),
+        ("CREDIT_CARD", "The tea was paid by 4012 8888 8888 1881 at noon.", "4012 8888 8888 1881"),
+        ("DOB", "Born: 3 March 1966, so the stone says.", "3 March 1966"),
+        ("IP_ADDRESS", "The lamp at 172.20.4.9 blinks.", "172.20.4.9"),
     ]
-    negatives = ["Ticket 123456 has been closed successfully.", "Fiscal Year ended March 31, 2024 results declared.",
-                 "Software release v1.2.3.4 was deployed on staging.", "Invalid card: 4111 1111 1111 1112 fails."]
+    negatives = ["Locker 204117 stays empty until noon.", "A season that closed on 30 September 2016 broke records.",
+                 "Firmware v2.7.1.4 runs on the lamp.", "Misprinted 6011 0009 9013 9425 was refused."]
     df = spark.createDataFrame([(i, t, x, [e]) for i, (t, x, e) in enumerate(cases)], "case_id int, pii_type string, text string, expected array<string>")
     texts = spark.createDataFrame(list(enumerate(negatives)), "case_id int, text string")
     scored = ev.score_cases(dt.detect(df))
