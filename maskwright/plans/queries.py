@@ -45,7 +45,7 @@ def fixture_texts(spark: SparkSession, folder: str, *names: str) -> DataFrame:
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """All texts: the three text tables and the derived ones."""
     texts = rs.text_blocks(spark, folder)
-    return spread(texts.unionByName(fixture_texts(spark, folder)), *KEYS, enough=texts)
+    return spread(texts.unionByName(fixture_texts(spark, folder)), *KEYS)
 
 
 def corpus_entities(spark: SparkSession, folder: str) -> DataFrame:
@@ -471,8 +471,7 @@ def evaluation_run(spark, folder):
 
 def stream_redact(spark, folder):
     """The documents as a stream, redacted into parquet, and that parquet read back."""
-    schema = rs.table(spark, folder, "documents").schema
-    stream = st.read_stream(spark, folder, schema, "documents.parquet").select("doc_id", "text")
+    stream = st.read_table(spark, folder, "documents").select("doc_id", "text")
     place = shared_folder(spark, "stream-redact")
     st.run_available(st.redact_stream(stream), place + "/out", place + "/state")
     return spark.read.parquet(place + "/out")
@@ -480,8 +479,7 @@ def stream_redact(spark, folder):
 
 def stream_counts(spark, folder):
     """Detections per category and hour of event time, closed windows only."""
-    schema = rs.table(spark, folder, "events").schema
-    stream = st.read_stream(spark, folder, schema, "events.parquet")
+    stream = st.read_table(spark, folder, "events")
     texts = stream.select(
         F.col("ts").cast("timestamp").alias("ts"),
         F.concat(

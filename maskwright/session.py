@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPREAD = "spark.maskwright.spread"
+
 
 def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A session on this machine, for tests and benchmarks."""
@@ -18,6 +20,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(SPREAD, "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -36,14 +39,12 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, *keys: str, enough: DataFrame | None = None) -> DataFrame:
-    """Give a small, single-file input one partition per core.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give an input one partition per core, if the session asks for it.
 
-    Text rules are CPU-bound, and a file with one row group is read by one task.
-    Inputs with well more partitions than cores, as large tables have, are left as they
-    are; ``enough`` is the part of the input to judge by, if not all of it.
+    Text rules are CPU-bound, and a file with one row group is read by one task.  Local
+    sessions of this module ask; elsewhere tables are taken as they are split, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or (df if enough is None else enough).rdd.getNumPartitions() >= 2 * cores:
+    if df.isStreaming or df.sparkSession.conf.get(SPREAD, "false") != "true":
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

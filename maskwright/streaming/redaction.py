@@ -7,16 +7,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import spans as sp
 from ..operators import redact as rd
+from ..sources import readers as rs
 
 
-def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet",
-                files_per_trigger: int = 1000) -> DataFrame:
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files as a stream; ``path`` is a folder of them or a glob.
+
+    Without ``files_per_trigger`` all files there form one batch.  With it, batches follow the
+    files' times of change, not event time: a watermark has to allow for that.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
+
+
+def read_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A parquet table, be it one file or a folder of part files, as a stream."""
+    schema = rs.table(spark, folder, name).schema
+    # as a glob, since the file source takes a plain path for a folder
+    return read_stream(spark, f"{folder.rstrip('/')}/{name}[.]parquet", schema, files_per_trigger)
 
 
 def redact_stream(stream: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -38,8 +48,21 @@ def counts_stream(
     )
 
 
-def run_available(out: DataFrame, path: str, checkpoint: str, output_mode: str = "append") -> StreamingQuery:
-    """Process what is there into parquet, with exactly-once file output, and stop."""
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark and were left out, over the batches still reported."""
+    return sum(
+        int(o.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for o in p["stateOperators"]
+    )
+
+
+def run_available(
+    out: DataFrame, path: str, checkpoint: str, output_mode: str = "append", allow_late: bool = False
+) -> StreamingQuery:
+    """Process what is there into parquet, with exactly-once file output, and stop.
+
+    Rows later than the watermark are an error unless ``allow_late``: a wider ``late`` or no
+    ``files_per_trigger`` keeps them.
+    """
     query = (
         out.writeStream.outputMode(output_mode)
         .format("parquet")
@@ -49,4 +72,6 @@ def run_available(out: DataFrame, path: str, checkpoint: str, output_mode: str =
         .start()
     )
     query.awaitTermination()
+    if not allow_late and (n := late_rows(query)):
+        raise RuntimeError(f"{n} rows came later than the watermark allows and were not counted")
     return query

@@ -2,6 +2,9 @@
 
 import datetime
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from maskwright.operators import redact as rd
@@ -42,3 +45,53 @@ def test_windowed_counts(spark, tmp_path):
         if hour + datetime.timedelta(hours=1) <= last:
             want[hour, r.pii_type] = want.get((hour, r.pii_type), 0) + 1
     assert got == want and want
+
+
+@pytest.mark.parametrize("layout", ["one file", "a folder", "four files", "four files, newest first"])
+def test_files_and_their_order_change_nothing(spark, tmp_path, layout):
+    """The same table in other files, one file a batch, with a lateness as wide as the data."""
+    source(spark, str(tmp_path / "whole"), files=4)
+    rows = sorted(spark.read.parquet(str(tmp_path / "whole")).collect(), key=lambda r: r.ts)
+    parts = {"one file": 1, "a folder": 1}.get(layout, 4)
+    folder, size = tmp_path / "t.parquet", -(-len(rows) // parts)
+    for k in range(parts):
+        spark.createDataFrame(rows[k * size : k * size + size]).coalesce(1).write.mode("append").parquet(str(folder))
+        for f in folder.glob("*.parquet"):
+            if not f.name.startswith("at-"):
+                moved = f.rename(folder / f"at-{k}.parquet")
+                at = 1_000_000_000 + 1000 * (-k if "newest" in layout else k)
+                os.utime(moved, (at, at))
+    if layout == "one file":
+        only = next(folder.glob("at-*"))
+        place = tmp_path / "single"
+        place.mkdir()
+        only.rename(place / "t.parquet")
+        stream = st.read_table(spark, str(place), "t", files_per_trigger=1)
+    else:
+        stream = st.read_table(spark, str(tmp_path), "t", files_per_trigger=1)
+    st.run_available(st.counts_stream(stream, "ts", late="7 hours"), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {(r.window_start, r.pii_type): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {} or all(k[0].hour == 0 for k in got)
+    stream = st.read_table(spark, str(tmp_path / "single" if layout == "one file" else tmp_path), "t")
+    st.run_available(st.counts_stream(stream, "ts"), str(tmp_path / "out2"), str(tmp_path / "state2"))
+    got = {(r.window_start, r.pii_type): r.n for r in spark.read.parquet(str(tmp_path / "out2")).collect()}
+    want = {}
+    for r in rd.explode_entities(rd.with_entities(spark.createDataFrame(rows)), ["ts"]).collect():
+        hour = r.ts.replace(minute=0)
+        if hour + datetime.timedelta(hours=1) <= rows[-1].ts - datetime.timedelta(minutes=10):
+            want[hour, r.pii_type] = want.get((hour, r.pii_type), 0) + 1
+    assert got == want and want
+
+
+def test_late_rows_are_an_error(spark, tmp_path):
+    folder = tmp_path / "t.parquet"
+    start = datetime.datetime(2024, 1, 1)
+    for k, day in enumerate((9, 5, 1)):
+        row = [(start + datetime.timedelta(days=day), "mail a1@mail.example.org")]
+        spark.createDataFrame(row, "ts timestamp, text string").coalesce(1).write.mode("append").parquet(str(folder))
+        for f in folder.glob("part-*.parquet"):
+            os.utime(f.rename(folder / f"at-{k}.parquet"), (1_000_000_000 + k, 1_000_000_000 + k))
+    counted = lambda: st.counts_stream(st.read_table(spark, str(tmp_path), "t", files_per_trigger=1), "ts")
+    with pytest.raises(RuntimeError, match="later than the watermark"):
+        st.run_available(counted(), str(tmp_path / "out"), str(tmp_path / "state"))
+    st.run_available(counted(), str(tmp_path / "out2"), str(tmp_path / "state2"), allow_late=True)
