@@ -28,6 +28,11 @@ def entity_key(pii_type: Column, value: Column) -> Column:
     )
 
 
+def fold(text: Column) -> Column:
+    """Text in which letters that are equal when case is ignored are the same."""
+    return F.lower(F.translate(text, p.FOLD_FROM, p.FOLD_TO))
+
+
 def match_text(value: Column) -> Column:
     """Lower case, with blanks and punctuation between words made one space."""
     return v.strip(F.regexp_replace(F.lower(value), p.java(fv.MATCH_SEPARATORS), " "))

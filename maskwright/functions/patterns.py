@@ -70,6 +70,30 @@ def starting(letters: str, pattern: str) -> str:
     return f"(?=[{letters}]){pattern}"
 
 
+def _folding() -> tuple[str, str]:
+    """Letters that lower-casing alone leaves apart from others they equal if case is ignored.
+
+    The regex engine compares letters by the lower case of their upper case; so this maps the
+    letters for which that differs from their lower case.
+    """
+    letters, to = [], []
+    for c in map(chr, range(0x80, 0x10000)):
+        upper = c.upper() if len(c.upper()) == 1 else c
+        both = upper.lower()[0]
+        if c.isalpha() and both != c.lower():
+            letters.append(c)
+            to.append(both)
+    return "".join(letters), "".join(to)
+
+
+FOLD_FROM, FOLD_TO = _folding()
+
+
+def fold(text: str) -> str:
+    """Text in which letters that are equal when case is ignored are the same."""
+    return text.translate(dict(zip(map(ord, FOLD_FROM), FOLD_TO))).lower()
+
+
 def is_word(char: str) -> bool:
     return char.isalnum() or char == "_"
 

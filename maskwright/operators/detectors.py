@@ -14,26 +14,25 @@ from functools import lru_cache
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import fixed_values as fv, patterns as p, spans as sp, validators as v
+from ..functions import fixed_values as fv, normalise as nm, patterns as p, spans as sp, validators as v
 
 
 @dataclass(frozen=True)
 class View:
-    """Columns a rule reads: the text, the text to scan, its lower-case form, whether
-    it holds letters that only match others when case is ignored, and any digit."""
+    """Columns a rule reads: the text, the text to scan, its form with case folded, and
+    whether it holds any digit."""
 
     text: Column
     scan: Column
-    lower: Column
-    odd_case: Column
+    folded: Column
     digit: Column
 
     def has(self, *literals: str) -> Column:
         return _any(F.contains(self.text, F.lit(x)) for x in literals)
 
     def mentions(self, *words: str) -> Column:
-        """Contains one of the lower-case words, ignoring case."""
-        return _any(F.contains(self.lower, F.lit(w)) for w in words) | self.odd_case
+        """Contains one of the words, ignoring case."""
+        return _any(F.contains(self.folded, F.lit(p.fold(w))) for w in words)
 
 
 def _any(tests: Iterable[Column]) -> Column:
@@ -258,8 +257,17 @@ def name_promoters(t: View) -> Column:
     return _when(t.mentions("promoter"), F.flatten(hits))
 
 
+def clean_terms(terms: Iterable[str | None]) -> tuple[str, ...]:
+    """Dictionary terms without nulls, empty ones and repeats, in order."""
+    return tuple(sorted({t for t in terms if t}))
+
+
 def known_values(t: View, entries: Sequence[str]) -> Column:
-    """Every listed value, as a whole word and ignoring case, one scan per value."""
+    """Every listed value, as a whole word and ignoring case, one scan per value.
+
+    A value that begins or ends with another sign than a letter, digit or underscore has to
+    follow, or be followed by, one of these.
+    """
     each = []
     for entry in entries:
         first, last = p.is_word(entry[0]), p.is_word(entry[-1])
@@ -268,7 +276,7 @@ def known_values(t: View, entries: Sequence[str]) -> Column:
             + p.escape(entry)
             + (p.WORD_END if last else r"(?=[\p{L}\p{N}_])")
         )
-        each.append(_when(t.mentions(entry.lower()), sp.scan(t.scan, "(?iu)" + pattern)))
+        each.append(_when(t.mentions(entry), sp.scan(t.scan, "(?iu)" + pattern)))
     return F.concat(*each) if each else sp.no_hits()
 
 
@@ -293,7 +301,7 @@ TEXT_RULES = {
 # beyond it ``dictionaries.known_spans`` joins instead.
 MAX_INLINE_VALUES = 200
 
-_VIEW = ("_text", "_scan", "_lower", "_odd", "_digit")
+_VIEW = ("_text", "_scan", "_folded", "_digit")
 
 
 def _staged(df: DataFrame, text: str) -> DataFrame:
@@ -303,8 +311,7 @@ def _staged(df: DataFrame, text: str) -> DataFrame:
         {
             "_text": body,
             "_scan": sp.markable(body),
-            "_lower": F.lower(body),
-            "_odd": _any(F.contains(body, F.lit(c)) for c in "ſıİ"),
+            "_folded": nm.fold(body),
             "_digit": F.rlike(body, F.lit(r"\p{Nd}")),
         }
     )
@@ -337,11 +344,11 @@ def candidates(
     output: str = "candidates",
 ) -> DataFrame:
     """Add all spans of the chosen rules, in rule order, overlaps included."""
-    if max(len(known_names), len(known_companies)) > MAX_INLINE_VALUES:
+    known = {"name_known": clean_terms(known_names), "company_known": clean_terms(known_companies)}
+    if max(map(len, known.values())) > MAX_INLINE_VALUES:
         raise ValueError(
             f"more than {MAX_INLINE_VALUES} known values: use dictionaries.detect_with_known"
         )
-    known = {"name_known": known_names, "company_known": known_companies}
     found = []
     for rule in sp.RULE_ORDER:
         if rules is not None and rule not in rules:
@@ -349,7 +356,7 @@ def candidates(
         if rule in TEXT_RULES:
             found.append(_rule_spans(rule, (), _jvm()))
         elif known[rule]:
-            found.append(_rule_spans(rule, tuple(sorted(set(known[rule]))), _jvm()))
+            found.append(_rule_spans(rule, known[rule], _jvm()))
     spans = F.coalesce(F.concat(*found), sp.no_spans()) if found else sp.no_spans()
     return _staged(df, text).withColumn(output, spans).drop(*_VIEW)
 

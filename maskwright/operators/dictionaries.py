@@ -11,11 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import patterns as p, spans as sp
+from ..functions import normalise as nm, spans as sp
 from . import detectors
 
 WORD_CHARS = r"\p{L}\p{N}_"
 WORD_RUN = rf"[{WORD_CHARS}]+"
+BETWEEN_WORDS = rf"[^{WORD_CHARS}]+"
 # Up to this many different first words are tested inside the row before the join.
 MAX_FIRST_WORDS = 1000
 # Broadcast entries only below this many bytes of text; otherwise the join shuffles.
@@ -25,8 +26,20 @@ RULE_OF_KIND = {"company": "company_known", "name": "name_known"}
 
 def _folded_words(text: Column) -> Column:
     """The words of a text with case folded."""
-    folded = F.lower(F.translate(text, "ſıİ", "sii"))
-    return F.regexp_extract_all(folded, F.lit(WORD_RUN), F.lit(0))
+    return F.regexp_extract_all(nm.fold(text), F.lit(WORD_RUN), F.lit(0))
+
+
+def _entries(dictionary: DataFrame) -> DataFrame:
+    """The entries (kind, term) without repeats, nulls and empty terms; other kinds are an error."""
+    known = F.col("kind").isin(*RULE_OF_KIND)
+    checked = F.when(known, F.col("kind")).otherwise(
+        F.raise_error(F.concat(F.lit("no such kind of dictionary entry: "), F.coalesce("kind", F.lit("null"))))
+    )
+    return (
+        dictionary.where(F.col("term").isNotNull() & (F.col("term") != ""))
+        .select(checked.alias("kind"), "term")
+        .distinct()
+    )
 
 
 def _sequences(words: str, n: int, first_words: Sequence[str] | None) -> Column:
@@ -54,33 +67,32 @@ def known_terms(blocks: DataFrame, keys: Sequence[str], dictionary: DataFrame, t
 
     ``terms`` is array<struct<rule, term, pattern>>, bounded by the length of the block.
     """
-    entries = (
-        dictionary.select("kind", "term")
-        .distinct()
-        .withColumn("_words", _folded_words(F.col("term")))
-        .select(
-            "kind",
-            "term",
-            F.array_join("_words", " ").alias("gram"),
-            F.size("_words").alias("n_words"),
-            F.get("_words", F.lit(0)).alias("first_word"),
-        )
+    entries = _entries(dictionary).withColumn("_words", _folded_words(F.col("term"))).select(
+        "kind",
+        "term",
+        # an entry without any word has to be all that stands between two words
+        F.when(F.size("_words") > 0, F.array_join("_words", " ")).otherwise(nm.fold(F.col("term"))).alias("gram"),
+        F.size("_words").alias("n_words"),
+        F.get("_words", F.lit(0)).alias("first_word"),
     )
     shape = entries.agg(
         F.sort_array(F.collect_set("n_words")).alias("sizes"),
         F.sum(F.octet_length("term")).alias("bytes"),
     ).first()
-    if 0 in shape.sizes:
-        raise ValueError("dictionary entries need at least one letter or digit")
-    head = [r[0] for r in entries.select("first_word").distinct().limit(MAX_FIRST_WORDS + 1).collect()]
+    firsts = entries.where(F.col("first_word").isNotNull()).select("first_word").distinct()
+    head = [r[0] for r in firsts.limit(MAX_FIRST_WORDS + 1).collect()]
     first_words = head if len(head) <= MAX_FIRST_WORDS else None
     entries = entries.drop("first_word")
     if (shape.bytes or 0) <= MAX_BROADCAST_BYTES:
         entries = F.broadcast(entries)
 
-    worded = blocks.select(*keys, _folded_words(F.col(text)).alias("_words"))
-    sequences = [_sequences("_words", n, first_words) for n in shape.sizes] or [F.array().cast("array<string>")]
-    grams = sp.unnest(worded, keys, F.array_distinct(F.concat(*sequences)), "gram")
+    worded = blocks.select(*keys, _folded_words(F.col(text)).alias("_words"), nm.fold(F.col(text)).alias("_folded"))
+    sequences = [_sequences("_words", n, first_words) for n in shape.sizes if n]
+    if 0 in shape.sizes:
+        sequences.append(F.regexp_extract_all("_folded", F.lit(BETWEEN_WORDS), F.lit(0)))
+    grams = sp.unnest(
+        worded, keys, F.array_distinct(F.concat(*sequences)) if sequences else F.array().cast("array<string>"), "gram"
+    )
     rule = F.when(F.col("kind") == "name", RULE_OF_KIND["name"]).otherwise(RULE_OF_KIND["company"])
     return (
         grams.join(entries, "gram")
@@ -141,8 +153,12 @@ def detect_with_known(
     output: str = "spans",
     max_inline: int = detectors.MAX_INLINE_VALUES,
 ) -> DataFrame:
-    """Detection with a dictionary DataFrame (kind name | company, term)."""
-    head = dictionary.select("kind", "term").distinct().limit(max_inline + 1).collect()
+    """Detection with a dictionary DataFrame (kind name | company, term).
+
+    A dictionary of up to ``max_inline`` entries is matched in the row, a longer one joined; the
+    spans are the same.
+    """
+    head = _entries(dictionary).limit(max_inline + 1).collect()
     if len(head) <= max_inline:
         return detectors.detect(
             blocks,

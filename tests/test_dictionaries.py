@@ -29,10 +29,28 @@ def test_joined_equals_inline(spark):
     assert key(one) == key(two)
 
 
+@pytest.mark.parametrize("size", [0, 1, 200, 201, 1500])
+def test_size_changes_nothing(spark, size):
+    """Also for entries without words, empty ones and letters with odd case pairs."""
+    odd = ["µ Labs", "ΟΔΟΣ", "ϐeta", "Straẞe", "&", "+/-", "ſun", "İzmir", "", None]
+    names = ([*odd, *(f"Word{i} Rao" for i in range(1500))])[: size and size + 1]
+    texts = ["μ labs, οδος and οδοσ", "BETA βeta", "straße STRAẞE", "A&B C & D x&&y", "1+/-2", "SUN sun", "izmir", "word7 RAO", "word1400 rao"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    dictionary = spark.createDataFrame([("company" if i % 2 else "name", n) for i, n in enumerate(names)], "kind string, term string")
+    key = lambda out: {r.doc_id: [(s.start, s.end, s.rule) for s in r.spans] for r in out.collect()}
+    joined = key(dc.detect_with_known(df, ["doc_id"], dictionary, rules=["name_known", "company_known"], max_inline=-1 if size else 0))
+    if len(names) <= 2 * dt.MAX_INLINE_VALUES:
+        terms = {kind: dt.clean_terms(n for i, n in enumerate(names) if ("company" if i % 2 else "name") == kind) for kind in ("name", "company")}
+        inline = dt.detect(df, rules=["name_known", "company_known"], known_names=terms["name"], known_companies=terms["company"])
+        assert joined == key(inline)
+    assert sum(map(len, joined.values())) >= (0, 1, 8, 8, 9)[[0, 1, 200, 201, 1500].index(size)]
+
+
 def test_limits(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id int, text string")
     with pytest.raises(ValueError):
         dt.candidates(df, known_names=[f"n{i}" for i in range(dt.MAX_INLINE_VALUES + 1)])
-    wordless = spark.createDataFrame([("name", "&&")], "kind string, term string")
-    with pytest.raises(ValueError):
-        dc.known_terms(df, ["doc_id"], wordless)
+    other = spark.createDataFrame([("person", "Asha")], "kind string, term string")
+    for inline in (0, 10):
+        with pytest.raises(Exception, match="no such kind"):
+            dc.detect_with_known(df, ["doc_id"], other, max_inline=inline).collect()
