@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import validators as v
+from . import detectors
 
 
 def lines(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -60,10 +61,19 @@ def sections(df: DataFrame, keys: Sequence[str], names: Sequence[str] = ("body",
     )
 
 
-def section_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n_blocks"))
-
-
 def whole_text(column: Column) -> Column:
     """The text of styled runs put together."""
     return F.array_join(F.transform(column, lambda r: F.coalesce(r["text"], F.lit(""))), "")
+
+
+def detect_distinct(df: DataFrame, keys: Sequence[str], text: str = "text", **detection) -> DataFrame:
+    """Spans of every row, with each distinct text searched once.
+
+    A text is known by its SHA-256: one copy of it for each hash reaches the detection, combined
+    on the map side, and the rows are joined to what was found by hash and keys alone.  Texts
+    are never join keys, and one that a third of all rows share is one row on the other side.
+    """
+    hashed = df.withColumn("_hash", F.unhex(F.sha2(text, 256)))
+    distinct = hashed.groupBy("_hash").agg(F.first(text).alias(text))
+    found = detectors.explode_spans(detectors.detect(distinct, text, **detection), ["_hash"])
+    return hashed.select(*keys, "_hash").join(found, "_hash").drop("_hash")

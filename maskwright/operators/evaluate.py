@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv, normalise as n, spans as sp, validators as v
@@ -253,17 +255,51 @@ def passage_metrics(passages: DataFrame) -> DataFrame:
     return per_type(passage_stats(passage_outcomes(matched)), observed_types(matched))
 
 
+SCOPED = ("pii_type", *STATS[1:], "precision", "recall", "f1", "observed")
+
+
+def scoped(metrics: DataFrame) -> DataFrame:
+    """Per-type metrics with ``tier``, and each tier's micro and macro averages, as rows.
+
+    scope is ``type``, ``micro`` or ``macro``; the averages' pii_type is null.  They are made from
+    the nine rows of a tier, so the detection below runs once.
+    """
+    counted = F.col("observed") | (F.col("tp") + F.col("fn") > 0)
+    tiers = metrics.groupBy("tier").agg(
+        F.collect_list(F.struct(*SCOPED)).alias("types"),
+        *[F.coalesce(F.sum(F.when(counted, F.col(c))), F.lit(0)).alias(c) for c in STATS[1:]],
+        *[F.coalesce(F.avg(F.when(counted, F.col(c))), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")],
+    )
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    micro_p, micro_r = _ratio(tp, tp + fp, F.lit(0.0)), _ratio(tp, tp + fn, F.lit(0.0))
+
+    def row(scope: str, pii_type: Column, counts: Sequence[Column], p: Column, r: Column, f: Column, observed: Column):
+        values = (pii_type, *counts, F.round(p, 4), F.round(r, 4), F.round(f, 4), observed)
+        return F.struct(F.lit(scope).alias("scope"), *[v.alias(n) for v, n in zip(values, SCOPED)])
+
+    none, yes, sums = F.lit(None).cast("string"), F.lit(True), (tp, fp, fn)
+    rows = F.concat(
+        F.transform("types", lambda t: row("type", t["pii_type"], [t[c] for c in STATS[1:]], t["precision"], t["recall"], t["f1"], t["observed"])),
+        F.array(
+            row("micro", none, sums, micro_p, micro_r, _f1(micro_p, micro_r), yes),
+            row("macro", none, sums, F.col("precision"), F.col("recall"), F.col("f1"), yes),
+        ),
+    )
+    return tiers.select("tier", F.explode(rows).alias("r")).select("tier", "r.*")
+
+
 def run(cases: DataFrame, negatives: DataFrame, passages: DataFrame, **detection) -> DataFrame:
     """Both tiers: detect and score cases with negatives, and labelled passages.
 
-    No passages at all give a second tier of zero counts, none of them observed.
+    Rows per category and the micro and macro averages of each tier (see ``scoped``).  No passages
+    at all give a second tier of zero counts, none of them observed.
     """
     def found(df: DataFrame) -> DataFrame:
         return detectors.detect(df, **detection)
 
-    first = rounded(per_type(case_stats(found(cases), found(negatives))))
-    second = rounded(passage_metrics(found(passages)))
-    return first.withColumn("tier", F.lit("cases")).unionByName(second.withColumn("tier", F.lit("passages")))
+    first = per_type(case_stats(found(cases), found(negatives)))
+    second = passage_metrics(found(passages))
+    return scoped(first.withColumn("tier", F.lit("cases")).unionByName(second.withColumn("tier", F.lit("passages"))))
 
 
 def report(metrics: DataFrame) -> DataFrame:

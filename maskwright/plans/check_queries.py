@@ -6,12 +6,18 @@ from ..functions import fixed_values as fv, patterns as p
 from ..sources import fixtures as fx
 from . import checks as ck
 from .checks import KEYS, SPAN_COLUMNS, candidate_ctes, entity_ctes, q, recursive, resolved_ctes, strip
-from .queries import SURROGATES
+from .queries import LINES_OF_UNIT, SURROGATES
 
 _LINES = """select {keys}, unnest(generate_series(0, len(l) - 1))::bigint as block_id, unnest(l) as text
 from (select *, string_split(text, chr(10)) as l from ({source}))"""
 
 _DOC_LINES = _LINES.format(keys="source, doc_id", source=ck.tables_sql(["documents"]))
+# the lines of all text tables, numbered below their unit
+_ALL_LINES = (
+    f"select source, doc_id, unit * {LINES_OF_UNIT} + block_id as block_id, text from ("
+    + _LINES.format(keys="source, doc_id, unit", source="select source, doc_id, block_id as unit, text from (" + ck.tables_sql() + ")")
+    + ")"
+)
 
 
 def _spans(body_ctes: str, name: str) -> str:
@@ -71,7 +77,7 @@ where {strip('text')} <> ''""",
         f'select {KEYS}, rule, "start", "end", value from '
         f"({ck.rule_sql('name_known')} union all {ck.rule_sql('company_known')})"
     ),
-    "detect_distinct_blocks": _spans(resolved_ctes(_DOC_LINES, known=False), "spans"),
+    "detect_distinct_blocks": _spans(resolved_ctes(_ALL_LINES), "spans"),
     "luhn_valid": _raw_hits(("[0-9]{13,19}", 0), f"{ck.luhn('f')} as is_valid"),
     "ssn_valid": _raw_hits(("[0-9]{3}-[0-9]{2}-[0-9]{4}", 0), f"{ck.ssn_ok('f')} as is_valid"),
     "ipv4_valid": _raw_hits((r"[0-9]{1,4}(?:\.[0-9]{1,4})+", 0), f"{ck.ipv4_ok('f')} as is_valid"),
@@ -275,6 +281,30 @@ _CASE_METRICS = _metrics(_CASE_COUNTS, "true")
 _ROUNDED = (
     "pii_type, tp, fp, fn, observed, round(precision, 4) as precision, round(recall, 4) as recall, round(f1, 4) as f1"
 )
+
+
+def _averages(metrics: str) -> str:
+    return f"""
+select tp, fp, fn, round(p, 4) as micro_precision, round(r, 4) as micro_recall,
+  round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, 4) as micro_f1,
+  round(mp, 4) as macro_precision, round(mr, 4) as macro_recall, round(mf, 4) as macro_f1
+from (select tp, fp, fn, mp, mr, mf, case when tp + fp > 0 then tp::double / (tp + fp) else 0.0 end as p,
+    case when tp + fn > 0 then tp::double / (tp + fn) else 0.0 end as r
+  from (select coalesce(sum(tp), 0)::bigint as tp, coalesce(sum(fp), 0)::bigint as fp,
+      coalesce(sum(fn), 0)::bigint as fn,
+      coalesce(avg(precision), 0.0) as mp, coalesce(avg(recall), 0.0) as mr, coalesce(avg(f1), 0.0) as mf
+    from ({metrics}) where observed or tp + fn > 0))"""
+
+
+def _scoped(tier: str, metrics: str) -> str:
+    averages = " union all ".join(
+        f"select '{tier}', '{kind}', null, tp, fp, fn, true, {kind}_precision, {kind}_recall, {kind}_f1 "
+        f"from ({_averages(metrics)})"
+        for kind in ("micro", "macro")
+    )
+    return f"select '{tier}' as tier, 'type' as scope, {_ROUNDED} from ({metrics}) union all {averages}"
+
+
 _PASSAGES = f"{resolved_ctes(_PASSAGE_TEXTS, known=False)}, {_PASSAGE_CTES}"
 _BOTH = (
     f"{resolved_ctes(_CASE_TEXTS + ' union all ' + _PASSAGE_TEXTS, known=False)}, "
@@ -294,15 +324,7 @@ CHECKS.update({
     ).replace("select passage_id, pii_type,", "select passage_id,"),
     "eval_passages": recursive(_PASSAGES, "select passage_id, prediction, pii_type, value, truth_idx from taking"),
     "metrics_per_type": recursive(_PASSAGES, f"select {_ROUNDED} from ({_PASSAGE_METRICS})"),
-    "metrics_micro_macro": recursive(_PASSAGES, f"""
-select tp, fp, fn, round(p, 4) as micro_precision, round(r, 4) as micro_recall,
-  round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, 4) as micro_f1,
-  round(mp, 4) as macro_precision, round(mr, 4) as macro_recall, round(mf, 4) as macro_f1
-from (select tp, fp, fn, mp, mr, mf, case when tp + fp > 0 then tp::double / (tp + fp) else 0.0 end as p,
-    case when tp + fn > 0 then tp::double / (tp + fn) else 0.0 end as r
-  from (select sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn,
-      coalesce(avg(precision), 0.0) as mp, coalesce(avg(recall), 0.0) as mr, coalesce(avg(f1), 0.0) as mf
-    from ({_PASSAGE_METRICS}) where observed or tp + fn > 0))"""),
+    "metrics_micro_macro": recursive(_PASSAGES, _averages(_PASSAGE_METRICS)),
     "binary_accuracy": recursive(
         _CASE_CTES,
         "select round(((select sum(tp) from case_scores) + (select n from clean))::double / "
@@ -316,8 +338,7 @@ from (select tp, fp, fn, mp, mr, mf, case when tp + fp > 0 then tp::double / (tp
     ),
     "evaluation_run": recursive(
         f"{_BOTH}, {_PASSAGE_CTES}",
-        f"select 'cases' as tier, {_ROUNDED} from ({_CASE_METRICS}) union all "
-        f"select 'passages', {_ROUNDED} from ({_PASSAGE_METRICS})",
+        f"{_scoped('cases', _CASE_METRICS)} union all {_scoped('passages', _PASSAGE_METRICS)}",
     ),
     "stream_redact": CHECKS["redact_documents"],
     "stream_counts": recursive(

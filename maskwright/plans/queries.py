@@ -140,14 +140,16 @@ def detect_known_joined(spark, folder):
     return dt.explode_spans(found, KEYS, "candidates").drop("pii_type")
 
 
+LINES_OF_UNIT = 1_000_000_000  # line numbers of one unit lie below this
+
+
 def detect_distinct_blocks(spark, folder):
-    """Detection once per distinct line of the documents, joined back to all of them."""
-    lines = bl.nonblank(
-        bl.lines(text_table(spark, folder, "documents").drop("block_id"), ["source", "doc_id"])
+    """Detection once per distinct line of all text tables, joined back to every line."""
+    units = text_table(spark, folder, *rs.TEXT_TABLES).withColumnRenamed("block_id", "unit")
+    lines = bl.nonblank(bl.lines(units, ["source", "doc_id", "unit"])).withColumn(
+        "block_id", F.col("unit") * LINES_OF_UNIT + F.col("block_id")
     )
-    distinct = lines.select("text").distinct()
-    spans = dt.explode_spans(dt.detect(distinct), ["text"])
-    return lines.join(spans, "text").drop("text").withColumn("block_id", F.col("block_id").cast("long"))
+    return bl.detect_distinct(lines, KEYS, **KNOWN)
 
 
 def _hits(spark, folder, pattern, groups=(0,), hit=0, gate=None):

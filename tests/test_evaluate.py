@@ -50,8 +50,13 @@ def test_run_without_labels(spark):
     cases = spark.createDataFrame([(0, "EMAIL", "mail a@b.org", ["a@b.org"])], "case_id int, pii_type string, text string, expected array<string>")
     negatives = spark.createDataFrame([(0, "mail x@y.org")], "case_id int, text string")
     none = spark.createDataFrame([], f"passage_id int, text string, truth {TRUTH}")
-    rows = {(r.tier, r.pii_type): (r.tp, r.fp, r.fn, r.observed) for r in ev.run(cases, negatives, none).collect()}
-    assert rows["cases", "EMAIL"] == (1, 1, 0, True) and len(rows) == 18
+    found = ev.run(cases, negatives, none).collect()
+    rows = {(r.tier, r.pii_type): (r.tp, r.fp, r.fn, r.observed) for r in found if r.scope == "type"}
+    assert rows["cases", "EMAIL"] == (1, 1, 0, True) and len(rows) == 18 and len(found) == 22
+    averages = {(r.tier, r.scope): (r.tp, r.fp, r.fn, r.precision, r.recall, r.f1) for r in found if r.scope != "type"}
+    assert averages["cases", "micro"] == (1, 1, 0, 0.5, 1.0, 0.6667)
+    assert averages["cases", "macro"] == (1, 1, 0, 0.9444, 1.0, 0.963)
+    assert averages["passages", "micro"] == averages["passages", "macro"] == (0, 0, 0, 0.0, 0.0, 0.0)
     assert {v for (tier, _), v in rows.items() if tier == "passages"} == {(0, 0, 0, False)}
 
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import brute
 from pyspark.sql import functions as F
@@ -156,3 +157,16 @@ def test_sweep_example(spark):
     assert got[0] == [(0, 10), (12, 20), (20, 25)]
     for i, x in enumerate([intervals, *many]):
         assert got[i] == [(s, e) for s, e, _ in brute.sweep([(s, e, 0) for s, e in x])]
+
+
+def test_redaction_needs_no_shuffle(spark):
+    plan = rd.redact_text(spark.range(10).selectExpr("id", "cast(id as string) as text"))._jdf.queryExecution().toString()
+    assert not re.search(r"Exchange (hash|range|Round|Single)|ShuffleQueryStage", plan)
+
+
+def test_distinct_lines_with_one_line_in_a_third_of_all_rows(spark):
+    rows = spark.range(100_000).selectExpr(
+        "id as doc_id", "case when id % 3 = 0 then 'write to a1@mail.example.org' else concat('line ', id) end as text"
+    )
+    found = bl.detect_distinct(rows, ["doc_id"], rules=["email"])
+    assert found.agg(F.count("*"), F.sum("doc_id"), F.min("value")).first()[:] == (33_334, sum(range(0, 100_000, 3)), "a1@mail.example.org")
