@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 from . import fixed_values as fv, patterns as p, validators as v
@@ -29,8 +32,15 @@ def entity_key(pii_type: Column, value: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Text in which letters that are equal when case is ignored are the same."""
-    return F.lower(F.translate(text, p.FOLD_FROM, p.FOLD_TO))
+    """Text in which letters that are equal when case is ignored are the same.
+
+    Few texts hold a letter that lower-casing leaves apart, and those are looked for only in texts
+    that are not all ASCII.
+    """
+    odd = reduce(or_, (F.contains(text, F.lit(letter)) for letter in p.FOLD_FROM))
+    return F.when((F.octet_length(text) > F.length(text)) & odd, F.lower(F.translate(text, p.FOLD_FROM, p.FOLD_TO))).otherwise(
+        F.lower(text)
+    )
 
 
 def match_text(value: Column) -> Column:
