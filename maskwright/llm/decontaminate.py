@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, upper bounds, then Smith-Waterman alignment.
 
-1. The document frequency of every n-gram of the test items is counted over all documents.
-2. N-grams in at most a small share of the documents become seeds, and so does the rarest of
-   every few consecutive ones.  The latter is relative to its neighbours, so an item that a third
-   of all documents contain still has seeds, all along its text, while runs of stop words
-   rarely become any.
-3. A document and an item that share a seed are aligned around the places where they do.  The
-   score is that of the best local alignment over that of a verbatim copy: edited,
-   shortened and re-ordered copies score less than 1, chance overlaps far less than MIN_SCORE.
+1. Every n-gram of the test items is a seed, however frequent it is.
+2. A document and an item that share a seed are looked at around the places where they do, unless
+   the words they have in common cannot carry a score that is enough.  These bounds never lie below
+   the alignment's score, so they drop no pair it would accept; they only spare the chance
+   overlaps of stop words the alignment.
+3. What is left is aligned.  The score is that of the best local alignment over that of a verbatim
+   copy: edited, shortened and re-ordered copies score less than 1, chance overlaps far less than
+   MIN_SCORE.
 
 Items go to the tasks in blocks of bounded size, one pass over the documents for each block, so
 the documents' texts are never shuffled and a passage that many documents share is no hot key.
@@ -16,7 +16,6 @@ the documents' texts are never shuffled and a passage that many documents share
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,8 +27,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import written
 
 N = 3  # words of a seed
-STRIDE = 6  # consecutive n-grams of which one becomes a seed
-RARE_SHARE, RARE_LEAST = 5e-4, 8  # an n-gram is rare in at most that share of the documents, or so many
 PASSAGE = 256  # words; longer items are cut, and count as found if one passage is
 MIN_SCORE = 0.4
 MIN_WORDS = 8  # an alignment is worth at least so many matched words, or the whole of a shorter item
@@ -91,9 +88,14 @@ def _best_end(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
-    """(score, start, end): the best alignment's share of a verbatim copy's score, and its words."""
+def align(item: np.ndarray, window: np.ndarray, least: float = 0.0) -> tuple[float, int, int]:
+    """(score, start, end): the best alignment's share of a verbatim copy's score, and its words.
+
+    A score below ``least`` is told without its words.
+    """
     best, end = _best_end(item, window)
+    if best / (MATCH * len(item)) < least:
+        return best / (MATCH * len(item)), end, end
     _, back = _best_end(item[::-1], window[:end][::-1])
     return best / (MATCH * len(item)), end - back, end
 
@@ -144,51 +146,90 @@ class Lookup:
         return np.concatenate(places), np.concatenate(found)
 
 
-def choose_seeds(passage: np.ndarray, frequency: dict[int, int], rare: float) -> list[int]:
-    """Places of the n-grams that are rare, and of the rarest of every STRIDE consecutive ones.
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every range, one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
-    Only n-grams that some document has can lead to one, so the others are passed over.
-    """
-    counts = np.array([frequency.get(int(h), 0) for h in passage])
-    out = set(np.nonzero((counts > 0) & (counts <= rare))[0].tolist())
-    there = np.where(counts > 0, counts, np.iinfo(np.int64).max)
-    for e in range(STRIDE, max(STRIDE, len(counts)) + 1):
-        least = e - STRIDE + int(there[e - STRIDE : e].argmin())
-        if counts[least]:
-            out.add(least)
-    return sorted(out)
 
+def _best_run(shared: np.ndarray) -> int:
+    """The most that a stretch of words can score if each shared word matches and no other does."""
+    total = np.cumsum(np.where(shared, MATCH, -min(-MISMATCH, GAP)))
+    return int((total - np.minimum.accumulate(np.minimum(total, 0))).max(initial=0))
 
-def _frequencies(docs: DataFrame, lookup: Lookup) -> dict[int, int]:
-    """Documents that have each n-gram.  Every task sends one row for each n-gram it met."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(lookup.hashes), np.int64)
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                counts[np.unique(lookup.find(word_hashes(text))[1])] += 1
-        met = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(lookup.hashes[met].view(np.int64)), pa.array(counts[met])], ["gram", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {int(g) % 2**64: n for g, n in counted.collect()}
-
-
-def _align_block(docs: DataFrame, items: Items, lookup: Lookup, leads: list[list[tuple[int, int]]], least: float) -> DataFrame:
-    """Seed hits and alignments of one block.  leads: for each seed, (passage, place) pairs."""
-
-    def windows(words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """For each passage, the merged stretches of the document around its seeds."""
-        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for at, seed in sorted(zip(*(x.tolist() for x in lookup.find(words)))):
-            for passage, place in leads[seed]:
-                m = len(items.words[passage])
-                a, b = max(0, at - place - m), min(len(words), at - place + 2 * m)
-                if out[passage] and a <= out[passage][-1][1]:
-                    out[passage][-1] = (out[passage][-1][0], max(b, out[passage][-1][1]))
-                else:
-                    out[passage].append((a, b))
-        return out
+class Candidates:
+    """The stretches of a document that an alignment with a passage could accept."""
+
+    def __init__(self, items: Items, least: float):
+        self.items = items
+        passages = items.grams()
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(h for _, h in passages)])
+        passage = np.repeat(np.arange(len(passages)), [len(h) for _, h in passages])
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for _, h in passages)])
+        order = np.argsort(hashes, kind="stable")
+        seeds, self.first, self.leads = np.unique(hashes[order], return_index=True, return_counts=True)
+        self.passage, self.place = passage[order], place[order]
+        self.lookup = Lookup(seeds, sorted({n for n, _ in passages}))
+        self.lengths = np.array([len(w) for w in items.words], np.int64)
+        # the share of a verbatim copy's score that each passage needs
+        enough_words = np.maximum(least * self.lengths, np.minimum(self.lengths, MIN_WORDS))
+        self.needed = enough_words / np.maximum(self.lengths, 1)
+        # the distinct words of every passage, as places in the vocabulary, and how often it has them
+        self.vocabulary, known = np.unique(np.concatenate([np.zeros(0, np.uint64), *items.words]), return_inverse=True)
+        self.known = np.split(known, np.cumsum(self.lengths)[:-1]) if len(passages) else []
+        distinct = [np.unique(k, return_counts=True) for k in self.known]
+        self.n_distinct = np.array([len(k) for k, _ in distinct], np.int64)
+        self.at = np.cumsum(self.n_distinct) - self.n_distinct
+        self.word = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in distinct)])
+        self.times = np.concatenate([np.zeros(0, np.int64), *(n for _, n in distinct)])
+
+    def find(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(passage, start, end) of the merged stretches around shared seeds."""
+        at, seed = self.lookup.find(words)
+        if not len(at):
+            return
+        n = self.leads[seed]
+        lead = _ranges(self.first[seed], n)
+        passage, shift = self.passage[lead], np.repeat(at, n) - self.place[lead]
+        index = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        known = np.where(self.vocabulary[index] == words, index, len(self.vocabulary))
+
+        # a word of the document matches one of the passage at most
+        met = np.unique(passage)
+        sizes = self.n_distinct[met]
+        entry = _ranges(self.at[met], sizes)
+        there = np.bincount(known, minlength=len(self.vocabulary) + 1)
+        shared = np.add.reduceat(np.minimum(self.times[entry], there[self.word[entry]]), np.cumsum(sizes) - sizes)
+        met = met[shared / self.lengths[met] >= self.needed[met]]
+        if not len(met):
+            return
+        kept = np.isin(passage, met)
+        order = np.lexsort((shift[kept], passage[kept]))
+        passage, shift = passage[kept][order], shift[kept][order]
+        m = self.lengths[passage]
+        start, end = np.maximum(0, shift - m), np.minimum(len(words), shift + 2 * m)
+        apart = (passage[1:] != passage[:-1]) | (start[1:] > end[:-1])
+        first = np.nonzero(np.concatenate([[True], apart]))[0]
+        last = np.append(first[1:], len(passage)) - 1
+
+        mark = np.zeros(len(self.vocabulary) + 1, bool)
+        for p, a, z in zip(passage[first].tolist(), start[first].tolist(), end[last].tolist()):
+            least, full = self.needed[p], MATCH * self.lengths[p]
+            mark[self.known[p]] = True
+            most = _best_run(mark[known[a:z]])
+            mark[self.known[p]] = False
+            if most / full < least:
+                continue
+            mark[known[a:z]] = True
+            most = _best_run(mark[self.known[p]])
+            mark[known[a:z]] = False
+            if most / full >= least:
+                yield p, a, z
+
+
+def _align_block(docs: DataFrame, candidates: Candidates) -> DataFrame:
+    """Seed hits and alignments of one block."""
+    items = candidates.items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -198,13 +239,11 @@ def _align_block(docs: DataFrame, items: Items, lookup: Lookup, leads: list[list
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     words = word_hashes(text)
                     best: dict[int, tuple[float, int, int]] = {}
-                    for passage, stretches in windows(words).items():
-                        for a, z in stretches:
-                            score, start, end = align(items.words[passage], words[a:z])
-                            item = items.ids[passage]
-                            needed = max(least, min(1.0, MIN_WORDS / len(items.words[passage])))
-                            if score >= needed and (item not in best or score > best[item][0]):
-                                best[item] = score, a + start, a + end
+                    for passage, a, z in candidates.find(words):
+                        score, start, end = align(items.words[passage], words[a:z], candidates.needed[passage])
+                        item = items.ids[passage]
+                        if score >= candidates.needed[passage] and (item not in best or score > best[item][0]):
+                            best[item] = score, a + start, a + end
                     if best:
                         spans = [m.span() for m in _WORD.finditer(text.lower())]
                         rows += [(doc, i, s, spans[a][0], spans[z - 1][1]) for i, (s, a, z) in best.items()]
@@ -231,22 +270,12 @@ def leaks(
     n_bytes = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-n_bytes // BLOCK_BYTES) or 1
     cut = tests.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    rare = max(RARE_LEAST, RARE_SHARE * rows.count())
     out = None
     for k in range(blocks):
         items = Items()
         for r in cut.where(F.col("block") == k).orderBy("item_id", "text").collect():
             items.add(r.item_id, r.text)
-        passages = items.grams()
-        sizes = sorted({n for n, _ in passages})
-        every = np.unique(np.concatenate([h for _, h in passages])) if passages else np.zeros(0, np.uint64)
-        frequency = _frequencies(rows, Lookup(every, sizes)) if passages else {}
-        by_hash: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for p, (_, hashes) in enumerate(passages):
-            for place in choose_seeds(hashes, frequency, rare):
-                by_hash[int(hashes[place])].append((p, place))
-        seeds = np.array(sorted(by_hash), np.uint64)
-        found = _align_block(rows, items, Lookup(seeds, sizes), [by_hash[int(h)] for h in seeds], least)
+        found = _align_block(rows, Candidates(items, least))
         out = found if out is None else out.unionByName(found)
     return out
 

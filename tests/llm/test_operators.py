@@ -182,6 +182,26 @@ def test_edited_copies_and_a_passage_everywhere(spark, docs):
     assert kept == {1000 + n for n in range(60)}
 
 
+def test_edited_copies_of_a_hot_item(spark, docs):
+    """Of the copies that full alignment accepts, those of an item in most documents are found too."""
+    rnd = random.Random(11)
+    phrase = lambda n: [f"w{rnd.randrange(3000)}" for _ in range(n)]
+    items = {i: phrase(n) for i, n in enumerate((16, 24, 40))}
+    rows = []
+    for n in range(900):
+        copy = [rnd.choice(("x", "y", "z")) + str(n) if rnd.random() < (0.2, 0.3, 0.4)[n // 3 % 3] else w for w in items[n % 3]]
+        rows.append((n, " ".join(phrase(30) + copy + phrase(30))))
+    hashed = {i: dc.word_hashes(" ".join(w)) for i, w in items.items()}
+    want = {
+        (d, i) for d, t in rows for i, w in hashed.items()
+        if dc.align(w, dc.word_hashes(t))[0] >= max(dc.MIN_SCORE, min(1, dc.MIN_WORDS / len(w)))
+    }
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.leaks(docs(rows), bench).collect()}
+    assert len(want) > 600 and got <= want
+    assert len(got) >= 0.99 * len(want)
+
+
 def test_leaks_in_awkward_rows(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "one two"), (3, None), (4, ""), (5, "Word"), (6, "A tail")], "item_id long, text string")
     df = docs(AWKWARD + [(20, "they said one two three")])
