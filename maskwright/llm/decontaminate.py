@@ -7,7 +7,8 @@
    overlaps of stop words the alignment.
 3. What is left is aligned.  The score is that of the best local alignment over that of a verbatim
    copy: edited, shortened and re-ordered copies score less than 1, chance overlaps far less than
-   MIN_SCORE.
+   MIN_SCORE.  A stretch worth ENOUGH_WORDS is enough in an item of any length; long items are cut
+   into overlapping passages, so a stretch across a cut is whole in one of them.
 
 Items go to the tasks in blocks of bounded size, one pass over the documents for each block, so
 the documents' texts are never shuffled and a passage that many documents share is no hot key.
@@ -27,8 +28,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import written
 
 N = 3  # words of a seed
-PASSAGE = 256  # words; longer items are cut, and count as found if one passage is
+PASSAGE = 256  # words; longer items are cut, each passage half over the one before
 MIN_SCORE = 0.4
+ENOUGH_WORDS = 24  # matched words an alignment has to be worth at most; MIN_SCORE decides up to 60 words
 MIN_WORDS = 8  # an alignment is worth at least so many matched words, or the whole of a shorter item
 MATCH, MISMATCH, GAP = 2, -1, 1
 BLOCK_BYTES = 8 << 20  # of item texts in one pass
@@ -112,11 +114,11 @@ class Items:
 
     def add(self, item: int, text: str | None) -> None:
         words = word_hashes(text)
-        cuts = max(1, round(len(words) / PASSAGE))
-        for part in np.array_split(words, cuts):
-            if len(part):
+        last = max(0, len(words) - PASSAGE)
+        for at in [*range(0, last, PASSAGE // 2), last]:
+            if len(words):
                 self.ids.append(item)
-                self.words.append(part)
+                self.words.append(words[at : at + PASSAGE])
 
     def grams(self) -> list[tuple[int, np.ndarray]]:
         """(n, hashes) of every passage; one shorter than N words is one n-gram."""
@@ -160,7 +162,7 @@ def _best_run(shared: np.ndarray) -> int:
 class Candidates:
     """The stretches of a document that an alignment with a passage could accept."""
 
-    def __init__(self, items: Items, least: float):
+    def __init__(self, items: Items, least: float, enough: float):
         self.items = items
         passages = items.grams()
         hashes = np.concatenate([np.zeros(0, np.uint64), *(h for _, h in passages)])
@@ -172,7 +174,7 @@ class Candidates:
         self.lookup = Lookup(seeds, sorted({n for n, _ in passages}))
         self.lengths = np.array([len(w) for w in items.words], np.int64)
         # the share of a verbatim copy's score that each passage needs
-        enough_words = np.maximum(least * self.lengths, np.minimum(self.lengths, MIN_WORDS))
+        enough_words = np.maximum(np.minimum(least * self.lengths, enough), np.minimum(self.lengths, MIN_WORDS))
         self.needed = enough_words / np.maximum(self.lengths, 1)
         # the distinct words of every passage, as places in the vocabulary, and how often it has them
         self.vocabulary, known = np.unique(np.concatenate([np.zeros(0, np.uint64), *items.words]), return_inverse=True)
@@ -257,10 +259,15 @@ def _align_block(docs: DataFrame, candidates: Candidates) -> DataFrame:
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", least: float = MIN_SCORE
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", least: float = MIN_SCORE,
+    enough: float = ENOUGH_WORDS,
 ) -> DataFrame:
     """(doc_id, item_id, score, start, end) of every document that holds a copy of an item.
 
+    A copy is worth ``least`` of the item or ``enough`` matched words, whichever is less, so the
+    score of a stretch of an item of more than 60 words can lie below ``least``.  It is the share of
+    the item, or of the passage of an item of more than PASSAGE words.
+
     start and end are character places in the lower-cased text.  Null or wordless texts and
     items take no part; an item of fewer than N words is looked up as a whole; repeated rows and
     items give repeated results.  Other columns are not read.
@@ -275,14 +282,15 @@ def leaks(
         items = Items()
         for r in cut.where(F.col("block") == k).orderBy("item_id", "text").collect():
             items.add(r.item_id, r.text)
-        found = _align_block(rows, Candidates(items, least))
+        found = _align_block(rows, Candidates(items, least, enough))
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def decontaminated(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", least: float = MIN_SCORE
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", least: float = MIN_SCORE,
+    enough: float = ENOUGH_WORDS,
 ) -> DataFrame:
     """The rows of ``docs`` that hold no copy of an item; rows without an id are kept."""
-    found = written(leaks(docs, benchmark, key, text, least), "leaks")
+    found = written(leaks(docs, benchmark, key, text, least, enough), "leaks")
     return docs.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")

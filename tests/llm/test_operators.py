@@ -202,6 +202,25 @@ def test_edited_copies_of_a_hot_item(spark, docs):
     assert len(got) >= 0.99 * len(want)
 
 
+def test_runs_of_long_items(spark, docs):
+    """A run is a copy by its own length, wherever it lies in its item."""
+    rnd = random.Random(12)
+    phrase = lambda n: [f"w{rnd.randrange(3000)}" for _ in range(n)]
+    items = {300: phrase(300), 256: phrase(256), 380: phrase(380), 1000: phrase(1000)}
+    runs = [(300, a, 60) for a in range(0, 241, 30)] + [(256, 20, 100), (380, 0, 150), (380, 115, 150), (1000, 300, 180)]
+    runs += [(1000, a, 60) for a in range(0, 941, 47)]
+    rows = [(n, " ".join(phrase(50) + items[i][a : a + size] + phrase(50))) for n, (i, a, size) in enumerate(runs)]
+    rows += [(1000 + n, " ".join(phrase(40) + items[i][70 : 70 + 20] + phrase(40))) for n, i in enumerate(items)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = dc.leaks(docs(rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(n, i) for n, (i, _, _) in enumerate(runs)} and len(got) == len(runs)
+    texts = dict(rows)
+    for r in got:
+        i, a, size = runs[r.doc_id]
+        if size == 60:
+            assert len(set(texts[r.doc_id][r.start : r.end].split()) & set(items[i][a : a + size])) >= dc.ENOUGH_WORDS
+
+
 def test_leaks_in_awkward_rows(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "one two"), (3, None), (4, ""), (5, "Word"), (6, "A tail")], "item_id long, text string")
     df = docs(AWKWARD + [(20, "they said one two three")])
