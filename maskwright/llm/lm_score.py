@@ -1,11 +1,13 @@
 """Stupid-backoff language-model scores of documents, from counts of the whole corpus.
 
-    S(w | v) = f(v w) / f(v)   where the pair is known,
-    S(w | v) = alpha * f(w) / N   otherwise,
+    S(w | u v) = f(u v w) / f(u v)   where the n-gram is known,
+    S(w | u v) = alpha * S(w | v)   otherwise, down to
+    S(w) = f(w) / N,
 
 with counts f from all *other* documents: a document's own words never support it, so the
-backoff is taken wherever a pair is new.  A word that no other document has counts as one
-occurrence.
+backoff is taken wherever an n-gram is new.  A word that no other document has counts as one
+occurrence.  The order, the words of the longest n-gram, is a parameter; one run gives the scores of
+all orders up to it.
 
 Counts are joined as tables, in packed form: documents are dealt to chunks of a few megabytes;
 a chunk sends each distinct n-gram once, with its number there, to the partition of the count
@@ -24,10 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 from .decontaminate import grams, word_hashes
 
 ALPHA = 0.4
+ORDER = 3
 CHUNK_BYTES = 8 << 20
 TOTAL = np.uint64(0)  # the key under which all words are counted
 BLOCKS = "part int, chunk int, keys binary, n binary"
-SCORES = "doc_id long, n_words long, n_pairs_known long, n_words_unseen long, log10_score double"
+SCORES = "doc_id long, n_words long, n_pairs_known long, n_words_unseen long, log10_score double, n_known array<long>, log10_scores array<double>"
 
 
 def _packed_keys(keys: np.ndarray) -> bytes:
@@ -62,11 +65,18 @@ def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def score(words: np.ndarray, keys: np.ndarray, totals: np.ndarray, alpha: float = ALPHA) -> tuple[int, int, int, float]:
-    """(words, known pairs, unseen words, log10 score) of a document; no words score 0."""
+def _found(words: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words and the n-grams of 2 to ``order`` words of a document."""
+    return [words, *(grams(words, n) for n in range(2, order + 1))]
+
+
+def score(
+    words: np.ndarray, keys: np.ndarray, totals: np.ndarray, alpha: float = ALPHA, order: int = ORDER
+) -> tuple[int, int, int, float, list[int], list[float]]:
+    """(words, known pairs, unseen words, log10 score by pairs, known n-grams of each n from 2 on,
+    log10 score of each order from 1 on) of a document; no words score 0."""
     if not len(words):
-        return 0, 0, 0, 0.0
-    pairs = grams(words, 2)
+        return 0, 0, 0, 0.0, [0] * (order - 1), [0.0] * order
 
     def elsewhere(found: np.ndarray) -> np.ndarray:
         """Occurrences in other documents."""
@@ -74,21 +84,32 @@ def score(words: np.ndarray, keys: np.ndarray, totals: np.ndarray, alpha: float
         return totals[np.searchsorted(keys, found)] - own[inverse]
 
     n_all = totals[np.searchsorted(keys, TOTAL)] - len(words)
-    f_words = elsewhere(words)
-    f_pairs = elsewhere(pairs)
-    single = np.maximum(f_words, 1) / max(1, n_all)
-    known = f_pairs > 0
-    s = np.concatenate([single[:1], np.where(known, f_pairs / np.maximum(f_words[:-1], 1), alpha * single[1:])])
-    return len(words), int(known.sum()), int((f_words <= 0).sum()), float(np.log10(s).sum())
-
-
-def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA) -> DataFrame:
-    """(doc_id, n_words, n_pairs_known, n_words_unseen, log10_score) of every row of ``docs``.
-
-    Words are lower-cased runs of letters, digits and underscores; the first word of a document
-    has no pair.  Null and wordless texts score 0.  Repeated rows count as documents of their
+    f_words, *longer = map(elsewhere, _found(words, order))
+    s, context = np.maximum(f_words, 1) / max(1, n_all), f_words
+    n_known, sums = [], [float(np.log10(s).sum())]
+    for n, f in enumerate(longer, 2):
+        known = f > 0
+        backed_off = alpha * s[n - 1 :]
+        s = np.concatenate([s[: n - 1], np.where(known, f / np.maximum(context[: len(f)], 1), backed_off)])
+        context = f
+        n_known.append(int(known.sum()))
+        sums.append(float(np.log10(s).sum()))
+    return len(words), n_known[0], int((f_words <= 0).sum()), sums[1], n_known, sums
+
+
+def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, order: int = ORDER) -> DataFrame:
+    """(doc_id, n_words, n_pairs_known, n_words_unseen, log10_score, n_known, log10_scores) of every
+    row of ``docs``.
+
+    n_known: the known n-grams of 2, 3, ... ``order`` words.  log10_scores: the scores by n-grams of up
+    to 1, 2, ... ``order`` words.  n_pairs_known and log10_score are those of pairs.
+
+    Words are lower-cased runs of letters, digits and underscores; the first words of a
+    document have shorter contexts.  Null and wordless texts score 0.  Repeated rows count as documents of their
     own.  Other columns are not read.
     """
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = -(-n_bytes // CHUNK_BYTES) or 1
     rows = docs.select(
@@ -99,7 +120,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
     def ask(t: pa.Table) -> pa.Table:
         chunk = t.column("chunk")[0].as_py()
         hashed = [word_hashes(x) for x in t.column("text").to_pylist()]
-        found = np.concatenate([*hashed, *(grams(w, 2) for w in hashed)])
+        found = np.concatenate([g for w in hashed for g in _found(w, order)])
         keys, n = np.unique(found, return_counts=True)
         # TOTAL is the least key there is
         keys, n = np.append(TOTAL, keys), np.append(sum(map(len, hashed)), n)
@@ -121,13 +142,13 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
         })
 
     def tell(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        order = np.argsort(answers.column("part").to_numpy())
+        by_part = np.argsort(answers.column("part").to_numpy())
         raw = answers.column("n").to_pylist()
-        totals = np.concatenate([_counts(raw[i]) for i in order])
+        totals = np.concatenate([_counts(raw[i]) for i in by_part])
         hashed = [word_hashes(x) for x in texts.column("text").to_pylist()]
-        keys = np.append(TOTAL, np.unique(np.concatenate([*hashed, *(grams(w, 2) for w in hashed)])))
-        found = [score(w, keys, totals, alpha) for w in hashed]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+        keys = np.append(TOTAL, np.unique(np.concatenate([g for w in hashed for g in _found(w, order)])))
+        found = [score(w, keys, totals, alpha, order) for w in hashed]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
         return pa.table(
             [texts.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*found), kinds))],
             names=[c.split()[0] for c in SCORES.split(", ")],

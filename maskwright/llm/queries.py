@@ -13,7 +13,7 @@ SHARDS = 24
 
 
 def op1_lm_score(spark: SparkSession, folder: str) -> DataFrame:
-    return lm_score.scores(table(spark, folder, "documents"))
+    return lm_score.scores(table(spark, folder, "documents"), order=3)
 
 
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:

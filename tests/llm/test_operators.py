@@ -80,6 +80,39 @@ def test_scores_of_awkward_rows(docs):
     assert lm.scores(docs([(1, "x")]).where("doc_id < 0")).collect() == []
 
 
+def slow_ngram_scores(rows, order):
+    words = [(i, re.findall(r"\w+", (t or "").lower())) for i, t in rows]
+    runs = lambda d, n: zip(*(d[k:] for k in range(n)))
+    every = Counter(g for _, d in words for n in range(1, order + 1) for g in runs(d, n))
+    total, out = sum(len(d) for _, d in words), []
+    for i, d in words:
+        own = Counter(g for n in range(1, order + 1) for g in runs(d, n))
+        f = lambda g: every[g] - own[g]
+
+        def s(g):
+            if len(g) == 1:
+                return max(1, f(g)) / max(1, total - len(d))
+            return f(g) / f(g[:-1]) if f(g) > 0 else 0.4 * s(g[1:])
+
+        sums = [sum(math.log10(s(tuple(d[max(0, k - n + 1) : k + 1]))) for k in range(len(d))) for n in range(1, order + 1)]
+        known = [sum(f(g) > 0 for g in runs(d, n)) for n in range(2, order + 1)]
+        out.append((i, tuple(known), tuple(round(x, 4) for x in sums)))
+    return Counter(out)
+
+
+def shown_ngram_scores(rows):
+    return Counter((r.doc_id, tuple(r.n_known), tuple(round(x, 4) for x in r.log10_scores)) for r in rows)
+
+
+def test_scores_of_longer_contexts(spark, small, docs, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 40_000)
+    want = slow_ngram_scores(documents(spark, small).items(), 3)
+    assert shown_ngram_scores(q.op1_lm_score(spark, small).collect()) == want
+    assert sum(k[1] for _, k, _ in want) > 0
+    for order in (2, 5):
+        assert shown_ngram_scores(lm.scores(docs(AWKWARD), order=order).collect()) == slow_ngram_scores(AWKWARD, order)
+
+
 def test_packed_arrays_round_trip():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 1000, np.uint64))
     assert (lm._keys(lm._packed_keys(keys)) == keys).all()
