@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, lm_score, packing, quality, records, sharding, simhash, token_counts, topk, warc
+from . import conversations, decontaminate, lm_score, packing, quality, records, sharding, simhash, token_counts, topk, toxicity, warc
 from ..session import shared_folder
 from .common import table
 
@@ -73,11 +73,32 @@ def op10_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Damaged conversations, their faults, the cheapest repair and the digest of the repaired rows."""
+    original = table(spark, folder, "conversations")
+    repair = conversations.Repair(conversations.damaged(original))
+    report = repair.report().withColumnRenamed("conv_id", "_found")
+    digests = conversations.digests(repair.repaired()).withColumnRenamed("conv_id", "_hashed")
+    every = original.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    out = every.join(report, F.col("conv_id").eqNullSafe(F.col("_found")), "left")
+    out = out.join(digests, F.col("conv_id").eqNullSafe(F.col("_hashed")), "left")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_exact_topk, op4_decontamination, op5_warc_audit, op6_record_files, op7_token_attribution, op8_best_fit_packing, op9_quality, op10_jump_sharding, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_exact_topk, op4_decontamination, op5_warc_audit, op6_record_files, op7_token_attribution, op8_best_fit_packing, op9_quality, op10_jump_sharding, op11_toxicity, op12_conversation_repair, pipeline)}
 CHECKS: dict[str, str] = {
     "op5_warc_audit": "select page_id, 'changed' as fault from pages where page_id % 101 = 7",
     "op3_exact_topk": """
