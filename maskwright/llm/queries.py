@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversations, decontaminate, lm_score, packing, quality, records, sharding, simhash, token_counts, topk, toxicity, warc
+from . import alignment, conversations, decontaminate, lm_score, packing, quality, records, sharding, simhash, token_counts, topk, toxicity, warc
 from ..session import shared_folder
 from .common import table
 
@@ -94,11 +94,15 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignment(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_exact_topk, op4_decontamination, op5_warc_audit, op6_record_files, op7_token_attribution, op8_best_fit_packing, op9_quality, op10_jump_sharding, op11_toxicity, op12_conversation_repair, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_exact_topk, op4_decontamination, op5_warc_audit, op6_record_files, op7_token_attribution, op8_best_fit_packing, op9_quality, op10_jump_sharding, op11_toxicity, op12_conversation_repair, op13_token_alignment, pipeline)}
 CHECKS: dict[str, str] = {
     "op5_warc_audit": "select page_id, 'changed' as fault from pages where page_id % 101 = 7",
     "op3_exact_topk": """

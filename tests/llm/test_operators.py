@@ -30,7 +30,7 @@ def documents(spark, folder):
 
 def test_registered_names():
     names = [n for n in entry.queries() if re.match(r"op\d+_|pipeline", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14))
     assert "pipeline" in names
 
 
