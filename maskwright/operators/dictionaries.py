@@ -2,7 +2,9 @@
 
 A short dictionary is matched inside the row.  For a long one, the word sequences of
 each text are joined to the entries on equality first, so a text is only searched for
-entries whose words it holds; the work does not grow with texts times entries.
+entries whose words it holds; the work does not grow with texts times entries.  Before a word
+sequence leaves the row, its first word and the whole of it have passed a Bloom filter of the
+entries, so what is exploded and shuffled grows with the hits, not with the texts.
 """
 
 from __future__ import annotations
@@ -11,13 +13,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import normalise as nm, spans as sp
+from ..functions import bloom, normalise as nm, spans as sp
 from . import detectors
 
 WORD_CHARS = r"\p{L}\p{N}_"
 WORD_RUN = rf"[{WORD_CHARS}]+"
 BETWEEN_WORDS = rf"[^{WORD_CHARS}]+"
-# Up to this many different first words are tested inside the row before the join.
+# Up to this many different first words are listed in the plan, more go into a Bloom filter.
 MAX_FIRST_WORDS = 1000
 # Broadcast entries only below this many bytes of text; otherwise the join shuffles.
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
@@ -42,15 +44,33 @@ def _entries(dictionary: DataFrame) -> DataFrame:
     )
 
 
-def _sequences(words: str, n: int, first_words: Sequence[str] | None) -> Column:
-    """Every run of n consecutive words that starts with one of the first words."""
-    firsts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+class _Firsts:
+    """Which words may begin an entry, and which word sequences may be one."""
 
-    def run(w: Column, i: Column) -> Column:
-        joined = F.array_join(F.slice(words, i + 1, F.lit(n)), " ")
-        return joined if first_words is None else F.when(w.isin(*first_words), joined)
+    def __init__(self, entries: DataFrame):
+        named = entries.where(F.col("first_word").isNotNull())
+        head = [r[0] for r in named.select("first_word").distinct().limit(MAX_FIRST_WORDS + 1).collect()]
+        self.words = head if len(head) <= MAX_FIRST_WORDS else None
+        if self.words is None:
+            hashes = named.select(F.xxhash64("first_word").alias("first"), F.xxhash64("gram").alias("gram"))
+            n = hashes.agg(*[F.approx_count_distinct(c).alias(c) for c in hashes.columns]).first()
+            self.first_bits, self.gram_bits = (bloom.build(hashes.select(c).distinct(), c, n[c]) for c in hashes.columns)
 
-    return F.filter(F.transform(firsts, run), lambda g: g.isNotNull())
+    def may_begin(self, word: Column) -> Column:
+        return word.isin(*self.words) if self.words is not None else bloom.may_hold(self.first_bits, F.xxhash64(word))
+
+    def may_be(self, gram: Column) -> Column:
+        return gram.isNotNull() if self.words is not None else gram.isNotNull() & bloom.may_hold(self.gram_bits, F.xxhash64(gram))
+
+
+def _sequences(words: str, sizes: Sequence[int], firsts: _Firsts) -> Column:
+    """The runs of words, of the given lengths, that may be an entry."""
+    places = F.filter(F.transform(words, lambda w, i: F.when(firsts.may_begin(w), i)), lambda i: i.isNotNull())
+
+    def runs(at: Column, w: Column) -> Column:
+        return F.array(*[F.when(at + n <= F.size(w), F.array_join(F.slice(w, at + 1, F.lit(n)), " ")) for n in sizes])
+
+    return F.filter(F.flatten(sp.with_each(places, words, runs)), firsts.may_be)
 
 
 def _entry_pattern(term: Column) -> Column:
@@ -62,12 +82,9 @@ def _entry_pattern(term: Column) -> Column:
     return F.concat(F.lit("(?iu)"), left, escaped, right)
 
 
-def known_terms(blocks: DataFrame, keys: Sequence[str], dictionary: DataFrame, text: str = "text") -> DataFrame:
-    """Per block the entries (kind, term) whose words it holds: keys, terms.
-
-    ``terms`` is array<struct<rule, term, pattern>>, bounded by the length of the block.
-    """
-    entries = _entries(dictionary).withColumn("_words", _folded_words(F.col("term"))).select(
+def keyed_entries(dictionary: DataFrame) -> DataFrame:
+    """Entries with the word sequence they are joined on: kind, term, gram, n_words, first_word."""
+    return _entries(dictionary).withColumn("_words", _folded_words(F.col("term"))).select(
         "kind",
         "term",
         # an entry without any word has to be all that stands between two words
@@ -75,19 +92,26 @@ def known_terms(blocks: DataFrame, keys: Sequence[str], dictionary: DataFrame, t
         F.size("_words").alias("n_words"),
         F.get("_words", F.lit(0)).alias("first_word"),
     )
+
+
+def known_terms(blocks: DataFrame, keys: Sequence[str], dictionary: DataFrame, text: str = "text") -> DataFrame:
+    """Per block the entries (kind, term) whose words it holds: keys, terms.
+
+    ``terms`` is array<struct<rule, term, pattern>>, bounded by the length of the block.
+    """
+    entries = keyed_entries(dictionary)
     shape = entries.agg(
         F.sort_array(F.collect_set("n_words")).alias("sizes"),
         F.sum(F.octet_length("term")).alias("bytes"),
     ).first()
-    firsts = entries.where(F.col("first_word").isNotNull()).select("first_word").distinct()
-    head = [r[0] for r in firsts.limit(MAX_FIRST_WORDS + 1).collect()]
-    first_words = head if len(head) <= MAX_FIRST_WORDS else None
+    firsts = _Firsts(entries)
     entries = entries.drop("first_word")
     if (shape.bytes or 0) <= MAX_BROADCAST_BYTES:
         entries = F.broadcast(entries)
 
     worded = blocks.select(*keys, _folded_words(F.col(text)).alias("_words"), nm.fold(F.col(text)).alias("_folded"))
-    sequences = [_sequences("_words", n, first_words) for n in shape.sizes if n]
+    sizes = [n for n in shape.sizes if n]
+    sequences = [_sequences("_words", sizes, firsts)] if sizes else []
     if 0 in shape.sizes:
         sequences.append(F.regexp_extract_all("_folded", F.lit(BETWEEN_WORDS), F.lit(0)))
     grams = sp.unnest(

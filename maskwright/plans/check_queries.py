@@ -77,6 +77,13 @@ where {strip('text')} <> ''""",
         f'select {KEYS}, rule, "start", "end", value from '
         f"({ck.rule_sql('name_known')} union all {ck.rule_sql('company_known')})"
     ),
+    "detect_known_derived": f"""
+select doc_id::bigint as doc_id, rule, (strpos(text, value) - 1)::bigint as "start",
+  (strpos(text, value) - 1 + length(value))::bigint as "end", value
+from ({fx.plain(fx.LETTERS)}) join (
+  select c_custkey as at_customer, null as at_supplier, 'name_known' as rule, 'PARTNER' || c_custkey || ' Varga' as value from customer where c_custkey % 3 > 0
+  union all select null, s_suppkey, 'company_known', 'House' || s_suppkey || ' of oak' from supplier)
+  on customer = at_customer or supplier = at_supplier""",
     "detect_distinct_blocks": _spans(resolved_ctes(_ALL_LINES), "spans"),
     "luhn_valid": _raw_hits(("[0-9]{13,19}", 0), f"{ck.luhn('f')} as is_valid"),
     "ssn_valid": _raw_hits(("[0-9]{3}-[0-9]{2}-[0-9]{4}", 0), f"{ck.ssn_ok('f')} as is_valid"),
@@ -152,6 +159,17 @@ from ({fx.plain(fx.TRUTH)})""",
         f"select distinct {KEYS}, pii_type, value from entities join redacted using ({KEYS}) "
         "where contains(text, value)",
     ),
+    "residual_leaks_document": recursive(
+        f"{entity_ctes()}, {ck.REDACTED}",
+        f"select {', '.join('r.' + k for k in KEYS.split(', '))}, pii_type, value, {ck.residual_reason('r.text', 'value')} as reason "
+        "from (select distinct source, doc_id, pii_type, value from entities) o "
+        "join redacted r on r.source = o.source and r.doc_id = o.doc_id and contains(r.text, value)",
+    ),
+    "residual_leaks_corpus": recursive(
+        f"{entity_ctes()}, {ck.REDACTED}",
+        "select pii_type, value, count(*) as n_blocks from (select distinct pii_type, value from entities) "
+        "join redacted on contains(text, value) group by all",
+    ),
 }
 
 CHECKS.update({

@@ -327,6 +327,19 @@ redacted as materialized (select {KEYS}, c.text as original,
     case when n is null then c.text else head || substr(c.text, reach + 1) end as text,
     coalesce(n, 0)::bigint as n_redactions from corpus c left join spliced using ({KEYS}))"""
 
+
+
+def residual_reason(text: str, value: str) -> str:
+    """Why the first place of a value in a redacted text was spared."""
+    at = f"(strpos({text}, {value}) - 1)"
+    before = window_before(at, fv.CURRENCY_WINDOW).replace("substr(text", f"substr({text}", 1)
+    sides = f"substr({text}, {at}, least({at}, 1)) || substr({text}, {at} + length({value}) + 1, 1)"
+    return (
+        f"case when {currency(before)} then 'amount' when regexp_matches({sides}, '[\\p{{L}}\\p{{N}}_]') "
+        "then 'within a word' else 'unrecognised' end"
+    )
+
+
 CATEGORIES = "(" + " union all ".join(
     f"select '{c}' as pii_type, {i} as ord" for i, c in enumerate(fv.CATEGORIES)
 ) + ")"

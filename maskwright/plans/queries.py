@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed_values as fv, normalise as nm, patterns as p, spans as sp, validators as v
 from ..operators import blocks as bl, detectors as dt, dictionaries as dc, evaluate as ev, redact as rd
+from ..operators import residual as rl
 from ..operators import runs as rn
-from ..session import shared_folder, spread
+from ..session import shared_folder, spread, stored
 from ..sources import fixtures as fx
 from ..sources import readers as rs
 from ..streaming import redaction as st
@@ -140,6 +141,17 @@ def detect_known_joined(spark, folder):
     return dt.explode_spans(found, KEYS, "candidates").drop("pii_type")
 
 
+def detect_known_derived(spark, folder):
+    """Names and firms derived from the keys of customers and suppliers, found in letters on orders.
+
+    The dictionary grows with the tables; beyond 1,000 first words it is a Bloom filter in the row.
+    """
+    dictionary = fx.run_sql(spark, folder, fx.LETTER_TERMS)
+    letters = fx.run_sql(spark, folder, fx.LETTERS).withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = dc.detect_with_known(spread(letters, "doc_id"), ["doc_id"], dictionary, rules=["name_known", "company_known"], max_inline=0)
+    return dt.explode_spans(found, ["doc_id"]).drop("pii_type")
+
+
 LINES_OF_UNIT = 1_000_000_000  # line numbers of one unit lie below this
 
 
@@ -318,6 +330,29 @@ def residual_leaks(spark, folder):
     return rd.residual(after, "entities", "redacted", KEYS)
 
 
+def _redacted_corpus(spark, folder):
+    """(found, redacted): the corpus with its entities, and the texts after redaction, both written."""
+    found = stored(corpus_entities(spark, folder).select(*KEYS, "text", "entities"), "entities")
+    return found, stored(rd.redact(found).select(*KEYS, "text"), "redacted")
+
+
+def residual_leaks_document(spark, folder):
+    """Originals of a document that still stand in any of its blocks, and why."""
+    found, redacted = _redacted_corpus(spark, folder)
+    scope = KEYS[:2]
+    left = rl.standing(redacted, KEYS, rl.originals(found, scope), scope)
+    return left.join(redacted, KEYS).select(
+        *KEYS, "pii_type", "value", rl.reason(F.col("text"), F.col("value")).alias("reason")
+    )
+
+
+def residual_leaks_corpus(spark, folder):
+    """Originals that still stand anywhere in the corpus, with the blocks that hold them."""
+    found, redacted = _redacted_corpus(spark, folder)
+    left = rl.standing(redacted, KEYS, rl.originals(found))
+    return left.groupBy("pii_type", "value").agg(F.count("*").alias("n_blocks"))
+
+
 # --- styled runs -----------------------------------------------------------------------------
 
 
@@ -502,11 +537,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_blocks, blocks_line, blocks_table_cells, blocks_sections, dedup_blocks, nonblank_blocks, truth_rows,
-        all_candidates, resolve_spans, detect_known_joined, detect_distinct_blocks,
+        all_candidates, resolve_spans, detect_known_joined, detect_known_derived, detect_distinct_blocks,
         luhn_valid, ssn_valid, ipv4_valid, phone_digit_filter, guard_currency, guard_version, trim_spans,
         stop_company, company_prefix_rules, name_guards, normalize_keys, normalize_match_text,
         mapping_audit, mapping_total, mapping_consistency, redact_documents, redact_corpus, redaction_counts,
-        run_summary, block_redaction_count, residual_leaks,
+        run_summary, block_redaction_count, residual_leaks, residual_leaks_document, residual_leaks_corpus,
         redact_runs_single, redact_runs_multi, span_run_overlap, run_offsets, layout_preserved,
         eval_cases, eval_negatives, match_values, eval_passages, metrics_per_type, metrics_micro_macro,
         binary_accuracy, eval_report, evaluation_run, stream_redact, stream_counts,

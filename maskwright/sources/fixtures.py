@@ -244,12 +244,22 @@ TRUTH = "\nunion all ".join(
 )
 
 
+# Letters on orders, and a dictionary of two thirds of the customers and of all suppliers in them.
+LETTERS = f"""select o_orderkey as doc_id, o_custkey as customer, o_orderkey % 7 + 1 as supplier, {_text(
+    "'Note '", "cast(o_orderkey as string)", "': PARTNER'", "cast(o_custkey as string)",
+    "' Varga pays House'", "cast(o_orderkey % 7 + 1 as string)", "' of oak, not Partner of oak nor House Varga.'")} as text
+from {{orders}}"""
+LETTER_TERMS = f"""select 'name' as kind, {_text("'Partner'", f"cast({_K} as string)", "' varga'")} as term
+from {{customer}} where {_K} % 3 > 0
+union all select 'company', {_text("'House'", f"cast({_S} as string)", "' of Oak'")} from {{supplier}}"""
+
+
 def run_sql(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     """A shared query over the parquet tables it names."""
-    names = [n for n in ("customer", "supplier", "events", "lineitem") if "{" + n + "}" in sql]
+    names = [n for n in ("customer", "supplier", "events", "lineitem", "orders") if "{" + n + "}" in sql]
     return spark.sql(sql, **{n: table(spark, folder, n) for n in names})
 
 
 def plain(sql: str) -> str:
     """The same query over tables known by their own names."""
-    return sql.format(customer="customer", supplier="supplier", events="events", lineitem="lineitem")
+    return sql.format(customer="customer", supplier="supplier", events="events", lineitem="lineitem", orders="orders")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from maskwright.operators import detectors as dt, dictionaries as dc
 
@@ -54,3 +55,19 @@ def test_limits(spark):
     for inline in (0, 10):
         with pytest.raises(Exception, match="no such kind"):
             dc.detect_with_known(df, ["doc_id"], other, max_inline=inline).collect()
+
+
+def test_only_likely_sequences_leave_the_row(spark):
+    """A large dictionary: exploded word sequences are at most twice the hits."""
+    entries = [("name", f"Partner{i} Varga") for i in range(3000)]
+    dictionary = spark.createDataFrame(entries, "kind string, term string")
+    rows = [(i, f"note {i} of partner{i * 7} varga and partner x{i}, house {i}, varga partner " * 3) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    firsts = dc._Firsts(dc.keyed_entries(dictionary))
+    assert firsts.words is None
+    worded = df.select(dc._folded_words(F.col("text")).alias("w"))
+    grams = worded.select(F.explode(F.array_distinct(dc._sequences("w", [2], firsts))))
+    hits = sum(i * 7 < 3000 for i in range(800))
+    assert hits <= grams.count() <= 2 * hits
+    found = dc.detect_with_known(df, ["doc_id"], dictionary, rules=["name_known"])
+    assert {r.doc_id: len(r.spans) for r in found.collect()} == {i: 3 * (i * 7 < 3000) for i in range(800)}
