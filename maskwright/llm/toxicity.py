@@ -16,6 +16,7 @@ part; the features are read again from the shared folder.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -79,6 +80,15 @@ def buckets(text: str | None, bits: int = BITS) -> np.ndarray:
     return (np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def packed(at: np.ndarray) -> bytes:
+    """Ascending buckets as their distances, compressed."""
+    return zlib.compress(np.diff(at, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(raw), "<u4"), dtype=np.int64)
+
+
 # --- model --------------------------------------------------------------------------------------
 
 
@@ -162,7 +172,7 @@ def examples(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [np.unique(buckets(t, bits)).astype("<u4").tobytes() for t in b.column(3).to_pylist()]
+            x = [packed(np.unique(buckets(t, bits))) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:3], pa.array(x, pa.binary())], ["part", "place", "label", "x"]
             )
@@ -172,26 +182,26 @@ def examples(
 
 
 def _epoch(rows: DataFrame, state: State) -> DataFrame:
-    """(block, parts, dz, dn): what the parts changed, of the blocks that any has touched."""
+    """(block, d): the mean change of z and n over the parts, of the blocks that any has touched."""
     z, n = state.z, state.n
 
     def run(part: pa.Table) -> pa.Table:
         own = State(len(z) - 1)
         own.z, own.n = z.copy(), n.copy()
         for i in np.argsort(part.column("place").to_numpy()):
-            own.learn(np.frombuffer(part.column("x")[i].as_py(), "<u4").astype(np.int64), part.column("label")[i].as_py())
+            own.learn(unpacked(part.column("x")[i].as_py()), part.column("label")[i].as_py())
         dz, dn = own.z - z, own.n - n
         some = np.unique(np.nonzero(dn)[0] // BLOCK)
         cut = [slice(k * BLOCK, (k + 1) * BLOCK) for k in some.tolist()]
         return pa.table({
             "block": pa.array(some, pa.int32()),
-            "d": pa.array([np.stack([dz[c], dn[c], dn[c] > 0]).astype("<f4").tobytes() for c in cut], pa.binary()),
+            "d": pa.array([np.stack([dz[c], dn[c]]).astype("<f4").tobytes() for c in cut], pa.binary()),
         })
 
     def merge(block: pa.Table) -> pa.Table:
         parts = sorted(block.column("d").to_pylist())  # one of each part; sorted, as sums of floats depend on their order
-        total = sum(np.frombuffer(d, "<f4").reshape(3, -1).astype(np.float64) for d in parts)
-        mean = (total[:2] / np.maximum(total[2], 1)).astype("<f4")
+        changes = [np.frombuffer(d, "<f4").reshape(2, -1).astype(np.float64) for d in parts]
+        mean = (sum(changes) / np.maximum(sum(c[1] > 0 for c in changes), 1)).astype("<f4")
         return pa.table({"block": block.column("block").slice(0, 1), "d": pa.array([mean.tobytes()], pa.binary())})
 
     changes = rows.groupBy("part").applyInArrow(run, "block int, d binary")
