@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import fresh, written
 
 N = 3  # words of a seed
 PASSAGE = 256  # words; longer items are cut, each passage half over the one before
@@ -38,7 +38,7 @@ KEPT = 400_000  # words a worker keeps the hash of
 
 _WORD = re.compile(r"\w+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
-FOUND = "doc_id long, item_id long, score double, start long, end long"
+FOUND = "doc_id long, item_id long, score double, start long, end long, text_hash long"
 
 
 class _Hashes(dict):
@@ -238,7 +238,7 @@ def _align_block(docs: DataFrame, candidates: Candidates) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 rows = []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for doc, text, mark in zip(*(c.to_pylist() for c in b.columns)):
                     words = word_hashes(text)
                     best: dict[int, tuple[float, int, int]] = {}
                     for passage, a, z in candidates.find(words):
@@ -248,16 +248,33 @@ def _align_block(docs: DataFrame, candidates: Candidates) -> DataFrame:
                             best[item] = score, a + start, a + end
                     if best:
                         spans = [m.span() for m in _WORD.finditer(text.lower())]
-                        rows += [(doc, i, s, spans[a][0], spans[z - 1][1]) for i, (s, a, z) in best.items()]
-                columns = zip(*rows) if rows else [()] * 5
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+                        rows += [(doc, i, s, spans[a][0], spans[z - 1][1], mark) for i, (s, a, z) in best.items()]
+                columns = zip(*rows) if rows else [()] * 6
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "score", "start", "end"]
+                    [pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "score", "start", "end", "text_hash"]
                 )
 
     return docs.mapInArrow(run, FOUND)
 
 
+def _found(docs: DataFrame, benchmark: DataFrame, key: str, text: str, least: float, enough: float) -> DataFrame:
+    """``leaks`` with the hash of the document's text."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    tests = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    n_bytes = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-n_bytes // BLOCK_BYTES) or 1
+    cut = tests.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    out = None
+    for k in range(blocks):
+        items = Items()
+        for r in cut.where(F.col("block") == k).orderBy("item_id", "text").collect():
+            items.add(r.item_id, r.text)
+        found = _align_block(rows, Candidates(items, least, enough))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", least: float = MIN_SCORE,
     enough: float = ENOUGH_WORDS,
@@ -272,25 +289,20 @@ def leaks(
     items take no part; an item of fewer than N words is looked up as a whole; repeated rows and
     items give repeated results.  Other columns are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    tests = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n_bytes = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-n_bytes // BLOCK_BYTES) or 1
-    cut = tests.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    out = None
-    for k in range(blocks):
-        items = Items()
-        for r in cut.where(F.col("block") == k).orderBy("item_id", "text").collect():
-            items.add(r.item_id, r.text)
-        found = _align_block(rows, Candidates(items, least, enough))
-        out = found if out is None else out.unionByName(found)
-    return out
+    return _found(docs, benchmark, key, text, least, enough).drop("text_hash")
 
 
 def decontaminated(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", least: float = MIN_SCORE,
     enough: float = ENOUGH_WORDS,
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no copy of an item; rows without an id are kept."""
-    found = written(leaks(docs, benchmark, key, text, least, enough), "leaks")
-    return docs.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")
+    """The rows of ``docs`` that hold no copy of an item, with their columns.
+
+    A row is known by its id and the hash of its text, so another text of the same id stays.  Rows
+    without an id are kept.
+    """
+    found = written(_found(docs, benchmark, key, text, least, enough), "leaks")
+    own_id, own_hash = fresh(docs, "_id", "_hash")
+    dropped = found.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
+    same = (F.col(key).cast("long") == F.col(own_id)) & (F.xxhash64(text) == F.col(own_hash))
+    return docs.join(dropped, same, "left_anti")

@@ -24,6 +24,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import fresh
+
 POSITIVES = 8_000  # bound of the sample of trusted positives
 UNLABELLED = 16_000  # bound of the sample of unlabelled texts
 FOLDS = 5
@@ -188,7 +190,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], ["doc_id", "positive", "x"])
 
     # the samples are bounded, so they can go to every task, and their features to the driver
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text")
+    rows = (
+        texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive")
+        # of several texts of an id the one with the least hash, so a repeated id is one row
+        .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    )
     got = rows.mapInArrow(run, "doc_id long, positive boolean, x binary").collect()
     got.sort(key=lambda r: (r[0], r[1], r[2]))
     x = np.frombuffer(b"".join(r[2] for r in got), "<f4").reshape(-1, N_FEATURES).astype(np.float64)
@@ -196,14 +202,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(x[positive], x[~positive])
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1); the other columns don't pass through the worker."""
+def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` (0 to 1); the other columns don't pass through the worker."""
+    if name.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"there is a column {name} already")
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(_matrix(texts.tolist())))
 
-    return docs.withColumn("score", score(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn(name, score(F.coalesce(F.col(text), F.lit(""))))
 
 
 def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,8 +231,8 @@ def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with their columns."""
     model = train(docs, labels, key, text)
-    out = scored(docs.withColumn("_text", F.col(text)), model, "_text").where(F.col("score") >= THRESHOLD)
-    return out.select(*docs.columns)
+    (name,) = fresh(docs, "_score")
+    return scored(docs, model, text, name).where(F.col(name) >= THRESHOLD).drop(name)
 
 
 def held_out(key: int | None) -> bool:

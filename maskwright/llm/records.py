@@ -35,6 +35,8 @@ POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
 
 _CHUNK = 64  # bytes that one lane of the vectorised checksum takes
+NO_ID = -(1 << 63)  # stands for a null id in a payload
+FILE_BYTES = 1 << 30  # of text in a file, about
 HEADER = struct.Struct("<QI")
 INDEX_SCHEMA = "doc_id long, file string, offset long, n_bytes long, n_tokens long"
 
@@ -164,9 +166,17 @@ def read_frames(source, where: str, batch_bytes: int = 1 << 22) -> Iterator[list
         held += size
 
 
-def unpacked(payload: bytes) -> tuple[int, np.ndarray]:
+def payload(doc_id: int | None, ids: np.ndarray) -> bytes:
+    """The payload of a record; NO_ID stands for a missing id."""
+    if doc_id == NO_ID:
+        raise ValueError(f"{NO_ID} is no document id")
+    return struct.pack("<q", NO_ID if doc_id is None else doc_id) + ids.tobytes()
+
+
+def unpacked(payload: bytes) -> tuple[int | None, np.ndarray]:
     """Document id and ids of a record."""
-    return struct.unpack_from("<q", payload)[0], np.frombuffer(payload, ID_TYPE, offset=8)
+    doc_id = struct.unpack_from("<q", payload)[0]
+    return None if doc_id == NO_ID else doc_id, np.frombuffer(payload, ID_TYPE, offset=8)
 
 
 def _place(path: str):
@@ -181,9 +191,10 @@ def write(docs: DataFrame, key: str, text: str, path: str, tokenizer: str | None
     """Encode ``docs`` and write record files below ``path`` in ascending order of ``key``.
 
     Returns the index, which is also at ``path``/index.  Range partitions keep the order
-    across files; equal ids are told apart by their texts' hash, so a repeated id can be cut as
-    well.  Rows without an id have no place in the order and are left out.  A null text has the
-    end id only.  Other columns are not read.
+    across files; equal ids are told apart by their texts' hash, and equal rows by a number, so a
+    repeated id or row can be cut as well.  Rows without an id come first.  A null text has the
+    end id only.  Other columns are not read.  Files are as many as shuffle partitions, or more if
+    they would exceed FILE_BYTES of text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +212,7 @@ def write(docs: DataFrame, key: str, text: str, path: str, tokenizer: str | None
                     out = system.open_output_stream(f"{folder}/{name}")
                 ids = b.column(0).to_pylist()
                 tokens = [encoder.document(t) for t in b.column(1).to_pylist()]
-                framed = frames([struct.pack("<q", i) + t.tobytes() for i, t in zip(ids, tokens)])
+                framed = frames([payload(i, t) for i, t in zip(ids, tokens)])
                 sizes = np.array([len(f) for f in framed], np.int64)
                 offsets = at + np.cumsum(sizes) - sizes
                 out.write(b"".join(framed))
@@ -214,11 +225,13 @@ def write(docs: DataFrame, key: str, text: str, path: str, tokenizer: str | None
         if out is not None:
             out.close()
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    order = rows.withColumn("_tie", F.xxhash64("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    order = rows.withColumns({"_tie": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a fixed number of partitions, so that no later step cuts or joins the files' ranges anew
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = order.repartitionByRange(parts, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // FILE_BYTES))
+    keys = ["doc_id", "_tie", "_row"]
+    placed = order.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_tie", "_row")
     placed.mapInArrow(run, INDEX_SCHEMA).write.parquet(f"{path}/index")
     return read_index(docs.sparkSession, path)
 

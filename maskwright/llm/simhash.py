@@ -24,10 +24,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import fresh, written
 from .components import components
 
 BITS = 64
+FEW = 10_000  # rows of two numbers that may go to every task
 SAMPLE = 1024  # fingerprints that the estimates are made from
 CROWD = 24  # fingerprints sharing a part's value from which their number is counted exactly
 PROBE_COST = 4.0  # a probe in units of a candidate
@@ -60,15 +61,20 @@ def fingerprint(text: str | None, words: int = 3, block: int = 1 << 16) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, words: int = 3) -> DataFrame:
-    """(doc_id, fingerprint) of every row; the fingerprint is the bigint with the same bits."""
+def fingerprints(docs: DataFrame, key: str, text: str, words: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ``carry``, fingerprint) of every row; the fingerprint is the bigint with the same bits.
+
+    carry: further columns of longs, passed on.
+    """
+    names = ["doc_id", *carry, "fingerprint"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"])
+            prints = np.array([fingerprint(t, words) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(prints.view(np.int64))], names)
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, fingerprint long")
+    columns = [F.col(key).cast("long"), *(F.col(c).cast("long") for c in carry), F.col(text)]
+    return docs.select(*columns).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 # --- parts, thresholds and probes -------------------------------------------------------------
@@ -275,10 +281,38 @@ def groups(docs: DataFrame, key: str, text: str, words: int = 3, distance: int =
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its group; rows without an id stay.
+    """One row of every group of near copies, with the columns of ``docs``.
 
-    Repeated rows of that id stay once each as they came.
+    A row belongs to the group of its own fingerprint, whatever other texts its id has.  The row with the
+    smallest id stays, of that id's texts the one with the smallest hash; of rows that are equal
+    in id and text exactly one stays, any one if other columns differ.  Rows without an id stay
+    as they are and make no other row go.
     """
-    found = groups(docs, key, text, words, distance)
-    dropped = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(dropped, key, "left_anti")
+    ids = docs.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("long").alias("id"), F.xxhash64(F.col(key).cast("long"), text).alias("row"), F.col(text).alias("text")
+    )
+    rows = written(fingerprints(ids, "id", "text", words, carry=("row",)).withColumnRenamed("doc_id", "id"), "simhash-rows")
+    # fingerprints are their own nodes here, so two texts of an id are apart
+    prints = written(rows.select("fingerprint", F.col("fingerprint").alias("node")).distinct(), "simhash-prints")
+    found = components(links(prints, distance))
+    named = prints.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component"))
+    each = rows.groupBy("id", "row", "fingerprint").agg(F.count("*").alias("n")).join(named, "fingerprint")
+    first = each.groupBy("component").agg(F.min(F.struct("id", "row")).alias("kept"))
+    place = (F.col("id") == F.col("kept.id")) & (F.col("row") == F.col("kept.row"))
+    judged = written(
+        each.join(first, "component").select("id", "row", place.alias("kept"), "n").where(~F.col("kept") | (F.col("n") > 1)),
+        "simhash-judged",
+    )
+    name, own_id, own_row = fresh(docs, "_row", "_id", "_own_row")
+    named_rows = docs.withColumn(name, F.xxhash64(F.col(key).cast("long"), text))
+
+    def matching(side: DataFrame, how: str) -> DataFrame:
+        side = side.select(F.col("id").alias(own_id), F.col("row").alias(own_row))
+        if side.limit(FEW + 1).count() <= FEW:
+            side = F.broadcast(side)
+        return named_rows.join(side, (F.col(key).cast("long") == F.col(own_id)) & (F.col(name) == F.col(own_row)), how)
+
+    rest = matching(judged, "left_anti")
+    # rows that stay once although they came several times
+    again = matching(judged.where("kept"), "left_semi").dropDuplicates([key, name])
+    return rest.unionByName(again).drop(name)

@@ -509,3 +509,35 @@ def test_pipeline_takes_awkward_documents(spark, small):
         out = stage(spark, docs, small)
         out.collect()
         assert stage(spark, docs.where("doc_id < 0"), small).collect() == []
+
+
+def test_decontamination_judges_texts_not_ids(spark, docs):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho"
+    tests = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, "clean words only"), (1, f"before {item} after"), (None, item), (None, "nothing here"), (2, item), (2, item)]
+    df = docs(rows).withColumns({"_id": F.lit("i"), "text_hash": F.lit("h")})
+    kept = dc.decontaminated(df, tests)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(1, "clean words only"), (None, item), (None, "nothing here")]
+
+
+def test_quality_keeps_the_callers_columns(spark, small):
+    labels = spark.read.parquet(small + "/labels.parquet")
+    df = spark.read.parquet(small + "/documents.parquet").withColumns({"score": F.lit(777.0), "_text": F.lit("mine"), "_score": F.lit(5)})
+    kept = ql.accepted(df, labels)
+    assert kept.columns == df.columns
+    assert {(r.score, r._text, r._score) for r in kept.collect()} == {(777.0, "mine", 5)}
+    with pytest.raises(ValueError):
+        ql.scored(df, None)
+
+
+def test_pipeline_loses_no_row_by_its_id(spark, small):
+    """Ids with two texts: only the text that a stage rejects goes."""
+    item = spark.read.parquet(small + "/benchmark.parquet").first().text
+    texts = [r.text for r in spark.read.parquet(small + "/documents.parquet").where("length(text) between 300 and 900").limit(3).collect()]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[0]), (2, texts[1]), (3, texts[2]), (3, item)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = corpus_pipeline.drop_near_duplicates(spark, df, small)
+    clean = corpus_pipeline.drop_leaks(spark, near, small)
+    assert sorted((r.doc_id, r.text) for r in near.collect()) == sorted({(1, texts[0]), (2, texts[1]), (3, texts[2]), (3, item)})
+    assert sorted((r.doc_id, r.text) for r in clean.collect()) == sorted([(1, texts[0]), (2, texts[1]), (3, texts[2])])

@@ -89,14 +89,23 @@ def test_records_of_awkward_rows(docs, tmp_path):
     path = f"file://{tmp_path}/records"
     index = rc.write(docs(AWKWARD), "doc_id", "text", path)
     rows = rc.read(index.sparkSession, path).orderBy("start").collect()
-    some = [(i, t) for i, t in AWKWARD if i is not None]
-    assert [r.doc_id for r in rows] == sorted(i for i, _ in some)
+    some = AWKWARD
+    assert [r.doc_id for r in rows] == sorted((i for i, _ in some), key=lambda i: (i is not None, i))
     assert rows[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
     assert Counter((r.doc_id, r.ids_crc32) for r in rows) == Counter((i, crc(plain(t) + [1])) for i, t in some)
     fetched = rc.fetch(index.orderBy("n_tokens"), path).collect()
     assert Counter((r.doc_id, crc(r.ids)) for r in fetched) == Counter((r.doc_id, r.ids_crc32) for r in rows)
 
 
+def test_large_inputs_make_more_files(docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(rc, "FILE_BYTES", 1000)
+    rows = [(1, "same words " * 20)] * 60 + [(2, "x")]
+    index = rc.write(docs(rows), "doc_id", "text", f"file://{tmp_path}/many")
+    assert index.select("file").distinct().count() >= 10 and rc.read(index.sparkSession, f"file://{tmp_path}/many").count() == 61
+    with pytest.raises(ValueError):
+        rc.payload(rc.NO_ID, np.zeros(1, rc.ID_TYPE))
+
+
 def test_records_of_an_empty_table(docs, tmp_path):
     index = rc.write(docs([(1, "x")]).where("doc_id < 0"), "doc_id", "text", f"file://{tmp_path}/none")
     assert index.count() == 0 and rc.read(index.sparkSession, f"file://{tmp_path}/none").count() == 0
