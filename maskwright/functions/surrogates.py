@@ -44,7 +44,7 @@ CITIES = (
 )
 
 
-def _pick(options, number: Column) -> Column:
+def pick(options, number: Column) -> Column:
     """The option at number modulo length; one string split keeps the literal small."""
     return F.element_at(
         F.split(F.lit("|".join(options)), r"\|"), (number % len(options)).cast("int") + 1
@@ -66,20 +66,20 @@ def _unlike(key: Column, made: Column, next_made: Column) -> Column:
 
 
 def full_name(key: Column, num) -> Column:
-    last = _pick(LAST_NAMES, num(1))
+    last = pick(LAST_NAMES, num(1))
     return _unlike(
         key,
-        F.concat_ws(" ", _pick(FIRST_NAMES, num(0)), last),
-        F.concat_ws(" ", _pick(FIRST_NAMES, num(0) + 1), last),
+        F.concat_ws(" ", pick(FIRST_NAMES, num(0)), last),
+        F.concat_ws(" ", pick(FIRST_NAMES, num(0) + 1), last),
     )
 
 
 def email(key: Column, num) -> Column:
-    tail = F.concat(F.lit("."), F.lower(_pick(LAST_NAMES, num(1))), F.lit("@" + fv.EMAIL_DOMAIN))
+    tail = F.concat(F.lit("."), F.lower(pick(LAST_NAMES, num(1))), F.lit("@" + fv.EMAIL_DOMAIN))
     return _unlike(
         key,
-        F.concat(F.lower(_pick(FIRST_NAMES, num(0))), tail),
-        F.concat(F.lower(_pick(FIRST_NAMES, num(0) + 1)), tail),
+        F.concat(F.lower(pick(FIRST_NAMES, num(0))), tail),
+        F.concat(F.lower(pick(FIRST_NAMES, num(0) + 1)), tail),
     )
 
 
@@ -102,20 +102,23 @@ def phone(key: Column, num) -> Column:
     )
 
 
-def company(key: Column, num) -> Column:
+def company_form(key: Column) -> Column:
+    """The legal form of the original, or the usual one."""
     lowered = F.lower(key)
-    suffix = F.when(F.contains(lowered, F.lit(fv.COMPANY_FORMS[0].lower())), fv.COMPANY_FORMS[0])
-    for form in fv.COMPANY_FORMS[1:]:
-        suffix = suffix.when(F.contains(lowered, F.lit(form.lower())), form)
-    return F.concat_ws(
-        " ", _pick(COMPANY_WORDS, num(0)), F.lit("Enterprises"), suffix.otherwise(fv.COMPANY_DEFAULT_FORM)
-    )
+    form = F.when(F.contains(lowered, F.lit(fv.COMPANY_FORMS[0].lower())), fv.COMPANY_FORMS[0])
+    for other in fv.COMPANY_FORMS[1:]:
+        form = form.when(F.contains(lowered, F.lit(other.lower())), other)
+    return form.otherwise(fv.COMPANY_DEFAULT_FORM)
+
+
+def company(key: Column, num) -> Column:
+    return F.concat_ws(" ", pick(COMPANY_WORDS, num(0)), F.lit("Enterprises"), company_form(key))
 
 
 def address(key: Column, num) -> Column:
-    city, state, pin = (_pick([c[i] for c in CITIES], num(2)) for i in range(3))
+    city, state, pin = (pick([c[i] for c in CITIES], num(2)) for i in range(3))
     return F.concat(
-        (num(0) % 999 + 1).cast("string"), F.lit(" "), _pick(STREETS, num(1)), F.lit(", "), city,
+        (num(0) % 999 + 1).cast("string"), F.lit(" "), pick(STREETS, num(1)), F.lit(", "), city,
         F.lit(", "), state, F.lit(" – "), pin, _padded(num(3) % 1000, 3), F.lit(", India"),
     )
 
@@ -132,9 +135,9 @@ def ssn(key: Column, num) -> Column:
 
 
 def card(key: Column, num) -> Column:
-    made = _pick(fv.TEST_CARDS, num(0))
+    made = pick(fv.TEST_CARDS, num(0))
     same = v.digits_only(key) == v.digits_only(made)
-    return F.when(same, _pick(fv.TEST_CARDS, num(0) + 1)).otherwise(made)
+    return F.when(same, pick(fv.TEST_CARDS, num(0) + 1)).otherwise(made)
 
 
 def dob(key: Column, num, as_of: str) -> Column:

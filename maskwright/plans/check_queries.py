@@ -159,6 +159,17 @@ from ({fx.plain(fx.TRUTH)})""",
         f"select distinct {KEYS}, pii_type, value from entities join redacted using ({KEYS}) "
         "where contains(text, value)",
     ),
+    "mapping_assigned": recursive(
+        f"{entity_ctes()}, {ck.assigned_ctes()}",
+        "select pii_type, key as normalized_original, replacement as synthetic_replacement from given",
+    ),
+    "redact_corpus_assigned": recursive(
+        f"{entity_ctes().replace('entities as materialized', 'hashed_entities as materialized')}, "
+        f"{ck.assigned_ctes().replace('from entities', 'from hashed_entities')}, "
+        "entities as materialized (select h.* exclude (replacement), coalesce(g.replacement, h.replacement) as replacement "
+        f"from hashed_entities h left join given g on g.pii_type = h.pii_type and g.key = h.key), {ck.REDACTED}",
+        f"select {KEYS}, text, n_redactions from redacted",
+    ),
     "residual_leaks_document": recursive(
         f"{entity_ctes()}, {ck.REDACTED}",
         f"select {', '.join('r.' + k for k in KEYS.split(', '))}, pii_type, value, {ck.residual_reason('r.text', 'value')} as reason "

@@ -7,6 +7,7 @@ functions and recursive queries; it never reads what the Spark side wrote.
 from __future__ import annotations
 
 from ..functions import fixed_values as fv, patterns as p, surrogates as su
+from ..operators import assigned as asg
 from ..sources import fixtures as fx
 from ..sources.readers import TEXT_TABLES
 
@@ -320,6 +321,59 @@ hashed as materialized (select *, sha256('{su.DEFAULT_SALT}|' || pii_type || '|'
 entities as materialized (select * exclude (h), {_surrogate('pii_type', 'key', 'h')} as replacement from hashed)"""
 
 
+def _mixed(space: str, place: str, k: str) -> str:
+    """The value at a place (l, r) of a value space; see ``assigned``."""
+    def choose(options, n: str) -> str:
+        return f"{sql_list(options)}[({n}) % {len(options)} + 1]"
+
+    def letter(n: str) -> str:
+        return f"substr('{asg.LETTERS}', (({n}) % 26 + 1)::int, 1)"
+
+    names, last, n = len(su.FIRST_NAMES), len(su.LAST_NAMES), len(su.COMPANY_WORDS)
+    forms = " ".join(f"when contains(lower({k}), {q(f.lower())}) then {q(f)}" for f in fv.COMPANY_FORMS)
+    words = " || ' ' || ".join(choose(su.COMPANY_WORDS, f"{d} // {n**i}") for d in "lr" for i in range(3))
+    city, state, pin = (choose([c[i] for c in su.CITIES], "r // 1000") for i in range(3))
+    return {
+        "FULL_NAME": f"{choose(su.FIRST_NAMES, 'l')} || ' ' || {letter(f'l // {names}')} || '. ' || {letter(f'l // {names * 26}')} || '. ' "
+        f"|| {choose(su.LAST_NAMES, 'r')} || '-' || {choose(su.LAST_NAMES, f'r // {last}')}",
+        "EMAIL": f"lower({choose(su.FIRST_NAMES, 'l')} || '.' || {choose(su.LAST_NAMES, f'l // {names}')} || '.' || lpad(r::varchar, 7, '0')) || '@{fv.EMAIL_DOMAIN}'",
+        "PHONE_INDIA": "'+91 ' || (l + 60000) || ' ' || (r + 10000)",
+        "PHONE_CITY": "'+91 20 ' || (l + 2000) || ' ' || (r + 1000)",
+        "PHONE": "'+91 ' || (l + 70000) || lpad(r::varchar, 5, '0')",
+        "COMPANY": f"{words} || ' Enterprises ' || case {forms} else '{fv.COMPANY_DEFAULT_FORM}' end",
+        "ADDRESS": f"(l % 999 + 1) || ' ' || {choose(su.STREETS, 'l // 999')} || ', ' || {city} || ', ' || {state} || ' – ' || {pin} "
+        "|| lpad((r % 1000)::varchar, 3, '0') || ', India'",
+        "SSN": "lpad((l + 1 + case when l + 1 >= 666 then 1 else 0 end)::varchar, 3, '0') || '-' || "
+        "lpad((r // 9999 + 1)::varchar, 2, '0') || '-' || lpad((r % 9999 + 1)::varchar, 4, '0')",
+        "IP_ADDRESS": "case when l < 256 then '10.' || l when l < 272 then '172.' || (l - 240) else '192.168' end || '.' || (r // 256) || '.' || (r % 256)",
+    }[space]
+
+
+def assigned_ctes(salt: str = su.DEFAULT_SALT) -> str:
+    """``given``: every distinct key of ``entities`` with a value of its own."""
+    def number(*parts: str) -> str:
+        return f"('0x' || substr(sha256('{salt}' || '|' || {" || '|' || ".join(parts)}), 1, 12))::bigint"
+
+    spaces = (
+        "case when pii_type = 'PHONE' then case when length(key) = 12 and starts_with(key, '91') then 'PHONE_INDIA' "
+        "when contains(key, '20') then 'PHONE_CITY' else 'PHONE' end "
+        f"when pii_type in ({', '.join(q(k) for k in asg.SPACES)}) then pii_type end"
+    )
+    level = (
+        "select *, row_number() over (partition by space order by h, key) - 1 as number from "
+        f"(select *, {number('space', 'key')} as h from (select *, {spaces} as space from "
+        "(select distinct pii_type, key from entities)) where space is not null)"
+    )
+    radix = [f"case space {' '.join(f'when {q(k)} then {v[i]}' for k, v in asg.SPACES.items())} end" for i in range(2)]
+    level = f"select *, number // b as l, number % b as r from (select *, {radix[0]} as a, {radix[1]} as b from ({level}))"
+    for i in range(asg.ROUNDS):
+        moved, other, size = ("r", "l", "b") if i % 2 else ("l", "r", "a")
+        step = number(f"'{i}'", "space", f"{other}::varchar")
+        level = f"select * replace (({moved} + {step}) % {size} as {moved}) from ({level})"
+    made = " ".join(f"when {q(k)} then {_mixed(k, 'l, r', 'key')}" for k in asg.SPACES)
+    return f"given as materialized (select pii_type, key, case space {made} end as replacement from ({level}))"
+
+
 REDACTED = f"""cut as (select *, lag("end", 1, 0) over (partition by {KEYS} order by "start") as done from entities),
 spliced as (select {KEYS}, string_agg(substr(text, done + 1, "start" - done) || replacement, '' order by "start") as head,
     max("end") as reach, count(*) as n from cut join corpus using ({KEYS}) group by {KEYS}),

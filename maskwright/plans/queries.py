@@ -10,7 +10,8 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import fixed_values as fv, normalise as nm, patterns as p, spans as sp, validators as v
+from ..functions import fixed_values as fv, normalise as nm, patterns as p, spans as sp, surrogates as su, validators as v
+from ..operators import assigned as asg
 from ..operators import blocks as bl, detectors as dt, dictionaries as dc, evaluate as ev, redact as rd
 from ..operators import residual as rl
 from ..operators import runs as rn
@@ -330,6 +331,19 @@ def residual_leaks(spark, folder):
     return rd.residual(after, "entities", "redacted", KEYS)
 
 
+def mapping_assigned(spark, folder):
+    """Every key with a replacement that no other key of its type has."""
+    found = _entities(spark, folder).select("pii_type", "key")
+    return asg.assigned(found, su.DEFAULT_SALT).select(
+        "pii_type", F.col("key").alias("normalized_original"), F.col("replacement").alias("synthetic_replacement")
+    )
+
+
+def redact_corpus_assigned(spark, folder):
+    found = stored(corpus_entities(spark, folder).select(*KEYS, "text", "entities"), "entities")
+    return asg.redact(found, KEYS, su.DEFAULT_SALT).drop("entities")
+
+
 def _redacted_corpus(spark, folder):
     """(found, redacted): the corpus with its entities, and the texts after redaction, both written."""
     found = stored(corpus_entities(spark, folder).select(*KEYS, "text", "entities"), "entities")
@@ -542,6 +556,7 @@ QUERIES = {
         stop_company, company_prefix_rules, name_guards, normalize_keys, normalize_match_text,
         mapping_audit, mapping_total, mapping_consistency, redact_documents, redact_corpus, redaction_counts,
         run_summary, block_redaction_count, residual_leaks, residual_leaks_document, residual_leaks_corpus,
+        mapping_assigned, redact_corpus_assigned,
         redact_runs_single, redact_runs_multi, span_run_overlap, run_offsets, layout_preserved,
         eval_cases, eval_negatives, match_values, eval_passages, metrics_per_type, metrics_micro_macro,
         binary_accuracy, eval_report, evaluation_run, stream_redact, stream_counts,
