@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import validators as v
+from ..session import stored
 from . import detectors
 
 
@@ -49,6 +51,40 @@ def table_cells(df: DataFrame, keys: Sequence[str], rows: str = "rows") -> DataF
     return outer.unionByName(nested)
 
 
+def nested_cells(cells: DataFrame, keys: Sequence[str] = ("doc_id",), max_depth: int = 100) -> DataFrame:
+    """Lines of tables nested to any depth: keys, depth, path, line, text.
+
+    ``cells`` has keys, cell_id, parent_id (the cell that holds this one's table, null outside),
+    row, col and text.  path is row and column of every cell on the way, depth the cells around
+    it.  Each round joins one level to the next by cell, and levels are written, so the plan doesn't
+    grow with the depth.  A cell whose parents run in a circle or that has none is an error; a
+    null text has no lines.
+    """
+    own = [*keys, "cell_id"]
+    level = stored(
+        cells.where(F.col("parent_id").isNull()).select(*own, F.array("row", "col").alias("path"), "text"), "cells"
+    )
+    inner = stored(cells.where(F.col("parent_id").isNotNull()).select(*own, "parent_id", "row", "col", "text"), "inner-cells")
+    levels, found, wanted = [], 0, inner.count()
+    for depth in range(max_depth + 1):
+        levels.append(level.withColumn("depth", F.lit(depth)))
+        if found == wanted or depth == max_depth:
+            break
+        parents = level.select(*keys, F.col("cell_id").alias("parent_id"), F.col("path").alias("_above"))
+        level = stored(
+            inner.join(parents, [*keys, "parent_id"]).select(*own, F.concat("_above", F.array("row", "col")).alias("path"), "text"),
+            "cells",
+        )
+        more = level.count()
+        found += more
+        if not more:
+            break
+    if found != wanted:
+        raise ValueError(f"{wanted - found} cells have no outer table, or hold themselves, or lie deeper than {max_depth}")
+    every = reduce(DataFrame.unionByName, levels)
+    return every.select(*keys, "depth", "path", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+
+
 def sections(df: DataFrame, keys: Sequence[str], names: Sequence[str] = ("body", "header", "footer")) -> DataFrame:
     """Paragraph arrays of the document parts as blocks; a missing part gives none."""
     parts = F.array(

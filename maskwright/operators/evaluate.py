@@ -302,6 +302,63 @@ def run(cases: DataFrame, negatives: DataFrame, passages: DataFrame, **detection
     return scoped(first.withColumn("tier", F.lit("cases")).unionByName(second.withColumn("tier", F.lit("passages"))))
 
 
+def totals(outcomes: DataFrame) -> DataFrame:
+    """Metrics of every category of a tier, of each tier and of all, from one grouped pass.
+
+    ``outcomes``: (tier, pii_type, tp, fp, fn), any number of rows; a row without a category counts
+    for its tier alone.  scope is ``type``, ``tier`` or ``all``; n is the number of decisions.
+    Nothing predicted and nothing missed is precision 1, otherwise nothing right is 0.
+    """
+    named = F.when(F.grouping("tier") == 1, "all").when(F.grouping("pii_type") == 1, "tier").otherwise("type")
+    sums = outcomes.groupingSets([["tier", "pii_type"], ["tier"], []], "tier", "pii_type").agg(
+        named.alias("scope"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in STATS[1:]]
+    )
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    rated = sums.where((F.col("scope") != "type") | F.col("pii_type").isNotNull()).withColumns({
+        "precision": _ratio(tp, tp + fp, F.when(fn == 0, 1.0).otherwise(0.0)), "recall": _ratio(tp, tp + fn, F.lit(1.0)),
+    })
+    rated = rated.withColumn("f1", _f1(F.col("precision"), F.col("recall"))).withColumn("n", tp + fp + fn)
+    return rounded(rated).select("scope", "tier", "pii_type", *STATS[1:], "n", "precision", "recall", "f1")
+
+
+def full_run(cases: DataFrame, negatives: DataFrame, passages: DataFrame, as_of: str, **detection) -> DataFrame:
+    """``totals`` of both tiers with the accuracy over the first, what was evaluated, and when.
+
+    accuracy: found cases and clean negatives over all of them, on the rows of tier ``cases``
+    as a whole.  n_texts: the texts of the tier, of both for all.
+    """
+    found = {k: detectors.detect(df, **detection) for k, df in (("cases", cases), ("negatives", negatives), ("passages", passages))}
+    each = score_cases(found["cases"])
+    clean = found["negatives"].select((F.size("spans") == 0).cast("long").alias("clean"), F.size("spans").cast("long").alias("fp"))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+    rows = each.select(
+        F.lit("cases").alias("tier"), "pii_type", "tp", "fp", "fn", F.lit(1).cast("long").alias("texts"), F.col("tp").alias("right")
+    ).unionByName(
+        clean.select(F.lit("cases").alias("tier"), none.alias("pii_type"), zero.alias("tp"), zero.alias("fp"), zero.alias("fn"),
+                     F.lit(1).cast("long").alias("texts"), F.col("clean").alias("right"))
+    ).unionByName(
+        sp.unnest(found["negatives"], (), "spans", "s").select(
+            F.lit("cases").alias("tier"), F.col("s.pii_type").alias("pii_type"), zero.alias("tp"),
+            F.lit(1).cast("long").alias("fp"), zero.alias("fn"), zero.alias("texts"), zero.alias("right"))
+    )
+    matched = passage_stats(passage_outcomes(match_passages(found["passages"])))
+    second = matched.select(F.lit("passages").alias("tier"), "pii_type", "tp", "fp", "fn", zero.alias("texts"), zero.alias("right"))
+    second = second.unionByName(passages.select(
+        F.lit("passages").alias("tier"), none.alias("pii_type"), zero.alias("tp"), zero.alias("fp"), zero.alias("fn"),
+        F.lit(1).cast("long").alias("texts"), zero.alias("right")))
+    every = rows.unionByName(second)
+    counted = every.groupingSets([["tier"], []], "tier").agg(F.sum("texts").alias("n_texts"), F.sum("right").alias("_right"))
+    metrics = totals(every.select("tier", "pii_type", "tp", "fp", "fn"))
+    joined = metrics.join(
+        F.broadcast(counted.withColumnRenamed("tier", "_tier")),
+        (F.col("scope") != "type") & F.col("tier").eqNullSafe(F.col("_tier")), "left",
+    )
+    first = (F.col("scope") == "tier") & (F.col("tier") == "cases") & (F.col("n_texts") > 0)
+    return joined.withColumn("accuracy", F.when(first, F.round(F.col("_right") / F.col("n_texts"), 4))).withColumn(
+        "as_of", F.lit(as_of)
+    ).drop("_tier", "_right")
+
+
 def report(metrics: DataFrame) -> DataFrame:
     """Metrics as printed: categories that were not observed show nulls."""
     shown = rounded(metrics)

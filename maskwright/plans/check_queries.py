@@ -59,6 +59,12 @@ select s_suppkey::bigint as doc_id, path, text from supplier, lateral (values
   ('0/0/0', 'Crate'), ('0/1/0', 'Contents'), ('1/0/0', 'Keeper'), ('1/0/1', s_name),
   ('1/1/0', 'm' || s_suppkey || '@mail.example.org'), ('1/1/0/0/0', 'label'),
   ('1/1/0/1/0', 'ask s' || s_suppkey || '@mail.example.org')) t(path, text)""",
+    "blocks_nested_cells": f"""with recursive cells as materialized ({fx.plain(fx.NESTED_CELLS)}),
+walk as (select doc_id, cell_id, 0 as depth, row || '/' || col as path, text from cells where parent_id is null
+  union all select c.doc_id, c.cell_id, depth + 1, path || '/' || row || '/' || col, c.text
+  from walk w join cells c on c.doc_id = w.doc_id and c.parent_id = w.cell_id)
+select doc_id::bigint as doc_id, depth::bigint as depth, path, unnest(generate_series(0, len(l) - 1))::bigint as line, unnest(l) as text
+from (select *, string_split(text, chr(10)) as l from walk)""",
     "blocks_sections": """
 select c_custkey::bigint as doc_id, 'body' as section, 0::bigint as block_id, c_name as text from customer
 union all select c_custkey, 'body', 1, 'segment ' || c_mktsegment from customer
@@ -369,6 +375,38 @@ CHECKS.update({
         f"{_BOTH}, {_PASSAGE_CTES}",
         f"{_scoped('cases', _CASE_METRICS)} union all {_scoped('passages', _PASSAGE_METRICS)}",
     ),
+    "evaluation_full": recursive(
+        f"{_BOTH}, {_PASSAGE_CTES}, every as materialized ("
+        "select 'cases' as tier, pii_type, tp, fp, fn, 1 as texts, tp as good from case_scores "
+        "union all select 'cases', pii_type, 0, 1, 0, 0, 0 from spans where source = 'negatives' "
+        "union all select 'cases', null, 0, 0, 0, 1, (not exists (select 1 from spans s where s.source = 'negatives' "
+        "and s.doc_id = c.doc_id))::int from corpus c where source = 'negatives' "
+        "union all select 'passages', pii_type, (outcome = 'tp')::int, (outcome = 'fp')::int, (outcome = 'fn')::int, 0, 0 from outcomes "
+        "union all select 'passages', null, 0, 0, 0, 1, 0 from corpus where source = 'p')",
+        "select scope, tier, pii_type, tp, fp, fn, tp + fp + fn as n, round(p, 4) as precision, round(r, 4) as recall, "
+        "round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, 4) as f1, "
+        "case when scope <> 'type' then texts end as n_texts, "
+        f"case when scope = 'tier' and tier = 'cases' then round(good / texts, 4) end as accuracy, '{ck.su.DEFAULT_AS_OF}' as as_of "
+        "from (select *, case when tp + fp > 0 then tp / (tp + fp) when fn = 0 then 1.0 else 0.0 end as p, "
+        "case when tp + fn > 0 then tp / (tp + fn) else 1.0 end as r from ("
+        "select case when grouping(tier) = 1 then 'all' when grouping(pii_type) = 1 then 'tier' else 'type' end as scope, tier, pii_type, "
+        "sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, sum(texts)::bigint as texts, sum(good)::bigint as good "
+        "from every group by grouping sets ((tier, pii_type), (tier), ()))) where scope <> 'type' or pii_type is not null",
+    ),
+    "labels_json": f"""select case when passage_id % 3 > 0 then 'shelf ' || passage_id else 'unknown' end as source,
+  case when passage_id % 4 > 0 then 'text ' || passage_id else '' end as text, pii_type, value from ({_TRUTH}) where passage_id % 7 <> 3""",
+    "labels_damaged": "select left('{' || chr(34) || 'id' || chr(34) || ':' || chr(34) || c_custkey || chr(34) || ',' || chr(34) || 'metadata', 12) "
+    "as raw from customer where c_custkey % 7 = 3",
+    "stream_dedup": "select event_id::bigint as doc_id, 'host 10.' || (event_id % 300) || '.0.' || (user_id % 256) || ' mail u' || user_id "
+    "|| '@mail.example.org' as text from events",
+    "stream_mapping": recursive(
+        entity_ctes(
+            "select 'events' as source, event_id::bigint as doc_id, 0::bigint as block_id, "
+            "'host 10.' || (event_id % 300) || '.0.' || (user_id % 256) || ' mail u' || user_id || '@mail.example.org' as text from events",
+            known=False,
+        ),
+        "select distinct pii_type, key as normalized_original, replacement as synthetic_replacement from entities",
+    ),
     "stream_redact": CHECKS["redact_documents"],
     "stream_counts": recursive(
         resolved_ctes(

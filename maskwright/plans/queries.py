@@ -92,6 +92,15 @@ def blocks_table_cells(spark, folder):
     )
 
 
+def blocks_nested_cells(spark, folder):
+    """Tables in cells of tables, none to six deep, one chain for each customer."""
+    out = bl.nested_cells(fx.run_sql(spark, folder, fx.NESTED_CELLS), max_depth=6)
+    return out.select(
+        "doc_id", F.col("depth").cast("long").alias("depth"), F.array_join(F.transform("path", lambda i: i.cast("string")), "/").alias("path"),
+        F.col("line").cast("long").alias("line"), "text",
+    )
+
+
 def blocks_sections(spark, folder):
     """Body, header and footer per customer; some have no header."""
     key = F.col("c_custkey").cast("string")
@@ -446,6 +455,40 @@ def truth_rows(spark, folder):
     return rs.truth_rows(_passages(spark, folder)).withColumn("passage_id", F.col("passage_id").cast("long"))
 
 
+def _label_lines(spark, folder):
+    """Labels of customers' passages as JSON lines in the shared folder, every seventh line cut short; none of a missing path."""
+    place = shared_folder(spark, "labels-json")
+    labels = fx.run_sql(spark, folder, fx.TRUTH).groupBy("passage_id").agg(
+        F.sort_array(F.collect_list(F.struct("truth_idx", F.col("pii_type").alias("type"), "value"))).alias("t")
+    )
+    key = F.col("passage_id")
+    source = F.when(key % 3 > 0, F.concat(F.lit("shelf "), key.cast("string")))
+    passage = F.struct(
+        F.when(key % 4 > 0, F.concat(F.lit("text "), key.cast("string"))).alias("text"),
+        F.transform("t", lambda t: F.struct(t["type"].alias("type"), t["value"].alias("value"))).alias("ground_truth_pii"),
+    )
+    whole = F.to_json(F.struct(key.cast("string").alias("id"), F.struct(source.alias("source")).alias("metadata"), F.array(passage).alias("passages")))
+    lines = labels.select(F.when(key % 7 == 3, F.substring(whole, 1, 12)).otherwise(whole).alias("value"))
+    lines.write.text(place + "/in")
+    return rs.label_lines(spark, place + "/in").unionByName(rs.label_lines(spark, place + "/missing"))
+
+
+def labels_json(spark, folder):
+    """Labels read back from JSON of changing shape."""
+    found = rs.labelled_passages(_label_lines(spark, folder))
+    return found.select("source", "text", F.explode("truth").alias("t")).select("source", "text", F.col("t.type").alias("pii_type"), F.col("t.value").alias("value"))
+
+
+def labels_damaged(spark, folder):
+    return rs.damaged_lines(_label_lines(spark, folder)).select("raw")
+
+
+def evaluation_full(spark, folder):
+    """Both tiers: categories, tiers and all from one grouped pass, with accuracy and texts."""
+    cases = fx.run_sql(spark, folder, fx.CASES).withColumn("expected", F.array("expected"))
+    return ev.full_run(cases, fx.run_sql(spark, folder, fx.NEGATIVES), _passages(spark, folder), su.DEFAULT_AS_OF)
+
+
 def eval_cases(spark, folder):
     return ev.score_cases(_cases(spark, folder))
 
@@ -528,6 +571,31 @@ def stream_redact(spark, folder):
     return spark.read.parquet(place + "/out")
 
 
+def _event_texts(spark, folder):
+    stream = st.read_table(spark, folder, "events")
+    text = F.concat(
+        F.lit("host 10."), (F.col("event_id") % 300).cast("string"), F.lit(".0."),
+        (F.col("user_id") % 256).cast("string"), F.lit(" mail u"), F.col("user_id").cast("string"), F.lit("@mail.example.org"),
+    )
+    return stream.select(F.col("event_id").cast("long").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"), text.alias("text"))
+
+
+def stream_dedup(spark, folder):
+    """Events that come one to three times, each kept once."""
+    copies = F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))
+    stream = _event_texts(spark, folder).withColumn("copy", F.explode(copies)).drop("copy")
+    place = shared_folder(spark, "stream-dedup")
+    st.run_available(st.dedup_stream(stream, ["doc_id"], "ts"), place + "/out", place + "/state")
+    return spark.read.parquet(place + "/out").select("doc_id", "text")
+
+
+def stream_mapping(spark, folder):
+    """The mapping of all events' texts, written by a stream."""
+    place = shared_folder(spark, "stream-mapping")
+    st.run_available(st.mapping_stream(_event_texts(spark, folder)), place + "/out", place + "/state")
+    return spark.read.parquet(place + "/out")
+
+
 def stream_counts(spark, folder):
     """Detections per category and hour of event time, closed windows only."""
     stream = st.read_table(spark, folder, "events")
@@ -550,7 +618,7 @@ def stream_counts(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_blocks, blocks_line, blocks_table_cells, blocks_sections, dedup_blocks, nonblank_blocks, truth_rows,
+        scan_blocks, blocks_line, blocks_table_cells, blocks_nested_cells, blocks_sections, dedup_blocks, nonblank_blocks, truth_rows,
         all_candidates, resolve_spans, detect_known_joined, detect_known_derived, detect_distinct_blocks,
         luhn_valid, ssn_valid, ipv4_valid, phone_digit_filter, guard_currency, guard_version, trim_spans,
         stop_company, company_prefix_rules, name_guards, normalize_keys, normalize_match_text,
@@ -559,7 +627,8 @@ QUERIES = {
         mapping_assigned, redact_corpus_assigned,
         redact_runs_single, redact_runs_multi, span_run_overlap, run_offsets, layout_preserved,
         eval_cases, eval_negatives, match_values, eval_passages, metrics_per_type, metrics_micro_macro,
-        binary_accuracy, eval_report, evaluation_run, stream_redact, stream_counts,
+        binary_accuracy, eval_report, evaluation_run, evaluation_full, labels_json, labels_damaged,
+        stream_redact, stream_counts, stream_dedup, stream_mapping,
     )
 }
 QUERIES.update({f"detect_{rule}": partial(_detect_rule, rule=rule) for rule, _ in fv.RULES})

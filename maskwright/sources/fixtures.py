@@ -244,6 +244,15 @@ TRUTH = "\nunion all ".join(
 )
 
 
+# A chain of cells for each customer, depths 0 to c_custkey % 7, and a second cell beside each.
+NESTED_CELLS = "\nunion all ".join(
+    f"select {_K} as doc_id, {2 * d + side} as cell_id, {2 * d - 2 if d else 'null'} as parent_id, "
+    f"{d} as row, {side} as col, {_text(pick(_K + f' + {d}', _WORD), 'chr(10)', f'cast({_K} as string)') if side else pick(_K + f' + {d}', _CITY)} as text "
+    f"from {{customer}} where {_K} % 7 >= {d}"
+    for d in range(7) for side in range(2)
+)
+
+
 # Letters on orders, and a dictionary of two thirds of the customers and of all suppliers in them.
 LETTERS = f"""select o_orderkey as doc_id, o_custkey as customer, o_orderkey % 7 + 1 as supplier, {_text(
     "'Note '", "cast(o_orderkey as string)", "': PARTNER'", "cast(o_custkey as string)",

@@ -79,3 +79,46 @@ def truth_rows(df: DataFrame, keys: Sequence[str] = ("passage_id",)) -> DataFram
         F.col("t.type").alias("pii_type"),
         F.col("t.value").alias("value"),
     )
+
+
+def label_lines(spark: SparkSession, path: str | Sequence[str], optional: bool = True) -> DataFrame:
+    """JSON documents of labels, one a line, of any shape: (file, raw, doc).
+
+    doc is a VARIANT and null where the line is no JSON, so one damaged line or file costs itself
+    alone.  Large files are split at lines.  An optional path that does not exist gives no rows.
+    """
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as error:
+        if not optional or error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = spark.createDataFrame([], "value string").withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw")).withColumn(
+        "doc", F.try_parse_json("raw")
+    )
+
+
+def damaged_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are no JSON object, with their files; blank lines are none."""
+    is_object = F.schema_of_variant("doc").startswith("OBJECT")
+    return lines.where((F.trim("raw") != "") & ~F.coalesce(is_object, F.lit(False))).select("file", "raw")
+
+
+def labelled_passages(lines: DataFrame) -> DataFrame:
+    """(file, source, place, text, truth) of the passages of readable lines.
+
+    source is metadata.source, "unknown" by default; place is the passage's in its document.  A
+    passage without text has an empty one, one without labels no truth, and a label without a
+    type or a value is left out.
+    """
+    passages = lines.where(F.col("doc").isNotNull()).select(
+        "file",
+        F.coalesce(F.try_variant_get("doc", "$.metadata.source", "string"), F.lit("unknown")).alias("source"),
+        F.posexplode(F.try_variant_get("doc", "$.passages", "array<variant>")).alias("place", "p"),
+    )
+    labels = F.try_variant_get("p", "$.ground_truth_pii", "array<struct<type:string,value:string>>")
+    return passages.select(
+        "file", "source", "place", F.coalesce(F.try_variant_get("p", "$.text", "string"), F.lit("")).alias("text"),
+        F.filter(F.coalesce(labels, F.array().cast("array<struct<type:string,value:string>>")),
+                 lambda t: t["type"].isNotNull() & t["value"].isNotNull()).alias("truth"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -48,10 +50,37 @@ def counts_stream(
     )
 
 
+def dedup_stream(stream: DataFrame, keys: Sequence[str], time: str, late: str = "10 minutes") -> DataFrame:
+    """Each block once, however often it comes within ``late`` of its first time.
+
+    State holds one key and its time until the watermark passes it, so it is bounded by the
+    distinct keys of that span, not by the length of the stream.
+    """
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
+
+
+def mapping_stream(stream: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The replacements made, each once over the life of the stream.  Holds originals: a restricted sink.
+
+    A key is remembered as state, as long as the mapping itself is kept; with a file sink, which
+    commits a batch once, a batch that is run again after a kill leaves no second row.
+    """
+    found = rd.explode_entities(rd.with_entities(stream, text, **options))
+    return found.select(
+        "pii_type", F.col("key").alias("normalized_original"), F.col("replacement").alias("synthetic_replacement")
+    ).dropDuplicates(["pii_type", "normalized_original"])
+
+
+REPORTED = 100_000  # batches whose progress a run keeps
+
+
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that came behind the watermark and were left out, over the batches still reported."""
+    """Rows that came behind the watermark and were left out; an error if not all batches are reported."""
+    reported = query.recentProgress
+    if reported and reported[0]["batchId"] > 0 and len(reported) >= REPORTED:
+        raise RuntimeError(f"more than {REPORTED} batches: late rows of the first ones are not known")
     return sum(
-        int(o.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for o in p["stateOperators"]
+        int(o.get("numRowsDroppedByWatermark", 0)) for p in reported for o in p["stateOperators"]
     )
 
 
@@ -63,6 +92,9 @@ def run_available(
     Rows later than the watermark are an error unless ``allow_late``: a wider ``late`` or no
     ``files_per_trigger`` keeps them.
     """
+    conf, kept = out.sparkSession.conf, "spark.sql.streaming.numRecentProgressUpdates"
+    before = conf.get(kept)
+    conf.set(kept, str(REPORTED))  # else only the last 100 batches are known
     query = (
         out.writeStream.outputMode(output_mode)
         .format("parquet")
@@ -71,7 +103,10 @@ def run_available(
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    finally:
+        conf.set(kept, before)
     if not allow_late and (n := late_rows(query)):
         raise RuntimeError(f"{n} rows came later than the watermark allows and were not counted")
     return query

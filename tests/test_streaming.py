@@ -95,3 +95,52 @@ def test_late_rows_are_an_error(spark, tmp_path):
     with pytest.raises(RuntimeError, match="later than the watermark"):
         st.run_available(counted(), str(tmp_path / "out"), str(tmp_path / "state"))
     st.run_available(counted(), str(tmp_path / "out2"), str(tmp_path / "state2"), allow_late=True)
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1), (1, 3, 0, 2)])
+def test_dedup_in_any_order_of_files(spark, tmp_path, order):
+    start = datetime.datetime(2024, 1, 1)
+    folder = str(tmp_path / "in")
+    for k, f in enumerate(order):
+        rows = [(i % 60, start + datetime.timedelta(minutes=i % 60), f"text {i % 60}") for i in range(f * 30, f * 30 + 45)]
+        spark.createDataFrame(rows, "doc_id int, ts timestamp, text string").coalesce(1).write.mode("append").parquet(folder)
+        for path in (tmp_path / "in").glob("part-*.parquet"):
+            if not path.name.startswith("part-done"):
+                os.utime(path, (1000 + k, 1000 + k))
+                path.rename(path.with_name(f"part-done-{k}.parquet"))
+    batch = spark.read.parquet(folder)
+    stream = st.read_stream(spark, folder, batch.schema, files_per_trigger=1)
+    st.run_available(st.dedup_stream(stream, ["doc_id"], "ts", late="2 hours"), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.distinct().collect()))
+
+
+def test_mapping_is_written_once(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    batch = source(spark, folder)
+    where = str(tmp_path / "out"), str(tmp_path / "state")
+    for _ in range(2):  # the second run finds everything done
+        st.run_available(st.mapping_stream(st.read_stream(spark, folder, batch.schema, files_per_trigger=1)), *where)
+    source(spark, folder)
+    st.run_available(st.mapping_stream(st.read_stream(spark, folder, batch.schema, files_per_trigger=1)), *where)
+    got, want = spark.read.parquet(where[0]), rd.mapping(rd.with_entities(batch))
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_late_rows_of_early_batches_are_an_error(spark, tmp_path, monkeypatch):
+    """A row late in an early batch is still known after many batches."""
+    start = datetime.datetime(2024, 1, 2)
+    for k in range(8):
+        ts = start + datetime.timedelta(hours=k) if k != 2 else start - datetime.timedelta(days=1)
+        spark.createDataFrame([(k, ts, "mail a@mail.example.org")], "doc_id int, ts timestamp, text string").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        for path in (tmp_path / f"in/{k}").glob("*.parquet"):
+            os.utime(path, (1000 + k, 1000 + k))
+    schema = spark.read.parquet(str(tmp_path / "in/0")).schema
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        counted = st.counts_stream(st.read_stream(spark, str(tmp_path / "in/*"), schema, files_per_trigger=1), "ts")
+        with pytest.raises(RuntimeError, match="1 rows came later"):
+            st.run_available(counted, str(tmp_path / "out"), str(tmp_path / "state"))
+        assert spark.conf.get("spark.sql.streaming.numRecentProgressUpdates") == "2"
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
