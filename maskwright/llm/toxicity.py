@@ -7,9 +7,9 @@ gradient has gathered there.  What is left after the fit are a few thousand weig
 the tasks; the table they are looked up in has 2^BITS entries at any size of the corpus.
 
 The fit takes at most about EXAMPLES labelled rows that are not held out, chosen by hash, whole
-texts each.  They are written once as hashed features and dealt to PARTS parts.  In an epoch every
-part runs over its rows from the state shared so far and returns what it changed, and each
-coordinate moves by the mean over the parts that touched it.  A lost executor costs an epoch's
+texts each.  They are written once as hashed features and dealt to PARTS parts.  In a round every
+part runs EPOCHS times over its rows from the state shared so far and returns what it changed, and
+each coordinate moves by the mean over the parts that touched it.  A lost executor costs a round's
 part; the features are read again from the shared folder.
 """
 
@@ -36,7 +36,8 @@ NGRAM = 2  # longest run of words
 SKIPS = (1, 2)  # words left out between the two words of a skip-gram
 STEMS = (4, 6)  # letters
 PARTS = 4
-EPOCHS = 6
+ROUNDS = 2  # in which the parts meet
+EPOCHS = 3  # of a part in a round
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 1.0
 THRESHOLD = 0.5
 BLOCK = 1 << 12  # coordinates of a row of the state
@@ -181,15 +182,17 @@ def examples(
     return written(rows.mapInArrow(run, "part int, place long, label int, x binary"), "toxicity")
 
 
-def _epoch(rows: DataFrame, state: State) -> DataFrame:
+def _round(rows: DataFrame, state: State, epochs: int) -> DataFrame:
     """(block, d): the mean change of z and n over the parts, of the blocks that any has touched."""
     z, n = state.z, state.n
 
     def run(part: pa.Table) -> pa.Table:
         own = State(len(z) - 1)
         own.z, own.n = z.copy(), n.copy()
-        for i in np.argsort(part.column("place").to_numpy()):
-            own.learn(unpacked(part.column("x")[i].as_py()), part.column("label")[i].as_py())
+        labels, raw = part.column("label").to_pylist(), part.column("x").to_pylist()
+        for _ in range(epochs):
+            for i in np.argsort(part.column("place").to_numpy(), kind="stable"):
+                own.learn(unpacked(raw[i]), labels[i])
         dz, dn = own.z - z, own.n - n
         some = np.unique(np.nonzero(dn)[0] // BLOCK)
         cut = [slice(k * BLOCK, (k + 1) * BLOCK) for k in some.tolist()]
@@ -208,11 +211,11 @@ def _epoch(rows: DataFrame, state: State) -> DataFrame:
     return changes.groupBy("block").applyInArrow(merge, "block int, d binary")
 
 
-def fit(rows: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> Model:
+def fit(rows: DataFrame, bits: int = BITS, rounds: int = ROUNDS, epochs: int = EPOCHS) -> Model:
     """Minimise the logistic loss over ``examples``; without examples every score is 0.5."""
     state = State(1 << bits)
-    for _ in range(epochs):
-        for r in _epoch(rows, state).collect():  # at most 2^bits / BLOCK + 1 rows
+    for _ in range(rounds):
+        for r in _round(rows, state, epochs).collect():  # at most 2^bits / BLOCK + 1 rows
             d = np.frombuffer(r.d, "<f4").reshape(2, -1)
             at = slice(r.block * BLOCK, r.block * BLOCK + d.shape[1])
             state.z[at] += d[0]

@@ -50,7 +50,7 @@ def test_one_part_is_plain_ftrl(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(0, k, rng.randrange(2), tx.packed(np.array(sorted(rng.sample(range(1 << 14), 9))))) for k in range(60)]
     df = spark.createDataFrame(rows, "part int, place long, label int, x binary").repartition(4)
-    model = tx.fit(df, bits=14, epochs=2)
+    model = tx.fit(df, bits=14, rounds=2, epochs=1)
     plain = [(tx.unpacked(x).tolist(), y) for _, _, y, x in rows] * 2
     weights, _, _ = slow_ftrl(plain, 1 << 14)
     assert np.allclose(model.table(), weights[:-1], atol=1e-4) and math.isclose(model.bias, weights[-1], rel_tol=1e-4)
@@ -60,7 +60,7 @@ def test_parts_move_by_their_mean(spark):
     rows = [(p, k, 1, tx.packed(np.array([3, 10 + p]))) for p in range(2) for k in range(5)]
     df = spark.createDataFrame(rows, "part int, place long, label int, x binary")
     state = tx.State(1 << 12)
-    (block,) = [np.frombuffer(r.d, "<f4").reshape(2, -1) for r in tx._epoch(df, state).collect() if r.block == 0]
+    (block,) = [np.frombuffer(r.d, "<f4").reshape(2, -1) for r in tx._round(df, state, 1).collect() if r.block == 0]
     one = tx.State(1 << 12)
     for _ in range(5):
         one.learn(np.array([3, 10]), 1)
