@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import fixed_values as fv
 from .readers import table
 
 KNOWN_NAMES = ("Asha Rao", "Jonas Brandt", "Meera Miller")
@@ -215,19 +216,30 @@ CASES = f"""select {_K} as case_id, {pick(_K, ("FULL_NAME", "EMAIL", "PHONE", "C
     _text("'172.20.4.'", f"cast({_K} % 300 as string)"))} as expected
 from {{customer}}"""
 
-NEGATIVES = f"""select {_K} as case_id, {_by(
-    _K,
-    _text("'Locker '", pad(_K + " % 1000000", 6), "' stays empty until noon.'"),
-    _text("'Parcel code '", pad(_K + " % 1000000", 6), "' left the depot.'"),
-    "'See clause 9 of the lending rules, 1987.'",
-    _text("'The roof cost ₹3,'", pad(_K + " % 1000", 3), "'.50 lakh, the limit was 900.'"),
-    "'A season that closed on 30 September 2016 broke records.'",
-    _text(f"cast({_K} as string)", "' saplings were planted at ₹25 apiece.'"),
-    "'Nobody holds 000-41-7782 or 666-90-1123.'",
-    _text("'Misprinted 6011 0009 9013 942'", f"cast({_K} % 10 as string)", "' was refused.'"),
-    _text("'Firmware v2.7.1.'", f"cast({_K} % 10 as string)", "' runs on the lamp.'"),
-    _text("'Crate number 98'", pad(_K + " % 100000000", 8), "' waits outside.'"))} as text
-from {{customer}}"""
+def _beyond_limits() -> list[str]:
+    """Texts that lie just outside a rule's limit, or on it, as the key runs."""
+    k = _K
+    quad = _text(f"cast({k} % 256 as string)", "'.'", f"cast({k} * 3 % 256 as string)", "'.0.'", f"cast(250 + {k} % 12 as string)")
+    ssn = [_text(pad(f"{k} * 31 % 899 + 1", 3), "'-'", pad(f"{k} % 99 + 1", 2), "'-'", pad(f"{k} * 17 % 9999 + 1", 4))]
+    for part in range(3):  # one part of it out of range
+        parts = [pad(f"{k} % 665 + 1", 3), pad(f"{k} % 99 + 1", 2), pad(f"{k} % 9999 + 1", 4)]
+        parts[part] = (_by(k + " + 1", "'000'", "'666'", pad(f"900 + {k} % 100", 3)), "'00'", "'0000'")[part]
+        ssn.append(_text(parts[0], "'-'", parts[1], "'-'", parts[2]))
+    run = f"substring('8123456790123456789', 1, cast(({{}}) as int))"
+    return [
+        *ssn[1:],
+        _text("'v'", f"repeat('x', cast({k} % {2 * fv.VERSION_WINDOW} as int))", "' '", quad),
+        _text("'₹'", f"repeat(' ', cast({k} % {2 * fv.CURRENCY_WINDOW} as int))", run.format(fv.PHONE_STANDALONE_DIGITS[0])),
+        _text("'n '", run.format(f"{k} % 4 + {fv.PHONE_STANDALONE_DIGITS[0]} - 4")),
+        _text("'n '", run.format(f"{k} % 4 + {fv.PHONE_STANDALONE_DIGITS[1]} + 1")),
+        _text("'Tel: '", run.format(f"{k} % 3 + {fv.PHONE_CONTEXT_DIGITS[0]} - 3")),
+        _text("'40'", pad(f"{k} * 7919", 10), "'0000'"),
+        _text("'Address: '", f"repeat('q', cast({k} % {fv.ADDRESS_CONTEXT_MIN_LENGTH} as int))", "' 395006'"),
+        _text("'Address: '", quad),
+    ]
+
+
+NEGATIVES = f"select {_K} as case_id, {_by(_K, *_beyond_limits())} as text from {{customer}}"
 
 # Labelled passages: the contact texts with their true values, some of them written
 # differently from the text or not present at all.

@@ -61,24 +61,23 @@ def test_run_without_labels(spark):
 
 
 def test_cases_and_negatives(spark):
-    """One case of every category and texts that hold nothing: all decided rightly."""
-    cases = [
-        ("FULL_NAME", "Chairman: Mona Takeda, three seats to the left", "Mona Takeda"),
-        ("EMAIL", "Seeds are kept by mona.takeda@example.org in the shed.", "mona.takeda@example.org"),
-        ("PHONE", "At night use Phone: +91 8012345670 and wait.", "+91 8012345670"),
-        ("COMPANY", "Blue Mesa Pottery Private Limited mends the bells.", "Blue Mesa Pottery Private Limited"),
-        ("ADDRESS", "Registered Office: 6 Fern Lane, Plot 3, Surat – 395006, India", "6 Fern Lane, Plot 3, Surat – 395006, India"),
-        ("SSN", "The payroll lists 219-09-9999 twice.", "219-09-9999"),
-        ("CREDIT_CARD", "The tea was paid by 4012 8888 8888 1881 at noon.", "4012 8888 8888 1881"),
-        ("DOB", "Born: 3 March 1966, so the stone says.", "3 March 1966"),
-        ("IP_ADDRESS", "The lamp at 172.20.4.9 blinks.", "172.20.4.9"),
-    ]
-    negatives = ["Locker 204117 stays empty until noon.", "A season that closed on 30 September 2016 broke records.",
-                 "Firmware v2.7.1.4 runs on the lamp.", "Misprinted 6011 0009 9013 9425 was refused."]
-    df = spark.createDataFrame([(i, t, x, [e]) for i, (t, x, e) in enumerate(cases)], "case_id int, pii_type string, text string, expected array<string>")
-    texts = spark.createDataFrame(list(enumerate(negatives)), "case_id int, text string")
+    """A case is right if the value of its type is found; a text is clean if nothing is."""
+    made = {
+        "EMAIL": "i{0}@host.zz", "SSN": "00{0}-51-0007", "IP_ADDRESS": "31.31.31.{0}", "PHONE": "812345679{0}",
+        "COMPANY": "Ochre Kiln{0} LLP", "DOB": "Born 1/2/193{0}",
+    }
+    cases, k = [], 0
+    for kind, shape in made.items():
+        for n in range(1, 4):
+            value = shape.format(n)
+            cases.append((k, kind, f"= {value}", [value.removeprefix("Born ")]))
+            k += 1
+    missed = (k, "SSN", "= 000-51-0007", ["000-51-0007"])
+    texts = [(n, f"= {31 + n}") for n in range(5)] + [(9, "= i9@host.zz")]
+    df = spark.createDataFrame([*cases, missed], "case_id int, pii_type string, text string, expected array<string>")
+    plain = spark.createDataFrame(texts, "case_id int, text string")
     scored = ev.score_cases(dt.detect(df))
-    assert {(r.tp, r.fp, r.fn) for r in scored.collect()} == {(1, 0, 0)}
-    clean = ev.score_negatives(dt.detect(texts))
-    assert [(r.pii_type, r.n) for r in clean.collect()] == [("TRUE_NEGATIVE", len(negatives))]
-    assert ev.binary_accuracy(scored, clean, df, texts).first().accuracy == 1.0
+    assert {r.case_id: (r.tp, r.fp, r.fn) for r in scored.collect()} == {c[0]: (1, 0, 0) for c in cases} | {k: (0, 0, 1)}
+    clean = ev.score_negatives(dt.detect(plain))
+    assert {r.pii_type: r.n for r in clean.collect()} == {"TRUE_NEGATIVE": 5, "EMAIL": 1}
+    assert ev.binary_accuracy(scored, clean, df, plain).first().accuracy == round(23 / 25, 4)
