@@ -43,6 +43,21 @@ def markable(text: Column) -> Column:
 CHUNK = 256
 
 
+def reserve(df: DataFrame, *names: str) -> None:
+    """An error where a table has columns of names that are about to be used, whatever their case."""
+    taken = sorted({c.lower() for c in df.columns} & {n.lower() for n in names})
+    if taken:
+        raise ValueError(f"columns of the table have reserved names: {', '.join(taken)}")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that a table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body reads it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -13,7 +13,6 @@ from pyspark.sql import Column, functions as F
 
 from . import fixed_values as fv, normalise as n, validators as v
 
-DEFAULT_SALT = "maskwright"
 DEFAULT_AS_OF = "2025-01-01"
 
 FIRST_NAMES = (
@@ -192,7 +191,7 @@ def digest(pii_type: Column, key: Column, salt: str) -> Column:
 
 
 @lru_cache(maxsize=16)
-def _entities(spans: str, salt: str, as_of: str, jvm: int) -> Column:
+def _entities(spans: str, salt: str, as_of: str, jvm: object) -> Column:
     keyed = F.transform(
         F.col(spans),
         lambda s: F.struct(s.alias("span"), n.entity_key(s["pii_type"], s["value"]).alias("key")),
@@ -219,6 +218,6 @@ def _entities(spans: str, salt: str, as_of: str, jvm: int) -> Column:
     )
 
 
-def entities(spans: str, salt: str = DEFAULT_SALT, as_of: str = DEFAULT_AS_OF) -> Column:
+def entities(spans: str, salt: str, as_of: str = DEFAULT_AS_OF) -> Column:
     """Spans of a column with their key and replacement added."""
-    return _entities(spans, salt, as_of, id(SparkContext._jvm))
+    return _entities(spans, salt, as_of, SparkContext._jvm)

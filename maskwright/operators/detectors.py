@@ -318,7 +318,7 @@ def _staged(df: DataFrame, text: str) -> DataFrame:
 
 
 @lru_cache(maxsize=256)
-def _rule_spans(rule: str, known: tuple[str, ...], jvm: int) -> Column:
+def _rule_spans(rule: str, known: tuple[str, ...], jvm: object) -> Column:
     """The spans of one rule over the staged columns.  Kept per JVM: such columns
     are plain expressions, and putting them together takes longer than planning."""
     view = View(*[F.col(c) for c in _VIEW])
@@ -327,12 +327,13 @@ def _rule_spans(rule: str, known: tuple[str, ...], jvm: int) -> Column:
 
 
 @lru_cache(maxsize=8)
-def _resolved(column: str, jvm: int) -> Column:
+def _resolved(column: str, jvm: object) -> Column:
     return sp.resolve(F.col(column))
 
 
-def _jvm() -> int:
-    return id(SparkContext._jvm)
+def _jvm() -> object:
+    """The JVM, as a key: held by the caches, so that no later one is taken for it."""
+    return SparkContext._jvm
 
 
 def candidates(
@@ -357,6 +358,7 @@ def candidates(
             found.append(_rule_spans(rule, (), _jvm()))
         elif known[rule]:
             found.append(_rule_spans(rule, known[rule], _jvm()))
+    sp.reserve(df, *_VIEW, output)
     spans = F.coalesce(F.concat(*found), sp.no_spans()) if found else sp.no_spans()
     return _staged(df, text).withColumn(output, spans).drop(*_VIEW)
 
@@ -370,6 +372,7 @@ def detect(
     output: str = "spans",
 ) -> DataFrame:
     """Add the resolved, disjoint spans of a text column."""
+    sp.reserve(df, output)
     found = candidates(df, text, rules, known_names, known_companies, "_candidates")
     return found.withColumn(output, _resolved("_candidates", _jvm())).drop("_candidates")
 

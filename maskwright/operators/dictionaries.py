@@ -158,6 +158,7 @@ def joined_candidates(
     ``keys`` identify a block.  Only keys and entries found are shuffled before the
     join back; with few blocks concerned that join broadcasts them.
     """
+    sp.reserve(blocks, "terms", "_scan", "_text_spans", output)
     terms = known_terms(blocks, keys, dictionary, text)
     found = detectors.candidates(blocks.join(terms, list(keys), "left"), text, rules, output="_text_spans")
     chosen = F.col("terms") if rules is None else F.filter("terms", lambda t: t["rule"].isin(*rules))

@@ -13,12 +13,18 @@ from . import detectors
 def with_entities(
     df: DataFrame,
     text: str = "text",
-    salt: str = su.DEFAULT_SALT,
+    *,
+    salt: str,
     as_of: str = su.DEFAULT_AS_OF,
     output: str = "entities",
     **detection,
 ) -> DataFrame:
-    """Add the resolved spans with key and replacement.  Needs no shuffle."""
+    """Add the resolved spans with key and replacement.  Needs no shuffle.
+
+    Who knows the salt can search short values back from their replacements, so there is no
+    default.  A table that has a column ``output`` already is an error.
+    """
+    sp.reserve(df, output)
     found = detectors.detect(df, text, output="_spans", **detection)
     return found.withColumn(output, su.entities("_spans", salt, as_of)).drop("_spans")
 
@@ -34,8 +40,10 @@ def redact(df: DataFrame, text: str = "text", entities: str = "entities") -> Dat
 
 
 def redact_text(df: DataFrame, text: str = "text", **options) -> DataFrame:
-    """Detect and redact in one narrow step: scan, project, write."""
-    return redact(with_entities(df, text, **options), text).drop("entities")
+    """Detect and redact in one narrow step: scan, project, write.  Other columns stay as they are."""
+    sp.reserve(df, "n_redactions")
+    name = sp.fresh(df, "entities")
+    return redact(with_entities(df, text, output=name, **options), text, name).drop(name)
 
 
 def explode_entities(df: DataFrame, keys: Sequence[str] = (), entities: str = "entities") -> DataFrame:

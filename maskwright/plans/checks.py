@@ -317,7 +317,7 @@ else '{fv.FALLBACK_REPLACEMENT}' end"""
 def entity_ctes(corpus: str | None = None, rules=None, known: bool = True) -> str:
     return f"""{resolved_ctes(corpus, rules, known)},
 keyed as materialized (select *, {key('pii_type', 'value')} as key from spans),
-hashed as materialized (select *, sha256('{su.DEFAULT_SALT}|' || pii_type || '|' || key) as h from keyed),
+hashed as materialized (select *, sha256('{fx.SALT}|' || pii_type || '|' || key) as h from keyed),
 entities as materialized (select * exclude (h), {_surrogate('pii_type', 'key', 'h')} as replacement from hashed)"""
 
 
@@ -349,7 +349,7 @@ def _mixed(space: str, place: str, k: str) -> str:
     }[space]
 
 
-def assigned_ctes(salt: str = su.DEFAULT_SALT) -> str:
+def assigned_ctes(salt: str = fx.SALT) -> str:
     """``given``: every distinct key of ``entities`` with a value of its own."""
     def number(*parts: str) -> str:
         return f"('0x' || substr(sha256('{salt}' || '|' || {" || '|' || ".join(parts)}), 1, 12))::bigint"

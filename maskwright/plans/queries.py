@@ -51,7 +51,7 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corpus_entities(spark: SparkSession, folder: str) -> DataFrame:
-    return rd.with_entities(corpus(spark, folder), **KNOWN)
+    return rd.with_entities(corpus(spark, folder), salt=fx.SALT, **KNOWN)
 
 
 # --- sources and blocks --------------------------------------------------------------------
@@ -286,7 +286,7 @@ def normalize_keys(spark, folder):
 
 def _surrogate(spark, folder, pii_type):
     rules = [r for r, t in fv.RULES if t == pii_type]
-    found = rd.with_entities(corpus(spark, folder), rules=rules, **KNOWN)
+    found = rd.with_entities(corpus(spark, folder), salt=fx.SALT, rules=rules, **KNOWN)
     return rd.mapping(found).select("normalized_original", "synthetic_replacement")
 
 
@@ -311,11 +311,11 @@ def mapping_consistency(spark, folder):
 def redact_documents(spark, folder):
     """The flagship: documents with all their sensitive values replaced."""
     docs = text_table(spark, folder, "documents").select("doc_id", "text")
-    return rd.redact_text(docs)
+    return rd.redact_text(docs, salt=fx.SALT)
 
 
 def redact_corpus(spark, folder):
-    return rd.redact_text(corpus(spark, folder), **KNOWN)
+    return rd.redact_text(corpus(spark, folder), salt=fx.SALT, **KNOWN)
 
 
 def redaction_counts(spark, folder):
@@ -329,8 +329,8 @@ def run_summary(spark, folder):
 def block_redaction_count(spark, folder):
     """Replacements per line of the documents; blank lines have none."""
     lines = bl.lines(text_table(spark, folder, "documents").drop("block_id"), ["source", "doc_id"])
-    return rd.with_entities(lines).select(
-        "doc_id", F.col("block_id").cast("long").alias("block_id"), F.size("entities").cast("long").alias("n_redactions")
+    return dt.detect(lines).select(
+        "doc_id", F.col("block_id").cast("long").alias("block_id"), F.size("spans").cast("long").alias("n_redactions")
     )
 
 
@@ -343,14 +343,14 @@ def residual_leaks(spark, folder):
 def mapping_assigned(spark, folder):
     """Every key with a replacement that no other key of its type has."""
     found = _entities(spark, folder).select("pii_type", "key")
-    return asg.assigned(found, su.DEFAULT_SALT).select(
+    return asg.assigned(found, fx.SALT).select(
         "pii_type", F.col("key").alias("normalized_original"), F.col("replacement").alias("synthetic_replacement")
     )
 
 
 def redact_corpus_assigned(spark, folder):
     found = stored(corpus_entities(spark, folder).select(*KEYS, "text", "entities"), "entities")
-    return asg.redact(found, KEYS, su.DEFAULT_SALT).drop("entities")
+    return asg.redact(found, KEYS, fx.SALT).drop("entities")
 
 
 def _redacted_corpus(spark, folder):
@@ -389,7 +389,7 @@ def _runs(spark, folder, sql):
 
 
 def _redacted_runs(spark, folder, sql):
-    return rn.redact_runs(rd.with_entities(rn.with_text(_runs(spark, folder, sql))))
+    return rn.redact_runs(rd.with_entities(rn.with_text(_runs(spark, folder, sql)), salt=fx.SALT))
 
 
 def _run_rows(df):
@@ -405,7 +405,7 @@ def redact_runs_multi(spark, folder):
 
 
 def span_run_overlap(spark, folder):
-    return rn.span_runs(rd.with_entities(rn.with_text(_runs(spark, folder, fx.RUNS))), ["doc_id"])
+    return rn.span_runs(rd.with_entities(rn.with_text(_runs(spark, folder, fx.RUNS)), salt=fx.SALT), ["doc_id"])
 
 
 def run_offsets(spark, folder):
@@ -567,7 +567,7 @@ def stream_redact(spark, folder):
     """The documents as a stream, redacted into parquet, and that parquet read back."""
     stream = st.read_table(spark, folder, "documents").select("doc_id", "text")
     place = shared_folder(spark, "stream-redact")
-    st.run_available(st.redact_stream(stream), place + "/out", place + "/state")
+    st.run_available(st.redact_stream(stream, salt=fx.SALT), place + "/out", place + "/state")
     return spark.read.parquet(place + "/out")
 
 
@@ -592,7 +592,7 @@ def stream_dedup(spark, folder):
 def stream_mapping(spark, folder):
     """The mapping of all events' texts, written by a stream."""
     place = shared_folder(spark, "stream-mapping")
-    st.run_available(st.mapping_stream(_event_texts(spark, folder)), place + "/out", place + "/state")
+    st.run_available(st.mapping_stream(_event_texts(spark, folder), salt=fx.SALT), place + "/out", place + "/state")
     return spark.read.parquet(place + "/out")
 
 

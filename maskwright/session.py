@@ -35,7 +35,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     It lies in ``spark.checkpoint.dir``; where that is unset, below the warehouse folder,
     which a cluster shares as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.conf.get("spark.master", "local").startswith("local") and (root.startswith("file:") or "://" not in root):
+            raise ValueError("set spark.checkpoint.dir: the warehouse folder lies on each machine's own disk")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

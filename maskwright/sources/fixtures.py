@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import fixed_values as fv
 from .readers import table
 
+SALT = "maskwright"  # of the registered queries; data of your own needs one that nobody knows
+
 KNOWN_NAMES = ("Asha Rao", "Jonas Brandt", "Meera Miller")
 KNOWN_COMPANIES = ("Coral Bay Traders LLP", "Hazel & Finch", "Juniper N.A.", "Northlight")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import spans as sp
-from ..operators import redact as rd
+from ..operators import detectors, redact as rd
 from ..sources import readers as rs
 
 
@@ -41,9 +41,9 @@ def counts_stream(
     **options,
 ) -> DataFrame:
     """Detections per category and tumbling window; state is dropped behind the watermark."""
-    found = rd.with_entities(stream.withWatermark(time, late), text, **options)
+    found = detectors.detect(stream.withWatermark(time, late), text, **options)
     return (
-        sp.unnest(found, [time], "entities", "e")
+        sp.unnest(found, [time], "spans", "e")
         .groupBy(F.window(time, window), F.col("e.pii_type").alias("pii_type"))
         .agg(F.count("*").alias("n"))
         .select(F.col("window.start").alias("window_start"), "pii_type", "n")

@@ -126,7 +126,7 @@ def test_null_and_blank(spark):
     from maskwright.operators import redact as rd
 
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \n")], "id int, text string")
-    rows = {r.id: (r.text, r.n_redactions) for r in rd.redact_text(df).collect()}
+    rows = {r.id: (r.text, r.n_redactions) for r in rd.redact_text(df, salt="s").collect()}
     assert rows == {1: (None, 0), 2: ("", 0), 3: (" \n", 0)}
 
 

@@ -5,9 +5,10 @@ import random
 import re
 
 import brute
+import pytest
 from pyspark.sql import functions as F
 
-from maskwright.operators import blocks as bl, redact as rd, runs as rn
+from maskwright.operators import blocks as bl, detectors, redact as rd, runs as rn
 from maskwright.sources import readers as rs, writers as ws
 
 TEXTS = [
@@ -19,7 +20,7 @@ TEXTS = [
 
 def entities(spark, texts=TEXTS, parts=3):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(parts)
-    return rd.with_entities(df)
+    return rd.with_entities(df, salt="s")
 
 
 def test_equal_entities_get_equal_replacements(spark):
@@ -34,7 +35,7 @@ def test_equal_entities_get_equal_replacements(spark):
 
 
 def test_text_is_cut_at_the_spans(spark):
-    for r in entities(spark).join(rd.redact_text(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string"))
+    for r in entities(spark).join(rd.redact_text(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string"), salt="s")
                                   .withColumnRenamed("text", "redacted"), "doc_id").collect():
         want, at = "", 0
         for e in r.entities:
@@ -72,7 +73,7 @@ def test_runs_keep_their_shape_and_join_to_the_spliced_text(spark):
         rows.append((i, text, [(j, p, bool(j % 2), bool(j % 3)) for j, p in enumerate(pieces)]))
     rows += [(900, "", []), (901, "", [(0, "", True, False)])]
     df = spark.createDataFrame(rows, "doc_id int, t string, runs array<struct<run_id:int,text:string,bold:boolean,italic:boolean>>")
-    found = rd.with_entities(rn.with_text(df))
+    found = rd.with_entities(rn.with_text(df), salt="s")
     out = rn.redact_runs(found.withColumn("before", F.col("runs")))
     spliced = {r.doc_id: r.text for r in rd.redact(found).collect()}
     for r in out.collect():
@@ -91,7 +92,7 @@ def test_runs_keep_their_shape_and_join_to_the_spliced_text(spark):
 def test_run_example(spark):
     runs = [(0, "Contact Person: ", True, None), (1, "Leela ", False, True), (2, "Quint", None, None), (3, ", Secretary", None, None)]
     df = spark.createDataFrame([(1, runs)], "doc_id int, runs array<struct<run_id:int,text:string,bold:boolean,italic:boolean>>")
-    found = rd.with_entities(rn.with_text(df))
+    found = rd.with_entities(rn.with_text(df), salt="s")
     made = found.first().entities[0].replacement
     assert [x.text for x in rn.redact_runs(found).first().runs] == ["Contact Person: ", made, "", ", Secretary"]
 
@@ -160,7 +161,7 @@ def test_sweep_example(spark):
 
 
 def test_redaction_needs_no_shuffle(spark):
-    plan = rd.redact_text(spark.range(10).selectExpr("id", "cast(id as string) as text"))._jdf.queryExecution().toString()
+    plan = rd.redact_text(spark.range(10).selectExpr("id", "cast(id as string) as text"), salt="s")._jdf.queryExecution().toString()
     assert not re.search(r"Exchange (hash|range|Round|Single)|ShuffleQueryStage", plan)
 
 
@@ -170,3 +171,27 @@ def test_distinct_lines_with_one_line_in_a_third_of_all_rows(spark):
     )
     found = bl.detect_distinct(rows, ["doc_id"], rules=["email"])
     assert found.agg(F.count("*"), F.sum("doc_id"), F.min("value")).first()[:] == (33_334, sum(range(0, 100_000, 3)), "a1@mail.example.org")
+
+
+@pytest.mark.parametrize("column", ["_text", "_SCAN", "_folded", "_digit", "_candidates", "_spans", "n_redactions"])
+def test_reserved_columns_are_an_error(spark, column):
+    df = spark.createDataFrame([(1, "x", 2)], f"id int, text string, {column} int")
+    with pytest.raises(ValueError, match="reserved"):
+        rd.redact_text(df, salt="s")
+
+
+def test_callers_columns_stay(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cc", "mine", 7)], "id int, text string, entities string, spans int")
+    out = rd.redact_text(df, salt="s")
+    assert out.columns == ["id", "text", "entities", "spans", "n_redactions"]
+    (row,) = out.collect()
+    assert (row.entities, row.spans, row.n_redactions) == ("mine", 7, 1)
+    for call in (lambda: rd.with_entities(df, salt="s"), lambda: detectors.detect(df), lambda: detectors.candidates(df, output="entities")):
+        with pytest.raises(ValueError, match="reserved"):
+            call()
+
+
+def test_a_salt_has_to_be_given(spark):
+    df = spark.createDataFrame([(1, "x")], "id int, text string")
+    with pytest.raises(TypeError):
+        rd.redact_text(df)

@@ -25,9 +25,9 @@ def test_stream_equals_batch(spark, tmp_path):
     folder = str(tmp_path / "in")
     batch = source(spark, folder)
     stream = st.read_stream(spark, folder, batch.schema, files_per_trigger=1)
-    st.run_available(st.redact_stream(stream), str(tmp_path / "out"), str(tmp_path / "state"))
+    st.run_available(st.redact_stream(stream, salt="s"), str(tmp_path / "out"), str(tmp_path / "state"))
     got = spark.read.parquet(str(tmp_path / "out"))
-    want = rd.redact_text(batch)
+    want = rd.redact_text(batch, salt="s")
     assert got.count() == 300
     assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
 
@@ -40,7 +40,7 @@ def test_windowed_counts(spark, tmp_path):
     got = {(r.window_start, r.pii_type): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     last = batch.agg(F.max("ts")).first()[0] - datetime.timedelta(minutes=10)
     want = {}
-    for r in rd.explode_entities(rd.with_entities(batch), ["ts"]).collect():
+    for r in rd.explode_entities(rd.with_entities(batch, salt="s"), ["ts"]).collect():
         hour = r.ts.replace(minute=0)
         if hour + datetime.timedelta(hours=1) <= last:
             want[hour, r.pii_type] = want.get((hour, r.pii_type), 0) + 1
@@ -76,7 +76,7 @@ def test_files_and_their_order_change_nothing(spark, tmp_path, layout):
     st.run_available(st.counts_stream(stream, "ts"), str(tmp_path / "out2"), str(tmp_path / "state2"))
     got = {(r.window_start, r.pii_type): r.n for r in spark.read.parquet(str(tmp_path / "out2")).collect()}
     want = {}
-    for r in rd.explode_entities(rd.with_entities(spark.createDataFrame(rows)), ["ts"]).collect():
+    for r in rd.explode_entities(rd.with_entities(spark.createDataFrame(rows), salt="s"), ["ts"]).collect():
         hour = r.ts.replace(minute=0)
         if hour + datetime.timedelta(hours=1) <= rows[-1].ts - datetime.timedelta(minutes=10):
             want[hour, r.pii_type] = want.get((hour, r.pii_type), 0) + 1
@@ -120,10 +120,10 @@ def test_mapping_is_written_once(spark, tmp_path):
     batch = source(spark, folder)
     where = str(tmp_path / "out"), str(tmp_path / "state")
     for _ in range(2):  # the second run finds everything done
-        st.run_available(st.mapping_stream(st.read_stream(spark, folder, batch.schema, files_per_trigger=1)), *where)
+        st.run_available(st.mapping_stream(st.read_stream(spark, folder, batch.schema, files_per_trigger=1), salt="s"), *where)
     source(spark, folder)
-    st.run_available(st.mapping_stream(st.read_stream(spark, folder, batch.schema, files_per_trigger=1)), *where)
-    got, want = spark.read.parquet(where[0]), rd.mapping(rd.with_entities(batch))
+    st.run_available(st.mapping_stream(st.read_stream(spark, folder, batch.schema, files_per_trigger=1), salt="s"), *where)
+    got, want = spark.read.parquet(where[0]), rd.mapping(rd.with_entities(batch, salt="s"))
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
