@@ -97,6 +97,49 @@ def sections(df: DataFrame, keys: Sequence[str], names: Sequence[str] = ("body",
     )
 
 
+PART = "struct<paragraphs array<string>, cells array<struct<cell_id int, parent_id int, row int, col int, text string>>>"
+
+
+def parts(df: DataFrame, keys: Sequence[str], names: Sequence[str] = ("body", "header", "footer")) -> DataFrame:
+    """Documents whose parts come as JSON, one column each: keys, section, part, raw.
+
+    A part is an object of ``paragraphs`` and ``cells`` (of tables in it, as in ``nested_cells``), lists either of
+    which may be missing.  part is null where raw is no such object, so a damaged header costs
+    itself and not its document; a null part gives no row.
+    """
+    each = F.array(*[F.struct(F.lit(n).alias("section"), F.col(n).alias("raw")) for n in names])
+    rows = df.select(*keys, F.explode(each).alias("x")).select(*keys, "x.section", "x.raw").where(F.col("raw").isNotNull())
+    doc = F.try_parse_json("raw")
+
+    def listed(name: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant"))
+        return F.coalesce(kind.startswith("ARRAY") | (kind == "VOID"), F.lit(True))
+
+    known = F.schema_of_variant(doc).startswith("OBJECT") & listed("paragraphs") & listed("cells")
+    return rows.withColumn("part", F.when(known, F.try_variant_get(doc, "$", PART)))
+
+
+def part_faults(read: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The parts that couldn't be read: keys, section, raw."""
+    return read.where(F.col("part").isNull()).select(*keys, "section", "raw")
+
+
+def part_blocks(read: DataFrame, keys: Sequence[str], max_depth: int = 100) -> DataFrame:
+    """(keys, section, place, text): paragraphs and the lines of all tables' cells, at any depth.
+
+    place is the paragraph's number, or ``t`` and the cell's path and line.
+    """
+    paragraphs = read.select(*keys, "section", F.posexplode("part.paragraphs").alias("i", "text")).select(
+        *keys, "section", F.col("i").cast("string").alias("place"), "text"
+    )
+    cells = read.select(*keys, "section", F.explode("part.cells").alias("c")).select(*keys, "section", "c.*")
+    lines = nested_cells(cells, [*keys, "section"], max_depth).select(
+        *keys, "section",
+        F.concat_ws("/", F.lit("t"), F.transform("path", lambda i: i.cast("string")), F.col("line").cast("string")).alias("place"), "text",
+    )
+    return paragraphs.unionByName(lines).where(F.col("text").isNotNull())
+
+
 def whole_text(column: Column) -> Column:
     """The text of styled runs put together."""
     return F.array_join(F.transform(column, lambda r: F.coalesce(r["text"], F.lit(""))), "")

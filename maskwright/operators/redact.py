@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv, spans as sp, surrogates as su
-from . import detectors
+from . import blocks, detectors
+from ..session import stored
 
 
 def with_entities(
@@ -106,6 +107,20 @@ def run_summary(df: DataFrame, entities: str = "entities") -> DataFrame:
     )
 
 
+def document_run(df: DataFrame, keys: Sequence[str], salt: str, **detection) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A whole run over documents in parts: (redacted blocks, summary, faults).
+
+    ``df`` has keys and the parts body, header and footer as JSON.  Parts are read, blocks reached
+    twice are taken once, blank ones left out, the rest redacted; parts that can't be read are listed
+    with the faults and cost nothing else.
+    """
+    read = stored(blocks.parts(df, keys), "parts")
+    place = [*keys, "section", "place"]
+    units = blocks.nonblank(blocks.dedup(blocks.part_blocks(read, keys), place))
+    found = stored(with_entities(units, salt=salt, **detection), "blocks")
+    return redact(found).drop("entities"), run_summary(found), blocks.part_faults(read, keys)
+
+
 def residual(df: DataFrame, original_entities: str, redacted: str, keys: Sequence[str]) -> DataFrame:
     """Originals that still stand somewhere in the redacted text of their row."""
     checked = sp.with_each(

@@ -6,7 +6,7 @@ from ..functions import fixed_values as fv, patterns as p
 from ..sources import fixtures as fx
 from . import checks as ck
 from .checks import KEYS, SPAN_COLUMNS, candidate_ctes, entity_ctes, q, recursive, resolved_ctes, strip
-from .queries import LINES_OF_UNIT, SURROGATES
+from .queries import LINES_OF_UNIT, LONG_NUMBER, SURROGATES
 
 _LINES = """select {keys}, unnest(generate_series(0, len(l) - 1))::bigint as block_id, unnest(l) as text
 from (select *, string_split(text, chr(10)) as l from ({source}))"""
@@ -51,9 +51,32 @@ def _without_terms() -> str:
     )
 
 
+_PART_BLOCKS = f"""select c_custkey::bigint as doc_id, section, place, text from customer, lateral (values
+  ('body', '0', 'Contact Person: ' || {fx.first_name()} || ' ' || {fx.last_name()}), ('body', '1', ' '),
+  ('body', 't/0/2/0', 'mail u' || c_custkey || '@mail.example.org'), ('body', 't/0/2/1/0/0', 'host 10.1.2.' || (c_custkey % 250)),
+  ('header', '0', case when c_custkey % 4 = 3 then 'head ' || c_custkey end),
+  ('footer', 't/' || (c_custkey % 3) || '/0/0', 'SSN 321-45-' || lpad((c_custkey % 9000 + 1)::varchar, 4, '0'))) t(section, place, text)
+where text is not null"""
+# sections and places stand in for sources and blocks
+_PART_TEXTS = f"select section || '|' || place as source, doc_id, 0::bigint as block_id, text from ({_PART_BLOCKS}) where {strip('text')} <> ''"
+
 CHECKS = {
+    "blocks_parts": _PART_BLOCKS,
+    "blocks_part_faults": """select c_custkey::bigint as doc_id, 'header' as section,
+  case c_custkey % 4 when 1 then '{' || chr(34) || 'paragraphs' || chr(34) || ':[' else '[7]' end as raw
+from customer where c_custkey % 4 in (1, 2)""",
+    "document_run": recursive(
+        f"{entity_ctes(_PART_TEXTS, known=False)}, {ck.REDACTED}",
+        "select doc_id, split_part(source, '|', 1) as section, split_part(source, '|', 2) as place, text, n_redactions from redacted",
+    ),
+    "document_run_summary": recursive(
+        entity_ctes(_PART_TEXTS, known=False),
+        "select count(*) as total_redactions, count(distinct (pii_type, key)) as unique_entities, "
+        + ", ".join(f"count(*) filter (pii_type = '{c}') as n_{c.lower()}" for c in fv.CATEGORIES)
+        + " from entities",
+    ),
     "scan_blocks": ck.tables_sql(),
-    "blocks_line": f"select doc_id, block_id, text from ({_DOC_LINES})",
+    "blocks_line": _LINES.format(keys="source, doc_id, unit", source="select source, doc_id, block_id as unit, text from (" + ck.tables_sql() + ")"),
     "blocks_table_cells": """
 select s_suppkey::bigint as doc_id, path, text from supplier, lateral (values
   ('0/0/0', 'Crate'), ('0/1/0', 'Contents'), ('1/0/0', 'Keeper'), ('1/0/1', s_name),
@@ -91,7 +114,7 @@ from ({fx.plain(fx.LETTERS)}) join (
   union all select null, s_suppkey, 'company_known', 'House' || s_suppkey || ' of oak' from supplier)
   on customer = at_customer or supplier = at_supplier""",
     "detect_distinct_blocks": _spans(resolved_ctes(_ALL_LINES), "spans"),
-    "luhn_valid": _raw_hits(("[0-9]{13,19}", 0), f"{ck.luhn('f')} as is_valid"),
+    "luhn_valid": _raw_hits((LONG_NUMBER, 0), f"{ck.luhn('f')} as is_valid"),
     "ssn_valid": _raw_hits(("[0-9]{3}-[0-9]{2}-[0-9]{4}", 0), f"{ck.ssn_ok('f')} as is_valid"),
     "ipv4_valid": _raw_hits((r"[0-9]{1,4}(?:\.[0-9]{1,4})+", 0), f"{ck.ipv4_ok('f')} as is_valid"),
     "phone_digit_filter": _raw_hits(

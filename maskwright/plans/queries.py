@@ -62,7 +62,8 @@ def scan_blocks(spark, folder):
 
 
 def blocks_line(spark, folder):
-    out = bl.lines(rs.text_blocks(spark, folder, ["documents"]).drop("block_id"), ["doc_id"])
+    """The lines of all text tables."""
+    out = bl.lines(rs.text_blocks(spark, folder).withColumnRenamed("block_id", "unit"), ["source", "doc_id", "unit"])
     return out.withColumn("block_id", F.col("block_id").cast("long"))
 
 
@@ -113,6 +114,31 @@ def blocks_sections(spark, folder):
     return bl.sections(docs, ["doc_id"]).withColumn("block_id", F.col("block_id").cast("long"))
 
 
+PART_KEYS = ["doc_id", "section", "place"]
+
+
+def _parts(spark, folder):
+    return fx.run_sql(spark, folder, fx.PARTS).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def blocks_parts(spark, folder):
+    """Paragraphs and nested table cells of bodies, headers and footers; damaged parts are left out."""
+    return bl.part_blocks(bl.parts(_parts(spark, folder), ["doc_id"]), ["doc_id"])
+
+
+def blocks_part_faults(spark, folder):
+    return bl.part_faults(bl.parts(_parts(spark, folder), ["doc_id"]), ["doc_id"])
+
+
+def document_run(spark, folder):
+    """Documents in parts, read, taken once, redacted."""
+    return rd.document_run(_parts(spark, folder), ["doc_id"], fx.SALT)[0]
+
+
+def document_run_summary(spark, folder):
+    return rd.document_run(_parts(spark, folder), ["doc_id"], fx.SALT)[1]
+
+
 def dedup_blocks(spark, folder):
     return bl.dedup(fx.run_sql(spark, folder, fx.DUP_BLOCKS))
 
@@ -192,8 +218,11 @@ def _shown(df, *extra):
     )
 
 
+LONG_NUMBER = r"[0-9](?:[ -]?[0-9]){12,18}"
+
+
 def luhn_valid(spark, folder):
-    return _shown(_hits(spark, folder, r"[0-9]{13,19}"), v.luhn_valid(F.col("value")).alias("is_valid"))
+    return _shown(_hits(spark, folder, LONG_NUMBER), v.luhn_valid(F.col("value")).alias("is_valid"))
 
 
 def ssn_valid(spark, folder):
@@ -619,6 +648,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_blocks, blocks_line, blocks_table_cells, blocks_nested_cells, blocks_sections, dedup_blocks, nonblank_blocks, truth_rows,
+        blocks_parts, blocks_part_faults, document_run, document_run_summary,
         all_candidates, resolve_spans, detect_known_joined, detect_known_derived, detect_distinct_blocks,
         luhn_valid, ssn_valid, ipv4_valid, phone_digit_filter, guard_currency, guard_version, trim_spans,
         stop_company, company_prefix_rules, name_guards, normalize_keys, normalize_match_text,

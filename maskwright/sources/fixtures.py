@@ -267,6 +267,22 @@ NESTED_CELLS = "\nunion all ".join(
 )
 
 
+def _json(*parts: str) -> str:
+    """JSON written by concat, with ` for quotation marks, and < and > for braces."""
+    return f"translate({_text(*parts)}, '`<>', chr(34) || chr(123) || chr(125))"
+
+
+# Parts of documents as JSON: a body with a table in a table, headers of which some are damaged or missing, footers.
+PARTS = f"""select {_K} as doc_id,
+  {_json("'<`paragraphs`:[`Contact Person: '", _first(_K), "' '", _last(_K), "'`,` `],`cells`:['",
+         "'<`cell_id`:1,`row`:0,`col`:2,`text`:`mail u'", f"cast({_K} as string)", "'@mail.example.org`>,'",
+         "'<`cell_id`:2,`parent_id`:1,`row`:1,`col`:0,`text`:`host 10.1.2.'", f"cast({_K} % 250 as string)", "'`>]>'")} as body,
+  case {_K} % 4 when 0 then null when 1 then {_json("'<`paragraphs`:['")} when 2 then '[7]'
+    else {_json("'<`paragraphs`:[`head '", f"cast({_K} as string)", "'`]>'")} end as header,
+  {_json("'<`cells`:[<`cell_id`:9,`row`:'", f"cast({_K} % 3 as string)", "',`col`:0,`text`:`SSN 321-45-'", pad(_K + " % 9000 + 1", 4), "'`>]>'")} as footer
+from {{customer}}"""
+
+
 # Letters on orders, and a dictionary of two thirds of the customers and of all suppliers in them.
 LETTERS = f"""select o_orderkey as doc_id, o_custkey as customer, o_orderkey % 7 + 1 as supplier, {_text(
     "'Note '", "cast(o_orderkey as string)", "': PARTNER'", "cast(o_custkey as string)",
@@ -283,6 +299,14 @@ def run_sql(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{n: table(spark, folder, n) for n in names})
 
 
+def first_name() -> str:
+    return _first(_K)
+
+
+def last_name() -> str:
+    return _last(_K)
+
+
 def plain(sql: str) -> str:
     """The same query over tables known by their own names."""
     return sql.format(customer="customer", supplier="supplier", events="events", lineitem="lineitem", orders="orders")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from maskwright.operators import blocks as bl, evaluate as ev
+from maskwright.operators import blocks as bl, evaluate as ev, redact as rd
 from maskwright.sources import readers as rs
 
 CELLS = "doc_id int, cell_id int, parent_id int, row int, col int, text string"
@@ -59,3 +59,27 @@ def test_totals(spark):
     }
     empty = ev.totals(spark.createDataFrame([], "tier string, pii_type string, tp long, fp long, fn long")).collect()
     assert [r.scope for r in empty] in ([], ["all"])
+
+
+def test_parts_with_faults(spark):
+    head = '{"paragraphs":["p",null,""],"cells":[{"cell_id":1,"row":0,"col":0,"text":"a\\nb"},{"cell_id":2,"parent_id":1,"row":3,"col":4,"text":"in"}]}'
+    rows = [(1, '{"paragraphs":["x"]}', head, None), (2, "", '{"cells":[]}', "nope"), (3, None, None, "[]"), (4, "{}", '{"paragraphs":"text"}', '{"more":1}')]
+    df = spark.createDataFrame(rows, "doc_id int, body string, header string, footer string")
+    read = bl.parts(df, ["doc_id"])
+    got = sorted(map(tuple, bl.part_blocks(read, ["doc_id"]).collect()))
+    assert got == [
+        (1, "body", "0", "x"), (1, "header", "0", "p"), (1, "header", "2", ""), (1, "header", "t/0/0/0", "a"),
+        (1, "header", "t/0/0/1", "b"), (1, "header", "t/0/0/3/4/0", "in"),
+    ]
+    faults = sorted(map(tuple, bl.part_faults(read, ["doc_id"]).select("doc_id", "section").collect()))
+    assert faults == [(2, "body"), (2, "footer"), (3, "footer"), (4, "header")]
+
+
+def test_a_whole_run(spark):
+    body = '{"paragraphs":["mail a@b.cc"," ","Born 1/2/1934"]}'
+    df = spark.createDataFrame([(1, body, "{", body), (2, None, None, None)], "doc_id int, body string, header string, footer string")
+    redacted, summary, faults = rd.document_run(df, ["doc_id"], "s")
+    assert sorted((r.section, r.place, r.n_redactions) for r in redacted.collect()) == [
+        ("body", "0", 1), ("body", "2", 1), ("footer", "0", 1), ("footer", "2", 1)]
+    assert summary.first().asDict() | {"n_email": 2, "n_dob": 2, "total_redactions": 4, "unique_entities": 2} == summary.first().asDict()
+    assert [tuple(r) for r in faults.collect()] == [(1, "header", "{")]
