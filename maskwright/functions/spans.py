@@ -58,6 +58,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of a table.  One ``select`` of what stays and what is new is checked once; each
+    further step would have the expressions below walked again."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body reads it."""
     return F.element_at(F.transform(F.array(value), body), 1)

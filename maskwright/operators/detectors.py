@@ -360,7 +360,7 @@ def candidates(
             found.append(_rule_spans(rule, known[rule], _jvm()))
     sp.reserve(df, *_VIEW, output)
     spans = F.coalesce(F.concat(*found), sp.no_spans()) if found else sp.no_spans()
-    return _staged(df, text).withColumn(output, spans).drop(*_VIEW)
+    return _staged(df, text).select(*sp.columns(df), spans.alias(output))
 
 
 def detect(
@@ -374,7 +374,7 @@ def detect(
     """Add the resolved, disjoint spans of a text column."""
     sp.reserve(df, output)
     found = candidates(df, text, rules, known_names, known_companies, "_candidates")
-    return found.withColumn(output, _resolved("_candidates", _jvm())).drop("_candidates")
+    return found.select(*sp.columns(df), _resolved("_candidates", _jvm()).alias(output))
 
 
 def explode_spans(df: DataFrame, keys: Sequence[str], spans: str = "spans") -> DataFrame:

@@ -27,24 +27,29 @@ def with_entities(
     """
     sp.reserve(df, output)
     found = detectors.detect(df, text, output="_spans", **detection)
-    return found.withColumn(output, su.entities("_spans", salt, as_of)).drop("_spans")
+    return found.select(*sp.columns(df), su.entities("_spans", salt, as_of).alias(output))
+
+
+def _redacted(text: str, entities: str) -> Column:
+    return sp.splice(F.col(text), F.col(entities), lambda e: e["replacement"])
+
+
+def _n_redactions(entities: str) -> Column:
+    return F.coalesce(F.size(entities), F.lit(0)).cast("long")
 
 
 def redact(df: DataFrame, text: str = "text", entities: str = "entities") -> DataFrame:
     """Replace the text of rows that carry ``entities``, and count the replacements."""
-    return df.withColumns(
-        {
-            text: sp.splice(F.col(text), F.col(entities), lambda e: e["replacement"]),
-            "n_redactions": F.coalesce(F.size(entities), F.lit(0)).cast("long"),
-        }
-    )
+    return df.withColumns({text: _redacted(text, entities), "n_redactions": _n_redactions(entities)})
 
 
 def redact_text(df: DataFrame, text: str = "text", **options) -> DataFrame:
     """Detect and redact in one narrow step: scan, project, write.  Other columns stay as they are."""
     sp.reserve(df, "n_redactions")
     name = sp.fresh(df, "entities")
-    return redact(with_entities(df, text, output=name, **options), text, name).drop(name)
+    found = with_entities(df, text, output=name, **options)
+    kept = [_redacted(text, name).alias(c) if c == text else column for c, column in zip(df.columns, sp.columns(df))]
+    return found.select(*kept, _n_redactions(name).alias("n_redactions"))
 
 
 def explode_entities(df: DataFrame, keys: Sequence[str] = (), entities: str = "entities") -> DataFrame:
