@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import validators as v
+from ..functions import spans as sp, validators as v
 from ..session import stored
 from . import detectors
 
@@ -109,14 +109,17 @@ def parts(df: DataFrame, keys: Sequence[str], names: Sequence[str] = ("body", "h
     """
     each = F.array(*[F.struct(F.lit(n).alias("section"), F.col(n).alias("raw")) for n in names])
     rows = df.select(*keys, F.explode(each).alias("x")).select(*keys, "x.section", "x.raw").where(F.col("raw").isNotNull())
-    doc = F.try_parse_json("raw")
 
-    def listed(name: str) -> Column:
+    def listed(doc: Column, name: str) -> Column:
         kind = F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant"))
         return F.coalesce(kind.startswith("ARRAY") | (kind == "VOID"), F.lit(True))
 
-    known = F.schema_of_variant(doc).startswith("OBJECT") & listed("paragraphs") & listed("cells")
-    return rows.withColumn("part", F.when(known, F.try_variant_get(doc, "$", PART)))
+    def read(doc: Column) -> Column:
+        known = F.schema_of_variant(doc).startswith("OBJECT") & listed(doc, "paragraphs") & listed(doc, "cells")
+        return F.when(known, F.try_variant_get(doc, "$", PART))
+
+    # parsed once a part
+    return rows.withColumn("part", sp.let(F.try_parse_json("raw"), read))
 
 
 def part_faults(read: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -123,7 +123,8 @@ def _parts(spark, folder):
 
 def blocks_parts(spark, folder):
     """Paragraphs and nested table cells of bodies, headers and footers; damaged parts are left out."""
-    return bl.part_blocks(bl.parts(_parts(spark, folder), ["doc_id"]), ["doc_id"])
+    read = stored(bl.parts(_parts(spark, folder), ["doc_id"]), "parts")  # read by paragraphs, outer and inner cells
+    return bl.part_blocks(read, ["doc_id"])
 
 
 def blocks_part_faults(spark, folder):

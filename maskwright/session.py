@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SPREAD = "spark.maskwright.spread"
+ROWS_A_TASK = 20_000  # of narrow rows from which texts are derived
 
 
 def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -60,3 +62,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.isStreaming or df.sparkSession.conf.get(SPREAD, "false") != "true":
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def dealt(df: DataFrame, rows: int = ROWS_A_TASK) -> DataFrame:
+    """Deal narrow rows evenly to tasks of about ``rows`` rows each.
+
+    Files are split by bytes and no finer than by row group, so a column of keys comes in one task,
+    whatever is derived from each key.  Rows are dealt in turn, not by key: a frequent key or null
+    is as good as any other.
+    """
+    tasks = math.ceil(df.count() / rows)
+    return df.repartition(tasks) if tasks > 1 else df

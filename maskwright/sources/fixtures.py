@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import fixed_values as fv
+from ..session import dealt
 from .readers import table
 
 SALT = "maskwright"  # of the registered queries; data of your own needs one that nobody knows
@@ -294,9 +295,9 @@ union all select 'company', {_text("'House'", f"cast({_S} as string)", "' of Oak
 
 
 def run_sql(spark: SparkSession, folder: str, sql: str) -> DataFrame:
-    """A shared query over the parquet tables it names."""
+    """A shared query over the parquet tables it names, their rows dealt evenly to tasks."""
     names = [n for n in ("customer", "supplier", "events", "lineitem", "orders") if "{" + n + "}" in sql]
-    return spark.sql(sql, **{n: table(spark, folder, n) for n in names})
+    return spark.sql(sql, **{n: dealt(table(spark, folder, n)) for n in names})
 
 
 def first_name() -> str:
