@@ -3,6 +3,9 @@
 The bits are gathered on the executors with the bitmap functions, one row for each 32,768 bits, so
 what reaches the driver has the size of the filter, whatever the number of keys.  The filter is a
 binary literal: a row's keys are tested before anything is exploded or shuffled.
+
+``words`` and ``passing`` are the form for many rows of one key each: the filter is a small table of 64-bit
+words, broadcast, and a key has three bits in one word, so a test is one lookup in generated code.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 BITS_PER_KEY = 10
 HASHES = 3
 MIN_BITS, MAX_BITS = 1 << 15, 1 << 24  # 4 KB to 2 MB; beyond, more keys pass that shouldn't
+MAX_WORDS = 1 << 22  # of the table form: about 150 MB in an executor, and 16 million keys at 16 bits each
+KEYS_A_WORD = 4
 BUCKET_BITS = 1 << 15  # fixed value: bits of a bucket of the bitmap functions
 
 
@@ -53,3 +58,28 @@ def may_hold(filter_bits: bytes, key: Column) -> Column:
         return F.shiftright(byte, 0).bitwiseAND(F.element_at(F.lit([1, 2, 4, 8, 16, 32, 64, 128]), (place % 8 + 1).cast("int"))) != 0
 
     return reduce(and_, (set_(i) for i in range(HASHES)))
+
+
+def _word(key: Column, n: int) -> Column:
+    return key.bitwiseAND(n - 1)
+
+
+def _mask(key: Column) -> Column:
+    one = F.lit(1).cast("long")
+    bits = [F.call_function("shiftleft", one, F.shiftright(key, at).bitwiseAND(63).cast("int")) for at in (24, 34, 44)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+
+def words(keys: DataFrame, key: str, n: int) -> tuple[DataFrame, int]:
+    """The table form for a long column with about ``n`` values, and its number of words."""
+    size = 1
+    while size < min(MAX_WORDS, n / KEYS_A_WORD):
+        size *= 2
+    made = keys.where(F.col(key).isNotNull()).groupBy(_word(F.col(key), size).alias("_at"))
+    return made.agg(F.bit_or(_mask(F.col(key))).alias("_word")), size
+
+
+def passing(rows: DataFrame, key: str, table: DataFrame, size: int) -> DataFrame:
+    """The rows whose key may be in the filter; all whose key is."""
+    met = rows.join(F.broadcast(table), _word(F.col(key), size) == F.col("_at"))
+    return met.where(F.col("_word").bitwiseAND(_mask(F.col(key))) == _mask(F.col(key))).select(*rows.columns)

@@ -5,8 +5,10 @@ characters from each start of a word inside it; a text that holds the value has
 at the same place, so only starts of words are looked up in texts.  A value that is one unbroken
 word has the piece it begins with, which is looked up at every character of the same kind.
 
-1. Pieces of all values go into a Bloom filter; texts emit the hashes of their own pieces that
-   pass it, so texts without candidates emit next to nothing.
+1. Pieces of all values go into a Bloom filter; texts are cut into their own pieces, a row each, of which
+   only those that pass it stay, so texts without candidates emit next to nothing.  Cutting is one regex pass a
+   kind, and rows are hashed and tested in generated code, which lambdas over arrays are not; the filter is a broadcast table.  A kind and size
+   with a few pieces in all is looked up piece by piece instead, without cutting.
 2. Each value keeps the piece that the fewest texts have.  A piece that no text has ends the search.
 3. Values and texts are joined on that piece's hash (and the scope), a long, then the text itself is
    searched.  Texts are never join keys, and are joined by their keys alone.
@@ -18,8 +20,9 @@ where a value has no rarer one.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions import bloom, fixed_values as fv, spans as sp, validators as v
 from ..session import stored
@@ -32,6 +35,7 @@ STARTS = "start"
 KINDS = {
     STARTS: rf"(?<={NOT_WORD})(?={WORD})", "digit": r"(?=\p{Nd})", "letter": r"(?=[\p{L}_])", "other": "",
 }
+FEW = 16  # pieces of a kind and size, by estimate, up to which they are looked up one by one
 MAX_STARTS = 8  # starts of words of a value that are weighed against each other
 
 
@@ -39,24 +43,35 @@ def _hash(kind: str, size: int, piece: Column) -> Column:
     return F.xxhash64(F.lit(kind), F.lit(size), piece)
 
 
-def _all_at(text: Column, kind: str, size: int) -> Column:
-    """Every piece of ``size`` characters that begins at a place of the kind; pieces may overlap."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s){KINDS[kind]}(?=(.{{{size}}}))"), F.lit(1))
-
+def _hits(
+    body: DataFrame, keys: Sequence[str], sizes: dict[str, list[int]], listed: Sequence[Row], table: DataFrame, n_words: int,
+) -> DataFrame:
+    """(keys, _h): the hashes of pieces of ``_text`` that may be a value's, repeats included.
 
-def _hashes_at(text: Column, kind: str, size: int) -> Column:
-    return F.transform(_all_at(text, kind, size), lambda piece: _hash(kind, size, piece))
+    ``sizes`` are the lengths of pieces to cut at the places of each kind; ``listed`` pieces are looked up.
+    """
+    cut = []
+    for kind, lengths in sizes.items():
+        tails = F.regexp_extract_all("_text", F.lit(rf"(?s){KINDS[kind]}(?=(.{{{min(lengths)},{max(lengths)}}}))"), F.lit(1))
+        each = sp.unnest(body, keys, F.array_distinct(tails), "_tail")
+        hashes = [F.when(F.length("_tail") >= n, _hash(kind, n, F.substring("_tail", 1, n))) for n in lengths]
+        cut.append(sp.unnest(each, keys, F.array(*hashes), "_h"))
+    parts = [bloom.passing(c, "_h", table, n_words) for c in cut]
+    if listed:
+        found = F.array(*[F.when(F.contains("_text", F.lit(r.piece)), F.lit(r.h)) for r in listed])
+        parts.append(sp.unnest(body, keys, found, "_h"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _pieces(value: Column) -> Column:
-    """The pieces of a value: array<struct<kind, size, h>>."""
+    """The pieces of a value: array<struct<kind, size, h, piece>>."""
 
     def sized(kind: str, rest: Column) -> Column:
-        fit = F.lit(None).cast("struct<kind:string,size:int,h:bigint>")
+        fit = F.lit(None).cast("struct<kind:string,size:int,h:bigint,piece:string>")
         for size in reversed(LENGTHS):
+            piece = F.substring(rest, 1, size)
             made = F.struct(
-                F.lit(kind).alias("kind"), F.lit(size).alias("size"),
-                _hash(kind, size, F.substring(rest, 1, size)).alias("h"),
+                F.lit(kind).alias("kind"), F.lit(size).alias("size"), _hash(kind, size, piece).alias("h"), piece.alias("piece"),
             )
             fit = F.when(F.length(rest) >= size, made).otherwise(fit)
         return fit
@@ -97,13 +112,18 @@ def standing(
     )
     pieces = stored(sp.unnest(wanted, [*scope, "_id"], _pieces(F.col("value")), "_piece"), "pieces")
     shape = pieces.groupBy("_piece.kind", "_piece.size").agg(F.approx_count_distinct("_piece.h").alias("n")).collect()
-    bits = bloom.build(pieces.select(F.col("_piece.h").alias("h")).distinct(), "h", sum(r.n for r in shape))
     body = blocks.select(*keys, F.col(text).alias("_text"))
-    every = [_hashes_at(F.col("_text"), r["kind"], r["size"]) for r in shape]
-    if not every:
+    if not shape:
         return spark.createDataFrame([], body.drop("_text").schema).join(values.select("pii_type", "value").limit(0))
-    passed = F.array_distinct(F.filter(F.concat(*every), lambda h: bloom.may_hold(bits, h)))
-    hits = stored(sp.unnest(body, keys, F.coalesce(passed, F.array().cast("array<bigint>")), "_h").distinct(), "hits")
+    few, sizes = F.lit(False), {}
+    for r in shape:
+        if r.n <= FEW:
+            few |= (F.col("kind") == r["kind"]) & (F.col("size") == r["size"])
+        else:
+            sizes.setdefault(r["kind"], []).append(r["size"])
+    listed = pieces.select("_piece.*").where(few).select("h", "piece").distinct().collect()
+    table, n_words = bloom.words(pieces.select(F.col("_piece.h").alias("h")), "h", sum(r.n for r in shape))
+    hits = stored(_hits(body, keys, sizes, listed, stored(table, "piece-filter"), n_words).distinct(), "hits")
     counted = hits.groupBy("_h").agg(F.count("*").alias("_n"))
     rarest = (
         pieces.select("_id", F.col("_piece.h").alias("_h")).join(counted, "_h", "left")

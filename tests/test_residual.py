@@ -67,3 +67,25 @@ def test_filter_of_nothing(spark):
     empty = spark.createDataFrame([], "h long")
     bits = bloom.build(empty, "h", 0)
     assert spark.range(100).where(bloom.may_hold(bits, F.xxhash64("id"))).count() == 0
+
+
+def test_filter_table_has_no_false_negatives(spark):
+    rng = random.Random(5)
+    keys = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(20_000)] + [0, -1, (1 << 63) - 1, -(1 << 63)]
+    df = spark.createDataFrame([(k,) for k in keys] + [(None,)], "h long").repartition(5)
+    table, size = bloom.words(df, "h", len(keys))
+    assert size == 1 << 13
+    assert bloom.passing(df, "h", table, size).count() == len(keys)
+    assert bloom.passing(spark.range(20_000).select(F.xxhash64("id").alias("h")), "h", table, size).count() < 1500
+    assert bloom.passing(df, "h", *bloom.words(df.limit(0), "h", 0)).count() == 0
+
+
+def test_pieces_are_tested_in_generated_code(spark):
+    """No lambda runs over the pieces of a text, and a kind with few pieces is not cut from texts."""
+    texts = spark.createDataFrame([("s", i, 0, f"call 98765{i:05} Asha Rao") for i in range(50)], "source string, doc_id long, block_id long, text string")
+    body = texts.select(*KEYS, F.col("text").alias("_text"))
+    h = F.xxhash64(F.lit("digit"), F.lit(8), F.lit("98765000"))
+    piece = spark.range(1).select(h.alias("h"), F.lit("98765000").alias("piece"))
+    hits = rl._hits(body, KEYS, {"digit": [8]}, piece.collect(), *bloom.words(piece, "h", 1))
+    assert "lambda" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted({r.doc_id for r in hits.collect()}) == list(range(50))
