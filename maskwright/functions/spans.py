@@ -96,7 +96,10 @@ def sums_before(sizes: Column) -> Column:
         outer = running(F.transform(inner, lambda c: c["sum"]))["before"]
         return F.flatten(F.zip_with(inner, outer, lambda c, at: F.transform(c["before"], lambda x: x + at)))
 
-    return let(sizes, lambda xs: let(F.transform(chunks(xs), running), joined))
+    def summed(xs: Column) -> Column:
+        return F.when(F.size(xs) <= CHUNK, running(xs)["before"]).otherwise(let(F.transform(chunks(xs), running), joined))
+
+    return let(sizes, summed)
 
 
 def scan(
@@ -139,8 +142,19 @@ def scan(
                 start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), before.alias("before")
             )
 
+        def only(value: Column) -> Column:
+            start = sum((F.length(parts[i]) for i in range(1, slot)), F.length(parts[0]))
+            start = start - F.length(value) if tail else start
+            one = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), parts[slot - 1].alias("before"))
+            return F.when(F.length(value) > 0, F.array(one)).otherwise(no_hits())
+
         listed = let(sums_before(sizes(parts)), lambda starts: F.transform(matches, lambda i: found(i, starts)))
-        return F.when(F.size(parts) > 1, F.filter(listed, lambda h: F.length(h["value"]) > 0)).otherwise(no_hits())
+        # one match, as most short texts have it, needs no sums
+        return (
+            F.when(F.size(parts) <= 1, no_hits())
+            .when(F.size(parts) == width + 1, only(parts[slot]))
+            .otherwise(F.filter(listed, lambda h: F.length(h["value"]) > 0))
+        )
 
     return let(F.split(marked, MARK, -1), hits)
 
@@ -235,15 +249,26 @@ def resolve(spans: Column) -> Column:
             lambda s: F.struct(s["end"].alias("end"), F.concat(acc["kept"], F.array(s["kept"])).alias("kept")),
         )
 
-    return let(
-        F.array_sort(keyed),
-        lambda ordered: F.aggregate(
+    def swept(ordered: Column) -> Column:
+        few = F.aggregate(ordered, F.struct(F.lit(-1).alias("end"), no_spans().alias("kept")), step, lambda acc: acc["kept"])
+        many = F.aggregate(
             chunks(ordered),
             F.struct(F.lit(-1).alias("end"), F.array().cast(f"array<{SPANS}>").alias("kept")),
             sweep,
             lambda acc: F.flatten(acc["kept"]),
-        ),
-    )
+        )
+        return F.when(F.size(ordered) <= CHUNK, few).otherwise(many)
+
+    return let(F.sort_array(keyed), swept)
+
+
+def resolved(spans: str) -> Column:
+    """``resolve`` of a column of spans; fewer than two need no sweep.
+
+    The column is read several times, so the optimizer doesn't merge what computes it into the
+    lambdas of the sweep, where all of it would be interpreted.
+    """
+    return F.when(F.size(spans) > 1, resolve(F.col(spans))).otherwise(F.col(spans))
 
 
 def splice(text: Column, spans: Column, replacement) -> Column:

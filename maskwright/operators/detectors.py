@@ -1,8 +1,10 @@
 """The detection rules, and detection over a text column.
 
-Each rule is a column function ``(View) -> array<span>`` of the current row.  A
-cheap substring test (the gate) decides whether its regex runs at all; gates only
-test what every match of the rule must contain.
+Each rule is a pair of column functions of the current row: a cheap substring test (the
+gate) and the hits.  The gate decides whether the rule's regex runs at all; gates only test
+what every match of the rule must contain.  Gates are kept outside of lambdas, and what rules
+found is not merged into later steps, so Spark compiles them; lambdas are interpreted, node by
+node, and should only run where a gate let a text through.
 """
 
 from __future__ import annotations
@@ -42,8 +44,12 @@ def _any(tests: Iterable[Column]) -> Column:
     return out
 
 
-def _when(gate: Column, hits: Column) -> Column:
-    return F.when(gate, hits).otherwise(sp.no_hits())
+Rule = tuple[Column, Column]  # gate, hits
+
+
+def _tagged(rule: str, gate: Column, hits: Column) -> Column:
+    """The spans of a rule; no lambda stands around the gate."""
+    return F.when(gate, sp.tag(hits, rule)).otherwise(sp.no_spans())
 
 
 def _moved(h: Column, value: Column) -> Column:
@@ -68,25 +74,25 @@ def _stripped(h: Column) -> Column:
     )
 
 
-def email(t: View) -> Column:
-    return _when(t.has("@"), sp.scan(t.scan, p.EMAIL, (1, 2), 1))
+def email(t: View) -> Rule:
+    return t.has("@"), sp.scan(t.scan, p.EMAIL, (1, 2), 1)
 
 
-def ssn(t: View) -> Column:
+def ssn(t: View) -> Rule:
     hits = sp.scan(t.scan, p.SSN)
-    return _when(t.digit & t.has("-"), F.filter(hits, lambda h: v.ssn_valid(h["value"])))
+    return t.digit & t.has("-"), F.filter(hits, lambda h: v.ssn_valid(h["value"]))
 
 
-def card(t: View) -> Column:
+def card(t: View) -> Rule:
     hits = sp.scan(t.scan, p.CARD)
-    return _when(
+    return (
         t.digit & F.rlike(t.text, F.lit(r"\p{Nd}{4}")), F.filter(hits, lambda h: v.luhn_valid(h["value"]))
     )
 
 
-def ipv4(t: View) -> Column:
+def ipv4(t: View) -> Rule:
     hits = sp.scan(t.scan, p.IPV4)
-    return _when(
+    return (
         t.digit & F.rlike(t.text, F.lit(r"[0-9]\.[0-9]{1,3}\.")),
         F.filter(
             hits,
@@ -96,25 +102,25 @@ def ipv4(t: View) -> Column:
     )
 
 
-def dob(t: View) -> Column:
-    return _when(
+def dob(t: View) -> Rule:
+    return (
         t.digit & t.mentions("dob", "birth", "born", "d.o.b."), sp.scan(t.scan, p.DOB, (0, 1), 1)
     )
 
 
-def phone_context(t: View) -> Column:
+def phone_context(t: View) -> Rule:
     hits = sp.scan(t.scan, p.PHONE_CONTEXT, (0, 1), 1)
     kept = F.filter(
         hits, lambda h: F.length(v.digits_only(h["value"])).between(*fv.PHONE_CONTEXT_DIGITS)
     )
     trimmed = F.transform(kept, lambda h: _moved(h, v.strip_trailing_punctuation(h["value"])))
-    return _when(
+    return (
         t.digit & t.mentions("tel", "phone", "mob", "fax", "contact"),
         trimmed,
     )
 
 
-def phone_standalone(t: View) -> Column:
+def phone_standalone(t: View) -> Rule:
     hits = sp.scan(t.scan, p.PHONE_STANDALONE)
     kept = F.filter(
         hits,
@@ -122,10 +128,10 @@ def phone_standalone(t: View) -> Column:
         & ~v.currency_before(sp.last(h["before"], fv.CURRENCY_WINDOW)),
     )
     gate = t.digit & (t.has("+91") | F.rlike(t.text, F.lit(r"\p{Nd}{6}")))
-    return _when(gate, F.transform(kept, _stripped))
+    return gate, F.transform(kept, _stripped)
 
 
-def address_context(t: View) -> Column:
+def address_context(t: View) -> Rule:
     hits = sp.scan(t.scan, p.ADDRESS_CONTEXT, (0, 1), 1)
     # the only rule whose values can hold the mark character: take them from the text
     trimmed = F.transform(
@@ -134,10 +140,10 @@ def address_context(t: View) -> Column:
     long_enough = F.filter(
         trimmed, lambda h: F.length(h["value"]) >= fv.ADDRESS_CONTEXT_MIN_LENGTH
     )
-    return _when(t.mentions("address", "office"), long_enough)
+    return t.mentions("address", "office"), long_enough
 
 
-def address_pattern(t: View) -> Column:
+def address_pattern(t: View) -> Rule:
     # hit: from the first thoroughfare word on; before: the run up to that word
     runs = sp.scan(t.scan, p.ADDRESS_RUN, (1, 2, 3), 1)
     with_free = F.transform(
@@ -189,7 +195,7 @@ def address_pattern(t: View) -> Column:
     long_enough = F.filter(
         cleaned, lambda h: F.length(h["value"]) >= fv.ADDRESS_PATTERN_MIN_LENGTH
     )
-    return _when(t.digit & F.rlike(t.text, F.lit(p.PIN)), long_enough)
+    return t.digit & F.rlike(t.text, F.lit(p.PIN)), long_enough
 
 
 def _clean_address(h: Column) -> Column:
@@ -204,41 +210,41 @@ def _clean_address(h: Column) -> Column:
     )
 
 
-def company_suffix(t: View) -> Column:
+def company_suffix(t: View) -> Rule:
     hits = F.transform(sp.scan(t.scan, p.COMPANY_SUFFIX, (1, 2), 1), _stripped)
     gate = t.has("Limited", "LIMITED", "Ltd", "LTD", "LLP", "Inc", "INC", "Corp", "CORP")
-    return _when(
+    return (
         gate & F.rlike(t.text, F.lit(p.COMPANY_SUFFIX_HIT)),
         F.filter(hits, lambda h: v.company_allowed(h["value"])),
     )
 
 
-def name_salutation(t: View) -> Column:
+def name_salutation(t: View) -> Rule:
     hits = sp.scan(t.scan, p.NAME_SALUTATION, (0, 1), 1)
-    return _when(
+    return (
         t.has("Mr.", "Ms.", "Mrs.", "Dr.", "Prof.", "Shri", "Smt."),
         F.filter(hits, lambda h: v.name_allowed(h["value"])),
     )
 
 
-def name_role(t: View) -> Column:
+def name_role(t: View) -> Rule:
     hits = sp.scan(t.scan, p.NAME_ROLE, (0, 1), 1)
-    return _when(
+    return (
         t.mentions("contact", "chairman", "director", "chief", "secretary", "compliance",
                    "promoter", "partner"),
         F.filter(hits, lambda h: v.name_allowed(h["value"])),
     )
 
 
-def name_phrase(t: View) -> Column:
+def name_phrase(t: View) -> Rule:
     hits = sp.scan(t.scan, p.NAME_PHRASE, (0, 1), 1)
-    return _when(
+    return (
         t.mentions("namely", "being", "appointed", "designated", "signed", "son", "daughter", "wife"),
         F.filter(hits, lambda h: v.name_allowed(h["value"])),
     )
 
 
-def name_promoters(t: View) -> Column:
+def name_promoters(t: View) -> Rule:
     lists = sp.scan(t.scan, p.PROMOTER_LIST, (0, 1), 1)
     parts = F.flatten(F.transform(lists, lambda h: F.split(h["value"], p.PROMOTER_SEPARATOR, -1)))
     names = F.filter(
@@ -254,7 +260,7 @@ def name_promoters(t: View) -> Column:
             ),
         ),
     )
-    return _when(t.mentions("promoter"), F.flatten(hits))
+    return t.mentions("promoter"), F.flatten(hits)
 
 
 def clean_terms(terms: Iterable[str | None]) -> tuple[str, ...]:
@@ -262,8 +268,8 @@ def clean_terms(terms: Iterable[str | None]) -> tuple[str, ...]:
     return tuple(sorted({t for t in terms if t}))
 
 
-def known_values(t: View, entries: Sequence[str]) -> Column:
-    """Every listed value, as a whole word and ignoring case, one scan per value.
+def known_values(t: View, entries: Sequence[str]) -> list[Rule]:
+    """Every listed value, as a whole word and ignoring case, one gate and scan per value.
 
     A value that begins or ends with another sign than a letter, digit or underscore has to
     follow, or be followed by, one of these.
@@ -276,8 +282,8 @@ def known_values(t: View, entries: Sequence[str]) -> Column:
             + p.escape(entry)
             + (p.WORD_END if last else r"(?=[\p{L}\p{N}_])")
         )
-        each.append(_when(t.mentions(entry), sp.scan(t.scan, "(?iu)" + pattern)))
-    return F.concat(*each) if each else sp.no_hits()
+        each.append((t.mentions(entry), sp.scan(t.scan, "(?iu)" + pattern)))
+    return each
 
 
 TEXT_RULES = {
@@ -322,13 +328,13 @@ def _rule_spans(rule: str, known: tuple[str, ...], jvm: object) -> Column:
     """The spans of one rule over the staged columns.  Kept per JVM: such columns
     are plain expressions, and putting them together takes longer than planning."""
     view = View(*[F.col(c) for c in _VIEW])
-    hits = known_values(view, known) if known else TEXT_RULES[rule](view)
-    return sp.tag(hits, rule)
+    parts = known_values(view, known) if known else [TEXT_RULES[rule](view)]
+    return F.concat(*[_tagged(rule, *part) for part in parts])
 
 
 @lru_cache(maxsize=8)
 def _resolved(column: str, jvm: object) -> Column:
-    return sp.resolve(F.col(column))
+    return sp.resolved(column)
 
 
 def _jvm() -> object:

@@ -195,6 +195,6 @@ def detect_with_known(
         )
     return (
         joined_candidates(blocks, keys, dictionary, text, rules, "_candidates")
-        .withColumn(output, sp.resolve(F.col("_candidates")))
+        .withColumn(output, sp.resolved("_candidates"))
         .drop("_candidates")
     )

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from maskwright.operators import blocks as bl
+from maskwright.operators import blocks as bl, detectors as dt
 from maskwright.session import dealt
 from maskwright.sources import fixtures as fx
 
@@ -29,3 +29,12 @@ def test_a_part_is_parsed_once(spark):
     read = bl.parts(raw, ["doc_id"])
     assert read._jdf.queryExecution().optimizedPlan().toJSON().count('"functionName":"parseJson"') == 1
     assert [(r.section, r.part is None) for r in read.collect()] == [("body", False), ("header", True), ("footer", False)]
+
+
+def test_rules_are_not_merged_into_lambdas(spark):
+    """What is merged into the sweep is interpreted for every row, gates included."""
+    df = spark.createDataFrame([("Mail a@b.example.org or c@d.example.org",)], "text string")
+    found = dt.detect(df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert " AS _candidates#" in plan
+    assert [s.value for s in found.first().spans] == ["a@b.example.org", "c@d.example.org"]
