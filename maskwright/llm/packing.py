@@ -148,11 +148,10 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         for whole in batches:
+            encoded = encoder.documents(whole.column(1))
             for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
                 rows = []
-                for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ids = encoder.document(t)
+                for doc, ids in zip(whole.column(0).slice(at, 512).to_pylist(), encoded):
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         raw = ids[start : start + capacity].astype("<u4").tobytes()
                         rows.append((doc, k, start, len(raw) // 4, zlib.crc32(raw), *([raw] if with_ids else [])))

@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -205,13 +206,14 @@ def write(docs: DataFrame, key: str, text: str, path: str, tokenizer: str | None
         at = 0
         out = None
         for whole in batches:
+            encoded = encoder.documents(whole.column(1))
             for start in range(0, whole.num_rows, 256):
                 b = whole.slice(start, 256)
                 if out is None:
                     system.create_dir(folder, recursive=True)
                     out = system.open_output_stream(f"{folder}/{name}")
                 ids = b.column(0).to_pylist()
-                tokens = [encoder.document(t) for t in b.column(1).to_pylist()]
+                tokens = list(islice(encoded, b.num_rows))
                 framed = frames([payload(i, t) for i, t in zip(ids, tokens)])
                 sizes = np.array([len(f) for f in framed], np.int64)
                 offsets = at + np.cumsum(sizes) - sizes

@@ -3,27 +3,34 @@
 In such a vocabulary no token crosses white space, so the ids of a text are those of its
 space-separated pieces one after the other.  Pieces repeat, and a worker keeps the ids of the
 pieces it has met; only new ones are encoded.  Ids equal the tokenizer's for the whole text.
+Many texts at once (``documents``) are split and their pieces made distinct by Arrow, so that each
+distinct piece is looked up once.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1  # appended to every document
 ID_TYPE = np.dtype("<u2")  # ids of vocabularies below 65,536 entries
+AT_ONCE = 1 << 22  # bytes of text whose pieces are made distinct together
 KEPT = 600_000  # pieces a worker keeps before it starts anew; a bound on memory only
 
 # fixed values: the word pattern of the vocabulary, for lowered printable ASCII
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 # white space at which Python splits and the tokenizer may not
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_ARROW = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class _Pieces(dict):
@@ -78,6 +85,35 @@ class WordEncoder:
         """The ids of a document (null: none), then ``end``."""
         return np.frombuffer(self.raw(text) + struct.pack("<H", end), ID_TYPE)
 
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without odd white space, one after the other, and how many each has."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        each = [self.pieces[x] for x in coded.dictionary.to_pylist()]
+        known = np.frombuffer(b"".join(each), ID_TYPE)
+        sizes = np.array([len(x) // ID_TYPE.itemsize for x in each], np.int64)
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        shift = (np.cumsum(sizes) - sizes)[at] - (ends - n)
+        ids = known[np.repeat(shift, n) + np.arange(len(shift) and ends[-1])]
+        ends = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(split).to_numpy())]
+        return ids, np.diff(ends, prepend=0)
+
+    def documents(self, texts: pa.Array, end: int = END) -> Iterator[np.ndarray]:
+        """``document`` of every text; memory holds the ids of AT_ONCE bytes of text, or of one longer text."""
+        texts = pc.fill_null(texts, "")
+        last = np.array([end], ID_TYPE)
+        part = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // AT_ONCE
+        cuts = np.concatenate([np.flatnonzero(np.diff(part, prepend=-1)), [len(texts)]])
+        for at, to in zip(cuts, cuts[1:]):
+            some = texts.slice(at, to - at)
+            odd = pc.match_substring_regex(some, _ODD_ARROW).to_numpy(zero_copy_only=False)
+            ids, sizes = self._plain(some.filter(pa.array(~odd)))
+            rest = iter(np.split(ids, np.cumsum(sizes)[:-1]))
+            for i, is_odd in enumerate(odd.tolist()):
+                yield self.document(some[i].as_py(), end) if is_odd else np.concatenate([next(rest), last])
+
 
 @cache
 def word_encoder(path: str | None = None) -> WordEncoder:
