@@ -4,13 +4,16 @@ In such a vocabulary no token crosses white space, so the ids of a text are thos
 space-separated pieces one after the other.  Pieces repeat, and a worker keeps the ids of the
 pieces it has met; only new ones are encoded.  Ids equal the tokenizer's for the whole text.
 Many texts at once (``documents``) are split and their pieces made distinct by Arrow, so that each
-distinct piece is looked up once.
+distinct piece is looked up once; new pieces that the tokenizer has to encode go to it together.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,14 +23,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
 VOCABULARY = "word_bpe_49k.json"
 END = 1  # appended to every document
 ID_TYPE = np.dtype("<u2")  # ids of vocabularies below 65,536 entries
 AT_ONCE = 1 << 22  # bytes of text whose pieces are made distinct together
+TOGETHER = 4096  # new pieces that are encoded together
 KEPT = 600_000  # pieces a worker keeps before it starts anew; a bound on memory only
 
-# fixed values: the word pattern of the vocabulary, for lowered printable ASCII
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+GAP = np.iinfo(ID_TYPE).max  # between the ids of pieces encoded together; no id
+
+# fixed values: the word pattern of the vocabulary, for lowered printable ASCII, with lines apart
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\n]+|\n")
 # white space at which Python splits and the tokenizer may not
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD_ARROW = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -47,27 +55,35 @@ class _Pieces(dict):
         return ids
 
 
+def _packed(ids: list[int]) -> bytes:
+    packed = array("H", ids)  # an error for an id beyond ID_TYPE
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class WordEncoder:
     """``encode(text)``: the ids of a text, as an array of ID_TYPE."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > np.iinfo(ID_TYPE).max + 1:
+        if self.tokenizer.get_vocab_size() > GAP:
             raise ValueError("the vocabulary has more ids than ID_TYPE can hold")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.words = _Pieces(self._word)
         self.pieces = _Pieces(self._piece)
 
     def _word(self, word: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
-        return struct.pack(f"<{len(ids)}H", *ids)
+        if word == "\n":
+            return _packed([GAP])
+        return _packed([t.id for t in self.tokenizer.model.tokenize(word)])
 
     def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, ID_TYPE).tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
-        if not piece.isascii() or not piece.isprintable() or any(t in piece for t in self.special):
+        if not piece.isascii() or not piece.isprintable() or self.special.search(piece):
             return self._whole(piece)
         return b"".join(map(self.words.__getitem__, _ASCII_WORDS.findall(piece.lower())))
 
@@ -85,18 +101,39 @@ class WordEncoder:
         """The ids of a document (null: none), then ``end``."""
         return np.frombuffer(self.raw(text) + struct.pack("<H", end), ID_TYPE)
 
+    def _meet(self, pieces: list[str]) -> None:
+        """Encode those of some pieces that are new, together."""
+        for at in range(0, len(pieces), TOGETHER):
+            new = [x for x in pieces[at : at + TOGETHER] if x not in self.pieces]
+            if len(self.pieces) + len(new) > KEPT:
+                self.pieces.clear()
+            plain = [x for x in new if x.isascii() and x.isprintable()]
+            joined = "\n".join(plain)
+            if plain and not self.special.search(joined):
+                raw = b"".join(map(self.words.__getitem__, _ASCII_WORDS.findall(joined.lower())))
+                gaps = np.flatnonzero(np.frombuffer(raw, ID_TYPE) == GAP) * ID_TYPE.itemsize
+                starts = [0, *(gaps + ID_TYPE.itemsize).tolist()]
+                self.pieces.update((x, raw[i:j]) for x, i, j in zip(plain, starts, [*gaps.tolist(), len(raw)]))
+            odd = [x for x in new if not x.isascii()]
+            for x, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+                self.pieces[x] = _packed(found.ids)
+
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts without odd white space, one after the other, and how many each has."""
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        each = [self.pieces[x] for x in coded.dictionary.to_pylist()]
+        pieces = coded.dictionary.to_pylist()
+        self._meet(pieces)
+        each = [self.pieces[x] for x in pieces]
         known = np.frombuffer(b"".join(each), ID_TYPE)
-        sizes = np.array([len(x) // ID_TYPE.itemsize for x in each], np.int64)
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // ID_TYPE.itemsize
         at = coded.indices.to_numpy()
         n = sizes[at]
         ends = np.cumsum(n)
-        shift = (np.cumsum(sizes) - sizes)[at] - (ends - n)
-        ids = known[np.repeat(shift, n) + np.arange(len(shift) and ends[-1])]
+        # narrow places where they suffice: their arrays are as long as the ids
+        place = np.int32 if len(known) + n.sum() < 1 << 31 else np.int64
+        shift = ((np.cumsum(sizes) - sizes)[at] - (ends - n)).astype(place)
+        ids = known.take(np.repeat(shift, n) + np.arange(len(shift) and ends[-1], dtype=place))
         ends = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(split).to_numpy())]
         return ids, np.diff(ends, prepend=0)
 

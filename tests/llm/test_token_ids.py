@@ -48,3 +48,21 @@ def test_a_piece_is_looked_up_once_a_batch():
     encoder.pieces = _Counted()
     assert [x.tolist() for x in encoder.documents(pa.array(["a bb a"] * 500))] == [[1, 2, 1, ti.END]] * 500
     assert encoder.pieces.lookups == 2
+
+
+def test_new_pieces_are_encoded_together(monkeypatch):
+    path = public_tokenizers.path(ti.VOCABULARY)
+    plain, encoder = Tokenizer.from_file(path), ti.WordEncoder(path)
+    texts = _texts() + ["<|endoftext|>x 'sa It's a<|startoftext|> 'S <|END", "Ça ça ΑΣ İx é ½ a\x00b"] * 2
+    wanted = [[*(plain.encode(t, add_special_tokens=False).ids if t else []), ti.END] for t in texts]
+    whole = pa.array(texts, pa.string())
+    for together, kept in ((ti.TOGETHER, ti.KEPT), (3, ti.KEPT), (7, 20)):
+        monkeypatch.setattr(ti, "TOGETHER", together)
+        monkeypatch.setattr(ti, "KEPT", kept)
+        assert [x.tolist() for x in ti.WordEncoder(path).documents(whole)] == wanted
+    single = []
+    monkeypatch.setattr(encoder, "pieces", ti._Pieces(lambda piece: single.append(piece)))
+    assert [x.tolist() for x in encoder.documents(pa.array(["one two", "deux été"]))] == [
+        [*plain.encode(t, add_special_tokens=False).ids, ti.END] for t in ("one two", "deux été")
+    ]
+    assert single == []
