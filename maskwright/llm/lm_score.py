@@ -39,6 +39,8 @@ ORDER = 3
 CHUNK_BYTES = 5 << 20
 TOTAL = np.uint64(0)  # the key under which all words are counted
 BUCKET_CHUNKS = 16  # chunks whose answers are in one file
+GROUP_BYTES = 4 << 20  # of a row group of answers: a chunk reads the groups it lies in, not the whole file
+TEXTS_AT_ONCE = 256  # that leave an Arrow batch together
 BLOCKS = "part int, chunk long, keys binary, n binary"
 SCORES = "doc_id long, n_words long, n_pairs_known long, n_words_unseen long, log10_score double, n_known array<long>, log10_scores array<double>, score_per_word double"
 
@@ -147,8 +149,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
     def name() -> int:
         return xxhash.xxh64_intdigest(f"{place[0]}\n{place[1]}\n{k}".encode()) >> 1
 
-    for b in batches:
-        for i, t, *at in zip(*(c.to_pylist() for c in b.columns)):
+    for part in (b.slice(at, TEXTS_AT_ONCE) for b in batches for at in range(0, b.num_rows, TEXTS_AT_ONCE)):
+        for i, t, *at in zip(*(c.to_pylist() for c in part.columns)):
             if texts and (at != place or size >= most):
                 yield name(), ids, texts
                 ids, texts, size, k = [], [], 0, k + 1
@@ -224,7 +226,8 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: floa
     place = shared_folder(spark, "lm-answers")
     answers = rows.mapInArrow(ask, BLOCKS).groupBy("part").applyInArrow(answer, "part int, chunk long, n binary")
     named = answers.withColumn("bucket", F.pmod("chunk", F.lit(buckets)).cast("int"))
-    named.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk", "part").write.partitionBy("bucket").parquet(place)
+    ordered = named.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk", "part")
+    ordered.write.partitionBy("bucket").option("parquet.block.size", GROUP_BYTES).parquet(place)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 4 + [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64()]

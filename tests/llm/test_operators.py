@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,22 @@ def test_scores_of_awkward_rows(docs):
     assert lm.scores(docs([(1, "x")]).where("doc_id < 0")).collect() == []
 
 
+def test_a_chunk_reads_few_answers_of_others(docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(lm, "GROUP_BYTES", 1 << 13, raising=False)
+    monkeypatch.setattr(lm, "shared_folder", lambda spark, purpose: str(tmp_path / purpose))
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(600))) for i in range(60)]
+    assert shown_scores(lm.scores(docs(rows)).collect()) == slow_scores(rows)
+    files = [pq.ParquetFile(x).metadata for x in sorted((tmp_path / "lm-answers").rglob("*.parquet"))]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    # row groups far below a file of 16 chunks, and apart by chunk
+    assert len(groups) >= 4 * len(files)
+    assert max(g.num_rows for g in groups) <= max(m.num_rows for m in files) / 2
+    chunk = next(i for i in range(groups[0].num_columns) if groups[0].column(i).path_in_schema == "chunk")
+    assert all(g.column(chunk).statistics.has_min_max for g in groups)
+
+
 def slow_ngram_scores(rows, order):
     words = [(i, re.findall(r"\w+", (t or "").lower())) for i, t in rows]
     runs = lambda d, n: zip(*(d[k:] for k in range(n)))
