@@ -34,8 +34,14 @@ KEPT = 600_000  # pieces a worker keeps before it starts anew; a bound on memory
 
 GAP = np.iinfo(ID_TYPE).max  # between the ids of pieces encoded together; no id
 
-# fixed values: the word pattern of the vocabulary, for lowered printable ASCII, with lines apart
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\n]+|\n")
+# fixed values: the word pattern of the vocabulary, for lowered plain pieces, with lines apart
+_PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff\n]+|\n")
+# plain: printable ASCII and the letters of Latin-1, which are composed and lowered one by one
+_NOT_PLAIN = re.compile(r"[^\n\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+# the byte-level spelling of those letters in lower case: a sign for each byte of their UTF-8
+_SPELLED = {
+    c: "".join(chr(b + 162 if b < 0xA1 else 323 if b == 0xAD else b) for b in chr(c).encode()) for c in range(0xDF, 0x100)
+}
 # white space at which Python splits and the tokenizer may not
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD_ARROW = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -71,21 +77,24 @@ class WordEncoder:
             raise ValueError("the vocabulary has more ids than ID_TYPE can hold")
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.model = self.tokenizer.model
         self.words = _Pieces(self._word)
         self.pieces = _Pieces(self._piece)
 
     def _word(self, word: str) -> bytes:
         if word == "\n":
             return _packed([GAP])
-        return _packed([t.id for t in self.tokenizer.model.tokenize(word)])
+        if not word.isascii():
+            word = word.translate(_SPELLED)
+        return _packed([t.id for t in self.model.tokenize(word)])
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
-        if not piece.isascii() or not piece.isprintable() or self.special.search(piece):
+        if _NOT_PLAIN.search(piece) or self.special.search(piece):
             return self._whole(piece)
-        return b"".join(map(self.words.__getitem__, _ASCII_WORDS.findall(piece.lower())))
+        return b"".join(map(self.words.__getitem__, _PLAIN_WORDS.findall(piece.lower())))
 
     def raw(self, text: str | None) -> bytes:
         if not text:
@@ -103,28 +112,31 @@ class WordEncoder:
 
     def _meet(self, pieces: list[str]) -> None:
         """Encode those of some pieces that are new, together."""
+        kept = self.pieces
         for at in range(0, len(pieces), TOGETHER):
-            new = [x for x in pieces[at : at + TOGETHER] if x not in self.pieces]
-            if len(self.pieces) + len(new) > KEPT:
-                self.pieces.clear()
-            plain = [x for x in new if x.isascii() and x.isprintable()]
+            plain, odd = [x for x in pieces[at : at + TOGETHER] if x not in kept], []
+            if len(kept) + len(plain) > KEPT:
+                kept.clear()
             joined = "\n".join(plain)
+            if _NOT_PLAIN.search(joined):
+                odd = [x for x in plain if _NOT_PLAIN.search(x)]
+                plain = [x for x in plain if not _NOT_PLAIN.search(x)]
+                joined = "\n".join(plain)
             if plain and not self.special.search(joined):
-                raw = b"".join(map(self.words.__getitem__, _ASCII_WORDS.findall(joined.lower())))
+                raw = b"".join(map(self.words.__getitem__, _PLAIN_WORDS.findall(joined.lower())))
                 gaps = np.flatnonzero(np.frombuffer(raw, ID_TYPE) == GAP) * ID_TYPE.itemsize
                 starts = [0, *(gaps + ID_TYPE.itemsize).tolist()]
-                self.pieces.update((x, raw[i:j]) for x, i, j in zip(plain, starts, [*gaps.tolist(), len(raw)]))
-            odd = [x for x in new if not x.isascii()]
-            for x, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-                self.pieces[x] = _packed(found.ids)
+                kept.update((x, raw[i:j]) for x, i, j in zip(plain, starts, [*gaps.tolist(), len(raw)]))
+            for x, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else ()):
+                kept[x] = _packed(found.ids)
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts without odd white space, one after the other, and how many each has."""
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times faster than to_pylist
         self._meet(pieces)
-        each = [self.pieces[x] for x in pieces]
+        each = list(map(self.pieces.__getitem__, pieces))
         known = np.frombuffer(b"".join(each), ID_TYPE)
         sizes = np.fromiter(map(len, each), np.int64, len(each)) // ID_TYPE.itemsize
         at = coded.indices.to_numpy()

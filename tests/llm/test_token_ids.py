@@ -66,3 +66,22 @@ def test_new_pieces_are_encoded_together(monkeypatch):
         [*plain.encode(t, add_special_tokens=False).ids, ti.END] for t in ("one two", "deux été")
     ]
     assert single == []
+
+
+def test_latin_letters_take_the_plain_path():
+    path = public_tokenizers.path(ti.VOCABULARY)
+    plain, encoder = Tokenizer.from_file(path), ti.WordEncoder(path)
+    letters = [chr(c) for c in range(0x21, 0x180)] + ["e\u0301", "A\u030a", "\u0130", "\u1e9e"]
+    rng = random.Random(11)
+    texts = [f"x{c}y {c} {c}{c.upper()}'S 4{c}5" for c in letters]
+    texts += [" ".join("".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(20)) for _ in range(300)]
+    texts += ["été", "été,Straße", "Ñandú's", "a\xadb é", "é\u0301t"]
+    wanted = [[*plain.encode(t, add_special_tokens=False).ids, ti.END] for t in texts]
+    assert [x.tolist() for x in encoder.documents(pa.array(texts))] == wanted
+    assert [encoder.document(t).tolist() for t in texts] == wanted
+    whole = []
+    fresh = ti.WordEncoder(path)
+    fresh.tokenizer = type("Never", (), {"encode_batch_fast": lambda _, batch, **__: whole.extend(batch) or [plain.encode(x) for x in batch]})()
+    some = ["Ça été", "GRÜẞE Größe ÀÉÎÕÜ ÿ", "naïve's 42ñ", "×2 漢"]
+    assert [x.tolist() for x in fresh.documents(pa.array(some))] == [[*plain.encode(t, add_special_tokens=False).ids, ti.END] for t in some]
+    assert sorted(whole) == ["GRÜẞE", "×2", "漢"]
