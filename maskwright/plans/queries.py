@@ -15,7 +15,7 @@ from ..operators import assigned as asg
 from ..operators import blocks as bl, detectors as dt, dictionaries as dc, evaluate as ev, redact as rd
 from ..operators import residual as rl
 from ..operators import runs as rn
-from ..session import shared_folder, spread, stored
+from ..session import dealt_texts, shared_folder, spread, stored
 from ..sources import fixtures as fx
 from ..sources import readers as rs
 from ..streaming import redaction as st
@@ -28,7 +28,7 @@ KNOWN = {"known_names": fx.KNOWN_NAMES, "known_companies": fx.KNOWN_COMPANIES}
 
 
 def text_table(spark: SparkSession, folder: str, *names: str) -> DataFrame:
-    return spread(rs.text_blocks(spark, folder, names), *KEYS)
+    return spread(dealt_texts(rs.text_blocks(spark, folder, names)), *KEYS)
 
 
 def fixture_texts(spark: SparkSession, folder: str, *names: str) -> DataFrame:
@@ -46,7 +46,7 @@ def fixture_texts(spark: SparkSession, folder: str, *names: str) -> DataFrame:
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """All texts: the three text tables and the derived ones."""
-    texts = rs.text_blocks(spark, folder)
+    texts = dealt_texts(rs.text_blocks(spark, folder))
     return spread(texts.unionByName(fixture_texts(spark, folder)), *KEYS)
 
 

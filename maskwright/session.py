@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SPREAD = "spark.maskwright.spread"
 ROWS_A_TASK = 20_000  # of narrow rows from which texts are derived
+TEXTS_A_TASK = 4_000  # of rows of text tables
 
 
 def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -57,15 +58,28 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give an input one partition per core, if the session asks for it.
 
     Text rules are CPU-bound, and a file with one row group is read by one task.  Local
-    sessions of this module ask; elsewhere tables are taken as they are split, without a shuffle.
+    sessions of this module ask; elsewhere texts are dealt by number (``dealt_texts``).
     """
-    if df.isStreaming or df.sparkSession.conf.get(SPREAD, "false") != "true":
+    if df.isStreaming or not _asks_for_spread(df):
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
+def _asks_for_spread(df: DataFrame) -> bool:
+    return df.sparkSession.conf.get(SPREAD, "false") == "true"
+
+
+def dealt_texts(df: DataFrame) -> DataFrame:
+    """Deal the rows of text tables, unless the session has them spread anyway.
+
+    Files are split no finer than by row group, and the rules take far longer on a text than reading and
+    sending it does; so no task may have to search all texts of a file.
+    """
+    return df if _asks_for_spread(df) else dealt(df, TEXTS_A_TASK)
+
+
 def dealt(df: DataFrame, rows: int = ROWS_A_TASK) -> DataFrame:
-    """Deal narrow rows evenly to tasks of about ``rows`` rows each.
+    """Deal rows evenly to tasks of about ``rows`` rows each.
 
     Files are split by bytes and no finer than by row group, so a column of keys comes in one task,
     whatever is derived from each key.  Rows are dealt in turn, not by key: a frequent key or null

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from maskwright.operators import blocks as bl, detectors as dt
-from maskwright.session import dealt
+from maskwright.plans import queries as q
+from maskwright.session import SPREAD, dealt
 from maskwright.sources import fixtures as fx
 
 
@@ -24,6 +25,21 @@ def test_derived_texts_come_in_many_tasks(spark, tmp_path):
     assert texts.count() == 50_000 and max(_sizes(texts)) < 20_000
 
 
+def test_texts_of_one_row_group_come_in_many_tasks(spark, tmp_path):
+    """Without the spread setting, as on a cluster."""
+    rows = spark.range(20_000, numPartitions=1).withColumn("text", F.when(F.col("id") % 3 > 0, F.lit("mail a@b.example.org")))
+    rows.withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set(SPREAD, "false")
+    try:
+        texts = q.text_table(spark, str(tmp_path), "documents")
+        sizes = _sizes(texts)
+    finally:
+        spark.conf.set(SPREAD, "true")
+    assert sum(sizes) == 20_000 and max(sizes) < 6_000
+    assert texts.select("doc_id").distinct().count() == 20_000
+    assert texts.where("text is null").count() == len(range(0, 20_000, 3))
+
+
 def test_a_part_is_parsed_once(spark):
     raw = spark.createDataFrame([(1, '{"paragraphs":["a"]}', "[7]", '{"cells":null}')], "doc_id long, body string, header string, footer string")
     read = bl.parts(raw, ["doc_id"])
