@@ -31,6 +31,7 @@ ID_TYPE = np.dtype("<u2")  # ids of vocabularies below 65,536 entries
 AT_ONCE = 1 << 22  # bytes of text whose pieces are made distinct together
 TOGETHER = 4096  # new pieces that are encoded together
 KEPT = 600_000  # pieces a worker keeps before it starts anew; a bound on memory only
+WORDS_KEPT = 150_000  # the same of words, which only new pieces look up
 
 GAP = np.iinfo(ID_TYPE).max  # between the ids of pieces encoded together; no id
 
@@ -50,12 +51,12 @@ _ODD_ARROW = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 class _Pieces(dict):
     """Piece -> its ids as bytes."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int | None = None):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most or KEPT
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT:
+        if len(self) >= self.most:
             self.clear()
         ids = self[piece] = self.encode(piece)
         return ids
@@ -78,7 +79,7 @@ class WordEncoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.model = self.tokenizer.model
-        self.words = _Pieces(self._word)
+        self.words = _Pieces(self._word, WORDS_KEPT)
         self.pieces = _Pieces(self._piece)
 
     def _word(self, word: str) -> bytes:
