@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions import bloom, fixed_values as fv, spans as sp, validators as v
 from ..session import stored
+from . import redact as rd
 
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
@@ -138,6 +139,27 @@ def standing(
     )
 
 
+def standing_in_documents(
+    found: DataFrame, keys: Sequence[str], scope: Sequence[str], text: str = "text", entities: str = "entities",
+) -> DataFrame:
+    """(keys, text, pii_type, value): the values of a row's ``entities`` that stand in a redacted text of its scope.
+
+    A document of one row is searched within the row; only documents of several are searched by
+    ``standing``.  Rows with a null key have no leaks; each of several rows of the same keys has those of all.
+    """
+    sp.reserve(found, "_g")
+    rows = found.withColumn("_g", F.xxhash64(*scope))
+    several = stored(rows.groupBy("_g").agg(F.count("*").alias("n")).where("n > 1").select("_g"), "several-blocks")
+    named = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    own = rd.residual(rows.where(named), entities, text, [*keys, text, "_g"]).where(F.col("value") != "")
+    alone = own.join(several, "_g", "left_anti").select(*keys, text, "pii_type", "value")
+    table, n_words = bloom.words(several, "_g", several.count())
+    near = bloom.passing(rows, "_g", stored(table, "several-filter"), n_words)
+    among = stored(near.join(several, "_g", "left_semi").select(*keys, text, entities), "blocks-of-several")
+    left = standing(among.select(*keys, text), keys, originals(among, scope, entities), scope, text)
+    return alone.unionByName(left.join(among.select(*keys, text), list(keys)).select(*keys, text, "pii_type", "value"))
+
+
 def reason(text: Column, value: Column) -> Column:
     """Why a value's first place in a redacted text was spared.
 

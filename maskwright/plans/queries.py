@@ -384,25 +384,23 @@ def redact_corpus_assigned(spark, folder):
 
 
 def _redacted_corpus(spark, folder):
-    """(found, redacted): the corpus with its entities, and the texts after redaction, both written."""
-    found = stored(corpus_entities(spark, folder).select(*KEYS, "text", "entities"), "entities")
-    return found, stored(rd.redact(found).select(*KEYS, "text"), "redacted")
+    """The texts after redaction with the values found in each, written in one pass."""
+    values = F.array_distinct(F.transform("entities", lambda e: F.struct(e["pii_type"].alias("pii_type"), e["value"].alias("value"))))
+    redacted = sp.splice(F.col("text"), F.col("entities"), lambda e: e["replacement"])
+    return stored(corpus_entities(spark, folder).select(*KEYS, redacted.alias("text"), values.alias("entities")), "redacted")
 
 
 def residual_leaks_document(spark, folder):
     """Originals of a document that still stand in any of its blocks, and why."""
-    found, redacted = _redacted_corpus(spark, folder)
-    scope = KEYS[:2]
-    left = rl.standing(redacted, KEYS, rl.originals(found, scope), scope)
-    return left.join(redacted, KEYS).select(
+    return rl.standing_in_documents(_redacted_corpus(spark, folder), KEYS, KEYS[:2]).select(
         *KEYS, "pii_type", "value", rl.reason(F.col("text"), F.col("value")).alias("reason")
     )
 
 
 def residual_leaks_corpus(spark, folder):
     """Originals that still stand anywhere in the corpus, with the blocks that hold them."""
-    found, redacted = _redacted_corpus(spark, folder)
-    left = rl.standing(redacted, KEYS, rl.originals(found))
+    redacted = _redacted_corpus(spark, folder)
+    left = rl.standing(redacted.select(*KEYS, "text"), KEYS, rl.originals(redacted))
     return left.groupBy("pii_type", "value").agg(F.count("*").alias("n_blocks"))
 
 

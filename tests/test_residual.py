@@ -89,3 +89,20 @@ def test_pieces_are_tested_in_generated_code(spark):
     hits = rl._hits(body, KEYS, {"digit": [8]}, piece.collect(), *bloom.words(piece, "h", 1))
     assert "lambda" not in hits._jdf.queryExecution().optimizedPlan().toString()
     assert sorted({r.doc_id for r in hits.collect()}) == list(range(50))
+
+
+def test_documents_of_one_row_are_searched_in_the_row(spark, monkeypatch):
+    """The search by pieces sees documents of several rows only; null keys, repeats and odd scopes as before."""
+    e = "array<struct<pii_type:string,value:string>>"
+    rows = [("s", i, 0, f"call 98765{i:05} now", [("PHONE", f"98765{i:05}"), ("PHONE", "98765")]) for i in range(30)]
+    rows += [("t", 1, 0, "x Tom Rao", [("NAME", "Tom")]), ("t", 1, 1, "Tom", [("NAME", "Tom Rao"), ("NAME", "")])]
+    rows += [("t", 2, None, "Asha", [("NAME", "Asha")]), ("t", None, 0, "Asha", [("NAME", "Asha")]), ("t", 3, 0, None, None)]
+    rows += [("t", 4, 0, "Asha", [("NAME", "Asha")])] * 2 + [("t", 5, None, "x", [("NAME", "Asha")]), ("t", 5, 1, "Asha", [])]
+    found = spark.createDataFrame(rows, f"source string, doc_id long, block_id long, text string, entities {e}")
+    seen, search = [], rl.standing
+    monkeypatch.setattr(rl, "standing", lambda blocks, *a, **k: seen.append(blocks.count()) or search(blocks, *a, **k))
+    got = sorted(tuple(r) for r in rl.standing_in_documents(found, KEYS, KEYS[:2]).collect())
+    want = [(*r[:4], k, v) for r in rows[:30] for k, v in r[4]]
+    want += [("t", 1, 0, "x Tom Rao", "NAME", "Tom"), ("t", 1, 0, "x Tom Rao", "NAME", "Tom Rao"), ("t", 1, 1, "Tom", "NAME", "Tom")]
+    want += [("t", 4, 0, "Asha", "NAME", "Asha")] * 2 + [("t", 5, 1, "Asha", "NAME", "Asha")]
+    assert got == sorted(want) and seen == [6]
