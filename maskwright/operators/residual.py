@@ -1,20 +1,21 @@
 """Originals that still stand in redacted texts of their document, or anywhere in a corpus.
 
-Every text that contains a value contains the value's pieces too.  A value's pieces are the
-characters from each start of a word inside it; a text that holds the value has a word starting
-at the same place, so only starts of words are looked up in texts.  A value that is one unbroken
-word has the piece it begins with, which is looked up at every character of the same kind.
-
-1. Pieces of all values go into a Bloom filter; texts are cut into their own pieces, a row each, of which
-   only those that pass it stay, so texts without candidates emit next to nothing.  Cutting is one regex pass a
-   kind, and rows are hashed and tested in generated code, which lambdas over arrays are not; the filter is a broadcast table.  A kind and size
-   with a few pieces in all is looked up piece by piece instead, without cutting.
-2. Each value keeps the piece that the fewest texts have.  A piece that no text has ends the search.
-3. Values and texts are joined on that piece's hash (and the scope), a long, then the text itself is
-   searched.  Texts are never join keys, and are joined by their keys alone.
-
-A frequent piece is a frequent key of that join, whose partitions adaptive execution splits; it is chosen only
-where a value has no rarer one.
+A value has one anchor: the first start of a word inside it, or its beginning where it holds none.  What
+stands before the anchor is the value's head, the rest its tail.  A text that contains the value has a word
+starting at the same place, so only starts of words are looked up in texts.  A value that is one unbroken
+word is looked up at every character of the kind that it begins with.
+
+1. The beginnings of all tails, one a value, go into a Bloom filter; texts are cut into what follows each place, a row
+   each, of which only those that pass it stay, so texts without candidates emit next to nothing.  Cutting is one regex
+   pass a kind, and rows are hashed and tested in generated code, which lambdas over arrays are not; the filter is a
+   broadcast table.  A kind and size with a few beginnings in all is looked up one by one instead, without cutting.
+2. What passed is cut to the lengths that the tails of that beginning have, and joined to the tails by its hash.
+   So many tails that begin alike are not held against many texts: a pair that is left has the tail, as far as
+   ``WINDOW`` characters show it.
+3. The text itself is searched for the tail, and what stands there before it is joined to the heads, again
+   by hash.  Texts are never join keys, and are joined by their keys alone.
+
+A frequent tail is a frequent key of these joins, whose partitions adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -30,62 +31,62 @@ from . import redact as rd
 
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
-LENGTHS = (12, 8, 5, 3, 2, 1)  # characters of a piece: the longest that fits
-STARTS = "start"
-#: Where pieces of each kind begin in a text.
+LENGTHS = (12, 9, 7, 5, 3, 2, 1)  # characters of a piece, the beginning of a tail: the longest that fits
+WINDOW = 48  # characters of a tail that are looked at before the text itself is searched
+STARTS, NUMBER = "start", "number"
+#: Where pieces of each kind begin in a text; those of numbers are digits throughout.
 KINDS = {
-    STARTS: rf"(?<={NOT_WORD})(?={WORD})", "digit": r"(?=\p{Nd})", "letter": r"(?=[\p{L}_])", "other": "",
+    STARTS: rf"{NOT_WORD}(?={WORD})", NUMBER: "", "digit": r"(?=\p{Nd})", "letter": r"(?=[\p{L}_])", "other": "",
 }
 FEW = 16  # pieces of a kind and size, by estimate, up to which they are looked up one by one
-MAX_STARTS = 8  # starts of words of a value that are weighed against each other
 
 
-def _hash(kind: str, size: int, piece: Column) -> Column:
-    return F.xxhash64(F.lit(kind), F.lit(size), piece)
+def _hash(kind: str, size: int, piece: Column, scope: Sequence[str] = ()) -> Column:
+    return F.xxhash64(F.lit(kind), F.lit(size), piece, *scope)
+
+
+def _quoted(literal: Column) -> Column:
+    return F.concat(F.lit(r"\Q"), F.replace(literal, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
 def _hits(
     body: DataFrame, keys: Sequence[str], sizes: dict[str, list[int]], listed: Sequence[Row], table: DataFrame, n_words: int,
+    scope: Sequence[str] = (),
 ) -> DataFrame:
-    """(keys, _h): the hashes of pieces of ``_text`` that may be a value's, repeats included.
+    """(keys, _h, _seen): the hashes of pieces of ``_text`` that may be a value's, and what stands from there.
 
-    ``sizes`` are the lengths of pieces to cut at the places of each kind; ``listed`` pieces are looked up.
+    ``sizes`` are the lengths of pieces to cut at the places of each kind; ``listed`` pieces are looked
+    up, and hold for any scope.
     """
-    cut = []
+    parts = []
     for kind, lengths in sizes.items():
-        tails = F.regexp_extract_all("_text", F.lit(rf"(?s){KINDS[kind]}(?=(.{{{min(lengths)},{max(lengths)}}}))"), F.lit(1))
-        each = sp.unnest(body, keys, F.array_distinct(tails), "_tail")
-        hashes = [F.when(F.length("_tail") >= n, _hash(kind, n, F.substring("_tail", 1, n))) for n in lengths]
-        cut.append(sp.unnest(each, keys, F.array(*hashes), "_h"))
-    parts = [bloom.passing(c, "_h", table, n_words) for c in cut]
+        least, char = min(lengths), r"\p{Nd}" if kind == NUMBER else "."
+        rest = F.regexp_extract_all("_text", F.lit(rf"(?s){KINDS[kind]}(?=({char}{{{least}}}.{{0,{WINDOW - least}}}))"), F.lit(1))
+        each = sp.unnest(body, keys, F.array_distinct(rest), "_seen")
+        hashes = [F.when(F.length("_seen") >= n, _hash(kind, n, F.substring("_seen", 1, n), scope)) for n in lengths]
+        parts.append(bloom.passing(sp.unnest(each, [*keys, "_seen"], F.array(*hashes), "_h"), "_h", table, n_words))
     if listed:
-        found = F.array(*[F.when(F.contains("_text", F.lit(r.piece)), F.lit(r.h)) for r in listed])
-        parts.append(sp.unnest(body, keys, found, "_h"))
+        held = F.array(*[F.when(F.contains("_text", F.lit(r.piece)), F.struct(F.lit(r.h).alias("h"), F.lit(r.piece).alias("piece"))) for r in listed])
+        met = sp.unnest(body, [*keys, "_text"], held, "_p")
+        rest = F.regexp_extract_all("_text", F.concat(F.lit("(?s)(?=("), _quoted(F.col("_p.piece")), F.lit(f".{{0,{WINDOW}}}))")), F.lit(1))
+        seen = sp.unnest(met.withColumn("_h", F.col("_p.h")), [*keys, "_h"], F.array_distinct(rest), "_seen")
+        parts.append(seen.select(*keys, F.substring("_seen", 1, WINDOW).alias("_seen"), "_h"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _pieces(value: Column) -> Column:
-    """The pieces of a value: array<struct<kind, size, h, piece>>."""
-
-    def sized(kind: str, rest: Column) -> Column:
-        fit = F.lit(None).cast("struct<kind:string,size:int,h:bigint,piece:string>")
-        for size in reversed(LENGTHS):
-            piece = F.substring(rest, 1, size)
-            made = F.struct(
-                F.lit(kind).alias("kind"), F.lit(size).alias("size"), _hash(kind, size, piece).alias("h"), piece.alias("piece"),
-            )
-            fit = F.when(F.length(rest) >= size, made).otherwise(fit)
-        return fit
-
-    tails = F.regexp_extract_all(value, F.lit(rf"(?s){KINDS[STARTS]}(?=(.{{1,{LENGTHS[0]}}}))"), F.lit(1))
-    longest = F.slice(F.array_sort(tails, lambda a, b: F.length(b) - F.length(a)), 1, MAX_STARTS)
-    first = F.substring(value, 1, 1)
-    whole = (
-        F.when(F.rlike(first, F.lit(r"\p{Nd}")), sized("digit", value))
-        .when(F.rlike(first, F.lit(r"[\p{L}_]")), sized("letter", value))
-        .otherwise(sized("other", value))
+def _anchored(values: DataFrame) -> DataFrame:
+    """Values with their head, tail, kind of place, and the size of the tail's piece."""
+    head = F.regexp_extract("value", rf"(?s)\A(.*?{NOT_WORD})(?={WORD})", 1)
+    tail = F.substring("value", F.length("_head") + 1, F.length("value"))
+    size = reduce(lambda fit, n: F.when(F.length("_tail") >= n, n).otherwise(fit), reversed(LENGTHS), F.lit(None).cast("int"))
+    kind = (
+        F.when(F.col("_head") != "", STARTS)
+        .when(F.rlike(F.substring("_tail", F.lit(1), F.col("size")), F.lit(r"\A\p{Nd}+\z")), NUMBER)
+        .when(F.rlike(F.substring("value", 1, 1), F.lit(r"\p{Nd}")), "digit")
+        .when(F.rlike(F.substring("value", 1, 1), F.lit(r"[\p{L}_]")), "letter")
+        .otherwise("other")
     )
-    return F.when(F.size(tails) > 0, F.transform(longest, lambda t: sized(STARTS, t))).otherwise(F.array(whole))
+    return values.withColumn("_head", head).withColumn("_tail", tail).withColumn("size", size).withColumn("kind", kind)
 
 
 def originals(df: DataFrame, keys: Sequence[str] = (), entities: str = "entities") -> DataFrame:
@@ -102,39 +103,50 @@ def standing(
     corpus.  ``values`` holds scope, pii_type and value.  Empty and null values and null texts are
     in nothing; rows equal in keys and text count once.
     """
-    taken = {"_id", "_h", "_piece", "_n", "_text", "_value"} & {*blocks.columns, *values.columns}
+    taken = {"_h", "_p", "_seen", "_long", "_low", "_high", "_th", "_vh", "_head", "_tail", "_lead", "_text", "_value"} & {*blocks.columns, *values.columns}
     if taken:
         raise ValueError(f"reserved column names: {sorted(taken)}")
     spark = blocks.sparkSession
+    parts = _anchored(values.where(F.col("value") != "").select(*scope, "pii_type", "value").distinct())
+    piece = F.substring("_tail", F.lit(1), F.col("size"))
     wanted = stored(
-        values.where(F.col("value") != "").select(*scope, "pii_type", "value").distinct()
-        .withColumn("_id", F.monotonically_increasing_id()),
+        parts.withColumns({
+            "piece": piece,
+            "_lead": F.length("_head"),
+            "_long": F.least(F.length("_tail"), F.lit(WINDOW)),
+            "_vh": F.xxhash64("value"),
+            "plain": F.xxhash64("kind", "size", piece),
+            "_h": F.xxhash64("kind", "size", piece, *scope),
+            "_th": F.xxhash64(F.substring("_tail", 1, WINDOW), *scope),
+        }).withColumnRenamed("value", "_value").drop("_head"),
         "originals",
     )
-    pieces = stored(sp.unnest(wanted, [*scope, "_id"], _pieces(F.col("value")), "_piece"), "pieces")
-    shape = pieces.groupBy("_piece.kind", "_piece.size").agg(F.approx_count_distinct("_piece.h").alias("n")).collect()
+    shape = wanted.groupBy("kind", "size").agg(F.approx_count_distinct("plain").alias("n"), F.approx_count_distinct("_h").alias("scoped")).collect()
     body = blocks.select(*keys, F.col(text).alias("_text"))
     if not shape:
         return spark.createDataFrame([], body.drop("_text").schema).join(values.select("pii_type", "value").limit(0))
     few, sizes = F.lit(False), {}
     for r in shape:
-        if r.n <= FEW:
+        if r.n <= FEW and not scope:
             few |= (F.col("kind") == r["kind"]) & (F.col("size") == r["size"])
         else:
             sizes.setdefault(r["kind"], []).append(r["size"])
-    listed = pieces.select("_piece.*").where(few).select("h", "piece").distinct().collect()
-    table, n_words = bloom.words(pieces.select(F.col("_piece.h").alias("h")), "h", sum(r.n for r in shape))
-    hits = stored(_hits(body, keys, sizes, listed, stored(table, "piece-filter"), n_words).distinct(), "hits")
-    counted = hits.groupBy("_h").agg(F.count("*").alias("_n"))
-    rarest = (
-        pieces.select("_id", F.col("_piece.h").alias("_h")).join(counted, "_h", "left")
-        .groupBy("_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_h")).alias("_piece"))
-        .where("_piece.n > 0").select("_id", "_piece._h")
+    listed = wanted.where(few).select(F.col("_h").alias("h"), "piece").distinct().collect()
+    table, n_words = bloom.words(wanted, "_h", sum(r.scoped for r in shape))
+    hits = _hits(body, keys, sizes, listed, stored(table, "piece-filter"), n_words, scope)
+    lengths = wanted.groupBy("_h", "_long").agg(F.min("_th").alias("_low"), F.max("_th").alias("_high"))
+    cut = F.when(F.length("_seen") >= F.col("_long"), F.xxhash64(F.substring("_seen", F.lit(1), F.col("_long")), *scope))
+    met = hits.join(lengths, "_h").withColumn("_th", cut).where(F.col("_th").between(F.col("_low"), F.col("_high")))
+    tails = wanted.select(*scope, "_th", "_tail", "_lead").distinct()
+    found = stored(met.select(*keys, "_th").join(tails, ["_th", *scope]).select(*keys, "_tail", "_lead").distinct(), "candidates")
+    before = F.concat(F.lit("(?s)(?=(.{"), F.col("_lead").cast("string"), F.lit("})"), _quoted(F.col("_tail")), F.lit(")"))
+    heads = sp.unnest(
+        found.join(body, list(keys)), [*keys, "_tail"], F.array_distinct(F.regexp_extract_all("_text", before, F.lit(1))), "_head"
     )
-    chosen = wanted.join(rarest, "_id").select(*scope, "_h", "pii_type", F.col("value").alias("_value"))
-    pairs = stored(hits.join(chosen, ["_h", *scope]).select(*keys, "pii_type", "_value"), "candidates")
+    read = heads.select(*keys, F.concat("_head", "_tail").alias("_seen")).withColumn("_vh", F.xxhash64("_seen"))
     return (
-        pairs.join(body, list(keys)).where(F.contains("_text", F.col("_value")))
+        read.join(wanted.select(*scope, "pii_type", "_value", "_vh"), ["_vh", *scope])
+        .where((F.length("_seen") == F.length("_value")) & F.contains("_seen", F.col("_value")))
         .select(*keys, "pii_type", F.col("_value").alias("value")).distinct()
     )
 

@@ -106,3 +106,28 @@ def test_documents_of_one_row_are_searched_in_the_row(spark, monkeypatch):
     want += [("t", 1, 0, "x Tom Rao", "NAME", "Tom"), ("t", 1, 0, "x Tom Rao", "NAME", "Tom Rao"), ("t", 1, 1, "Tom", "NAME", "Tom")]
     want += [("t", 4, 0, "Asha", "NAME", "Asha")] * 2 + [("t", 5, 1, "Asha", "NAME", "Asha")]
     assert got == sorted(want) and seen == [6]
+
+
+def test_common_beginnings_are_no_pairs(spark, monkeypatch):
+    """Values that begin alike, in texts that hold the beginning, leave only pairs of text and tail."""
+    texts = spark.createDataFrame([("s", i, 0, f"at 12 Fern Lane, Plot {i}, Pune") for i in range(300)], "source string, doc_id long, block_id long, text string")
+    wanted = spark.createDataFrame([("A", f"{j} Fern Lane, Plot {i}, Pune") for i in range(0, 3000, 10) for j in (12, 13)], "pii_type string, value string")
+    rows, keep = {}, rl.stored
+
+    def stored(df, purpose):
+        out = keep(df, purpose)
+        rows[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(rl, "stored", stored)
+    got = {(r.doc_id, r.value) for r in rl.standing(texts, KEYS, wanted).collect()}
+    assert got == {(i, f"12 Fern Lane, Plot {i}, Pune") for i in range(0, 300, 10)}
+    assert rows["candidates"] <= 2 * len(got)
+
+
+def test_values_with_regex_signs(spark):
+    values = [r"a \Q.\E b", r"\E x", "(a) [b", "$1 ^", "x" * 60 + " " + "y" * 90, "1" * 70, "🙂 ab", "a🙂b cd"]
+    texts = spark.createDataFrame([("s", i, 0, f"q {v} z🙂 {v}") for i, v in enumerate(values)], "source string, doc_id long, block_id long, text string")
+    wanted = spark.createDataFrame([("K", v) for v in values] + [("K", "x" * 60 + " " + "y" * 91), ("K", "1" * 71)], "pii_type string, value string")
+    got = {(r.doc_id, r.value) for r in rl.standing(texts, KEYS, wanted).collect()}
+    assert got == set(enumerate(values))
