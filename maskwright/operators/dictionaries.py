@@ -4,7 +4,9 @@ A short dictionary is matched inside the row.  For a long one, the word sequence
 each text are joined to the entries on equality first, so a text is only searched for
 entries whose words it holds; the work does not grow with texts times entries.  Before a word
 sequence leaves the row, its first word and the whole of it have passed a Bloom filter of the
-entries, so what is exploded and shuffled grows with the hits, not with the texts.
+entries, so what is shuffled grows with the hits, not with the texts.  The filter is a literal of the plan for
+some thousand entries; for more it is a broadcast table, as every step of a plan is written out on the driver, its
+literals included, and words are tested in generated code.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import bloom, normalise as nm, spans as sp
+from ..session import stored
 from . import detectors
 
 WORD_CHARS = r"\p{L}\p{N}_"
@@ -21,8 +24,11 @@ WORD_RUN = rf"[{WORD_CHARS}]+"
 BETWEEN_WORDS = rf"[^{WORD_CHARS}]+"
 # Up to this many different first words are listed in the plan, more go into a Bloom filter.
 MAX_FIRST_WORDS = 1000
-# Broadcast entries only below this many bytes of text; otherwise the join shuffles.
-MAX_BROADCAST_BYTES = 32 * 1024 * 1024
+# Filters of up to this many entries are literals of the plan (32 KB each), of more broadcast tables.
+MAX_ROW_KEYS = 16_384
+# Broadcast entries only below this many bytes of text; otherwise the join shuffles.  The driver holds about ten
+# times as much, twice.
+MAX_BROADCAST_BYTES = 8 * 1024 * 1024
 RULE_OF_KIND = {"company": "company_known", "name": "name_known"}
 
 
@@ -73,6 +79,40 @@ def _sequences(words: str, sizes: Sequence[int], firsts: _Firsts) -> Column:
     return F.filter(F.flatten(sp.with_each(places, words, runs)), firsts.may_be)
 
 
+def _in_row(worded: DataFrame, keys: Sequence[str], sizes: Sequence[int], entries: DataFrame) -> DataFrame:
+    """``_likely`` for a smaller dictionary, without repeats."""
+    firsts = _Firsts(entries)
+    worded_sizes = [n for n in sizes if n]
+    sequences = [_sequences("_words", worded_sizes, firsts)] if worded_sizes else []
+    if 0 in sizes:
+        sequences.append(F.regexp_extract_all("_folded", F.lit(BETWEEN_WORDS), F.lit(0)))
+    return sp.unnest(
+        worded, keys, F.array_distinct(F.concat(*sequences)) if sequences else F.array().cast("array<string>"), "gram"
+    )
+
+
+def _likely(worded: DataFrame, keys: Sequence[str], sizes: Sequence[int], entries: DataFrame, n: int) -> DataFrame:
+    """(keys, gram): the runs of words, of the given lengths, that may be one of many entries, repeats included.
+
+    The filters are broadcast tables.  A size of 0 stands for what lies between two words.
+    """
+    hashed = entries.select(F.xxhash64("first_word").alias("first"), F.xxhash64("gram").alias("whole"), "n_words")
+    tables = {}
+    for c, keyed in (("first", hashed.where("n_words > 0")), ("whole", hashed)):
+        table, size = bloom.words(keyed, c, n)
+        tables[c] = stored(table, c + "-filter"), size
+    each = worded.select(*keys, "_words", F.posexplode_outer("_words").alias("_place", "_begin")).where(F.col("_begin").isNotNull())
+    begun = bloom.passing(each.withColumn("_first", F.xxhash64("_begin")), "_first", *tables["first"])
+    runs = [
+        F.when(F.col("_place") + m <= F.size("_words"), F.array_join(F.slice("_words", F.col("_place") + 1, F.lit(m)), " ")) for m in sizes if m
+    ]
+    grams = sp.unnest(begun, keys, F.array(*runs) if runs else F.array().cast("array<string>"), "gram")
+    if 0 in sizes:
+        between = F.array_distinct(F.regexp_extract_all("_folded", F.lit(BETWEEN_WORDS), F.lit(0)))
+        grams = grams.unionByName(sp.unnest(worded, keys, between, "gram"))
+    return bloom.passing(grams.withColumn("_whole", F.xxhash64("gram")), "_whole", *tables["whole"]).select(*keys, "gram")
+
+
 def _entry_pattern(term: Column) -> Column:
     """The whole-word, any-case pattern of an entry."""
     escaped = F.regexp_replace(term, rf"([^{WORD_CHARS}\s])", r"\\$1")
@@ -103,20 +143,18 @@ def known_terms(blocks: DataFrame, keys: Sequence[str], dictionary: DataFrame, t
     shape = entries.agg(
         F.sort_array(F.collect_set("n_words")).alias("sizes"),
         F.sum(F.octet_length("term")).alias("bytes"),
+        F.count("*").alias("n"),
     ).first()
-    firsts = _Firsts(entries)
-    entries = entries.drop("first_word")
+    worded = blocks.select(*keys, _folded_words(F.col(text)).alias("_words"), nm.fold(F.col(text)).alias("_folded"))
+    if shape.n > MAX_ROW_KEYS:
+        entries = stored(entries, "dictionary")
+        grams = _likely(worded, keys, shape.sizes, entries, shape.n)
+    else:
+        grams = _in_row(worded, keys, shape.sizes, entries)
+    entries = entries.select("kind", "term", "gram")
     if (shape.bytes or 0) <= MAX_BROADCAST_BYTES:
         entries = F.broadcast(entries)
 
-    worded = blocks.select(*keys, _folded_words(F.col(text)).alias("_words"), nm.fold(F.col(text)).alias("_folded"))
-    sizes = [n for n in shape.sizes if n]
-    sequences = [_sequences("_words", sizes, firsts)] if sizes else []
-    if 0 in shape.sizes:
-        sequences.append(F.regexp_extract_all("_folded", F.lit(BETWEEN_WORDS), F.lit(0)))
-    grams = sp.unnest(
-        worded, keys, F.array_distinct(F.concat(*sequences)) if sequences else F.array().cast("array<string>"), "gram"
-    )
     rule = F.when(F.col("kind") == "name", RULE_OF_KIND["name"]).otherwise(RULE_OF_KIND["company"])
     return (
         grams.join(entries, "gram")

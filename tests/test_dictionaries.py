@@ -71,3 +71,25 @@ def test_only_likely_sequences_leave_the_row(spark):
     assert hits <= grams.count() <= 2 * hits
     found = dc.detect_with_known(df, ["doc_id"], dictionary, rules=["name_known"])
     assert {r.doc_id: len(r.spans) for r in found.collect()} == {i: 3 * (i * 7 < 3000) for i in range(800)}
+
+
+def test_filters_of_large_dictionaries_are_tables(spark, monkeypatch):
+    """Beyond some thousand entries the plan holds no filter, and the spans are the same."""
+    odd = ["µ Labs", "ΟΔΟΣ", "&", "+/-", "ſun", "İzmir", "One Two Three Four", "N.A.", "", None]
+    dictionary = spark.createDataFrame(
+        [("company" if i % 2 else "name", n) for i, n in enumerate([*odd, *(f"Word{i} Rao" for i in range(3000))])], "kind string, term string"
+    )
+    texts = ["μ labs, οδος", "A&B C & D x&&y", "1+/-2", "SUN sun", "izmir", "one two three four five", "n.a.x n.a.", "word7 RAO, word7 rao", "word1400 rao " * 300, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+
+    def spans():
+        out = dc.detect_with_known(df, ["doc_id"], dictionary, rules=["name_known", "company_known"], max_inline=0)
+        return out, {r.doc_id: [(s.start, s.end, s.rule) for s in r.spans] for r in out.collect()}
+
+    _, in_row = spans()
+    monkeypatch.setattr(dc, "MAX_ROW_KEYS", 2000)
+    out, joined = spans()
+    assert joined == in_row and len(joined[8]) == 300 and sum(map(len, joined.values())) > 308
+    assert len(out._jdf.queryExecution().toString()) < 400_000
+    monkeypatch.setattr(dc, "MAX_BROADCAST_BYTES", 0)
+    assert spans()[1] == in_row
